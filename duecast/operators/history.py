@@ -167,9 +167,11 @@ def _add_carry(local: DataFrame, key: str) -> DataFrame:
     # Segments without outcomes are left out here, so five of the others always suffice.
     ahead = Window.partitionBy(key).orderBy(SEGMENT).rowsBetween(-(RECENT - 1), 0)
     newest_first = F.reverse(F.collect_list("recent").over(ahead))
-    tails = summary.where("outcomes > 0").select(key, SEGMENT, F.slice(F.flatten(newest_first), 1, RECENT).alias("tail"))
+    tails = summary.where("outcomes > 0").select(
+        F.col(key).alias("t_key"), F.col(SEGMENT).alias("t_segment"), F.slice(F.flatten(newest_first), 1, RECENT).alias("tail")
+    )
     carried = (
-        summary.join(tails, [key, SEGMENT], "left")
+        summary.join(tails, F.col(key).eqNullSafe(F.col("t_key")) & (F.col(SEGMENT) == F.col("t_segment")), "left")
         .withColumns(
             {
                 "c_full_lates": F.coalesce(F.sum("full_lates").over(past), F.lit(0.0)),

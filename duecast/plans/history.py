@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from duecast.functions.values import TIER_BOUNDS, tier
 from duecast.operators import history
+from duecast.operators.serving import drop_empty_rows, mark_latest_as_current, prepare_assessment, split_records
 from duecast.plans.lens_sql import INVOICES
 from duecast.sources import lenses
 
@@ -125,7 +126,83 @@ REFERENCE_SQL = f"""WITH {INVOICES}
          CAST(CASE WHEN clear_date IS NOT NULL THEN greatest(date_diff('day', due_date, clear_date), 0) END AS INTEGER) AS delay_days
   FROM invoices WHERE row_id % 41 > 0 AND NOT (row_id % 3 <> 0 AND row_id % 50 = 1)"""
 
+def _record_types(spark, root):
+    df = lenses.invoices(spark, root)
+    return df.withColumn("record_type", F.when(F.col("document_type") == "O", " current").otherwise("History"))
+
+
+def serving(spark, root):
+    """Open invoices assessed against the closed ones."""
+    enriched, _ = prepare_assessment(_record_types(spark, root), required=["total_open_amount", "business_code"])
+    return _rounded(enriched.select("row_id", *history.HISTORY_FEATURES))
+
+
+SERVING_SQL = f"""WITH {INVOICES},
+  h AS (SELECT *, CASE WHEN clear_date > due_date THEN 1.0 ELSE 0.0 END AS late,
+               greatest(date_diff('day', due_date, clear_date), 0) AS delay FROM invoices WHERE document_type <> 'O'),
+  c AS (SELECT * FROM invoices WHERE document_type = 'O'),
+  pairs AS (
+    SELECT c.row_id AS cid, c.posting_date AS at, c.total_open_amount AS own, h.*, h.clear_date <= c.posting_date AS observed,
+           row_number() OVER (PARTITION BY c.row_id, h.clear_date <= c.posting_date ORDER BY h.posting_date DESC, h.row_id DESC) AS back
+    FROM c JOIN h ON c.cust_number = h.cust_number AND h.posting_date < c.posting_date),
+  agg AS (
+    SELECT cid, count(*) AS n, sum(late) FILTER (observed) AS lates, avg(late) FILTER (observed) AS ratio,
+           avg(late) FILTER (observed AND back <= 5) AS recent, avg(total_open_amount) AS mean,
+           avg(delay) FILTER (observed) AS mean_delay, max(delay) FILTER (observed) AS max_delay, max(posting_date) AS last,
+           count(*) FILTER (observed) AS outcomes, min(back) FILTER (observed AND late = 0) AS first_punctual
+    FROM pairs GROUP BY cid)
+  SELECT row_id, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS customer_history_available,
+    coalesce(n, 0)::DOUBLE AS previous_invoice_count, coalesce(lates, 0)::DOUBLE AS previous_late_invoice_count,
+    round(coalesce(ratio, 0)::DOUBLE, 6) AS previous_late_ratio, round(coalesce(recent, 0)::DOUBLE, 6) AS recent_5_late_ratio,
+    round(coalesce(mean, 0)::DOUBLE, 6) AS previous_average_invoice_amount,
+    round(coalesce(total_open_amount / nullif(mean, 0), 1)::DOUBLE, 6) AS invoice_vs_customer_average,
+    round(coalesce(mean_delay, 0)::DOUBLE, 6) AS average_previous_delay_days,
+    coalesce(max_delay, 0)::DOUBLE AS maximum_previous_delay_days,
+    coalesce(date_diff('day', last, posting_date), 0)::DOUBLE AS days_since_previous_invoice,
+    coalesce(coalesce(first_punctual - 1, outcomes), 0)::DOUBLE AS consecutive_previous_late_count
+  FROM c LEFT JOIN agg ON cid = row_id"""
+
+
+def assessment_counts(spark, root):
+    """Without a record type the last invoice of a customer is the current one."""
+    _, stats = prepare_assessment(lenses.invoices(spark, root), order=["posting_date", "row_id"])
+    return stats
+
+
+ASSESSMENT_SQL = """SELECT count(*) - count(DISTINCT o_custkey) AS history_rows, count(DISTINCT o_custkey) AS current_rows,
+  count(DISTINCT o_custkey) AS customers FROM orders"""
+
+
+def latest_current(spark, root):
+    df = mark_latest_as_current(lenses.invoices(spark, root), "cust_number", ["posting_date", "row_id"])
+    return df.select("row_id", "cust_number", "record_type")
+
+
+LATEST_SQL = """SELECT o_orderkey AS row_id, o_custkey AS cust_number,
+  CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 THEN 'Current' ELSE 'History' END AS record_type
+  FROM orders"""
+
+
+def record_split(spark, root):
+    """Blank rows dropped, then rows per record type."""
+    df = _record_types(spark, root)
+    emptied = [F.when(F.col("row_id") % 37 > 0, F.col(c).cast("string")).otherwise(F.lit("  ")).alias(c) for c in df.columns]
+    past, current = split_records(drop_empty_rows(df.select(*emptied)))
+    return past.agg(F.lit("History").alias("record_type"), F.count("*").alias("rows"), F.min("posting_date").alias("first_day")).unionByName(
+        current.agg(F.lit("Current").alias("record_type"), F.count("*").alias("rows"), F.min("posting_date").alias("first_day"))
+    )
+
+
+RECORD_SQL = f"""WITH {INVOICES}
+  SELECT CASE document_type WHEN 'O' THEN 'Current' ELSE 'History' END AS record_type, count(*) AS rows,
+         CAST(min(posting_date) AS VARCHAR) AS first_day
+  FROM invoices WHERE row_id % 37 > 0 GROUP BY 1"""
+
 QUERIES = {
+    "history_serving_features": serving,
+    "history_assessment_counts": assessment_counts,
+    "history_latest_current": latest_current,
+    "history_record_split": record_split,
     "risk_by_segment": risk_by_segment,
     "history_training_features": training,
     "history_training_strict": lambda s, r: training(s, r, allow_exact=False),
@@ -133,6 +210,10 @@ QUERIES = {
     "history_reference_layout": reference_layout,
 }
 SQL = {
+    "history_serving_features": SERVING_SQL,
+    "history_assessment_counts": ASSESSMENT_SQL,
+    "history_latest_current": LATEST_SQL,
+    "history_record_split": RECORD_SQL,
     "risk_by_segment": RISK_SQL,
     "history_training_features": _training_sql(">="),
     "history_training_strict": _training_sql(">"),
