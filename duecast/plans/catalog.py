@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["history"]
+FAMILIES = ["history", "scalars", "filtering"]
 
 
 def _merged(attribute: str) -> dict:
