@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,8 +132,11 @@ def fill_demand_defaults(df: DataFrame) -> DataFrame:
     return df.withColumns(made)
 
 
-def loan_layout(df: DataFrame, require_target: bool = True) -> DataFrame:
-    """An accepted-loan file in the loan contract; with a target, matured loans only. [S12, X5-X8, F7]"""
+def loan_layout(df: DataFrame, require_target: bool = True, carry: Mapping[str, Column] | None = None) -> DataFrame:
+    """An accepted-loan file in the loan contract; with a target, matured loans only. [S12, X5-X8, F7]
+
+    ``carry`` adds columns computed from the source rows.
+    """
     present = set(df.columns)
     if require_target and "loan_status" not in present:
         raise ValueError("This file has no loan_status, so it holds no repayment outcome.")
@@ -165,9 +168,10 @@ def loan_layout(df: DataFrame, require_target: bool = True) -> DataFrame:
         text("purpose", "Unknown").alias("LoanPurpose"),
         yes_no(F.lower(text("application_type", "Individual")) != "individual").alias("HasCoSigner"),
     ]
+    extra = [c.alias(n) for n, c in (carry or {}).items()]
     if not require_target:
-        return df.select(*made)
-    return df.where(status.isin(LOAN_GOOD + LOAN_BAD)).select(*made, status.isin(LOAN_BAD).cast("int").alias("Default"))
+        return df.select(*made, *extra)
+    return df.where(status.isin(LOAN_GOOD + LOAN_BAD)).select(*made, status.isin(LOAN_BAD).cast("int").alias("Default"), *extra)
 
 
 def text_is_blank(df: DataFrame, columns: Sequence[str]) -> Column:

@@ -60,14 +60,20 @@ def add_prior_sums(
     rows_per_task: int = ROWS_PER_TASK,
     include_current: bool = False,
 ) -> DataFrame:
-    """Running sums per key over the rows before the current one (or up to it); 0 at the start."""
+    """Running sums per key over the rows before the current one (or up to it); 0 at the start.
+
+    Without keys the order is global.
+    """
     last = Window.currentRow if include_current else -1
 
     def local(part: DataFrame, by: Sequence[str]) -> DataFrame:
         frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
         return part.withColumns({name: F.coalesce(F.sum(value).over(frame), F.lit(0.0)) for name, value in sums.items()})
 
-    cold, hot = split_hot(df, keys, rows_per_task)
+    if keys:
+        cold, hot = split_hot(df, keys, rows_per_task)
+    else:  # one global order: a single task only while the table fits it
+        cold, hot = (df, None) if df.count() <= rows_per_task else (df.limit(0), df)
     result = local(cold, keys)
     if hot is None:
         return result
