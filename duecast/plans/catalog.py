@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["history", "scalars", "filtering", "measures", "checks", "combining"]
+FAMILIES = ["history", "scalars", "filtering", "measures", "checks", "combining", "series"]
 
 
 def _merged(attribute: str) -> dict:

@@ -91,13 +91,13 @@ FORECASTS = f"""{DEMAND}, forecasts AS (
 
 ACCEPTED_LOANS = """accepted_loans AS (
   SELECT k AS row_id, CAST(k // 2 AS VARCHAR) AS id,
-         CAST(CAST(trunc(c_acctbal) AS BIGINT) * 10 + 20000 AS VARCHAR) AS annual_inc,
+         CAST(CAST(trunc(c_acctbal) AS BIGINT) * 21 + 20000 AS VARCHAR) AS annual_inc,
          CAST(CAST(trunc(o_totalprice) AS BIGINT) % 40 + 1 AS VARCHAR) || ',000' AS loan_amnt,
          CASE WHEN k % 11 > 0 THEN CAST(600 + k % 200 AS VARCHAR) END AS fico_range_low,
          CAST(604 + k % 200 AS VARCHAR) AS fico_range_high,
          CASE WHEN k % 13 = 0 THEN 'n/a' WHEN k % 13 = 12 THEN '< 1 year' ELSE CAST(k % 13 AS VARCHAR) || '+ years' END AS emp_length,
          CAST(k % 40 AS VARCHAR) AS total_acc, CAST(k % 25 AS VARCHAR) || '.5%' AS int_rate,
-         CASE WHEN k % 2 = 0 THEN ' 36 months' ELSE ' 60 months' END AS term, CAST(k % 35 AS VARCHAR) AS dti,
+         CASE WHEN k % 2 = 0 THEN ' 36 months' ELSE ' 60 months' END AS term, CASE WHEN k % 29 > 0 THEN CAST(k % 35 AS VARCHAR) END AS dti,
          CASE WHEN k % 3 = 0 THEN 'MORTGAGE' WHEN k % 3 = 1 THEN 'mortgage' ELSE 'RENT' END AS home_ownership,
          c_mktsegment AS purpose, CASE WHEN k % 10 = 0 THEN 'Joint App' ELSE 'Individual' END AS application_type,
          CASE o_orderstatus WHEN 'F' THEN 'Fully Paid' WHEN 'P' THEN ' Charged Off ' ELSE 'Current' END AS loan_status

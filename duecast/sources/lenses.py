@@ -179,7 +179,7 @@ def accepted_loans(spark: SparkSession, root: str) -> DataFrame:
     return read(spark, root, "orders").join(customer, "o_custkey").select(
         key.alias("row_id"),
         (key / 2).cast("bigint").cast("string").alias("id"),
-        (F.col("c_acctbal").cast("bigint") * 10 + 20000).cast("string").alias("annual_inc"),
+        (F.col("c_acctbal").cast("bigint") * 21 + 20000).cast("string").alias("annual_inc"),
         F.concat((F.col("o_totalprice").cast("bigint") % 40 + 1).cast("string"), F.lit(",000")).alias("loan_amnt"),
         F.when(key % 11 > 0, (600 + key % 200).cast("string")).alias("fico_range_low"),
         (604 + key % 200).cast("string").alias("fico_range_high"),
@@ -188,7 +188,7 @@ def accepted_loans(spark: SparkSession, root: str) -> DataFrame:
         (key % 40).cast("string").alias("total_acc"),
         F.concat((key % 25).cast("string"), F.lit(".5%")).alias("int_rate"),
         F.when(key % 2 == 0, " 36 months").otherwise(" 60 months").alias("term"),
-        (key % 35).cast("string").alias("dti"),
+        F.when(key % 29 > 0, (key % 35).cast("string")).alias("dti"),
         F.when(key % 3 == 0, "MORTGAGE").when(key % 3 == 1, "mortgage").otherwise("RENT").alias("home_ownership"),
         F.col("c_mktsegment").alias("purpose"),
         F.when(key % 10 == 0, "Joint App").otherwise("Individual").alias("application_type"),
