@@ -51,7 +51,7 @@ def column_kinds(df: DataFrame, share: float = 0.95) -> DataFrame:
         text = F.col(c).cast("string")
         exprs += [
             F.count(text).alias(f"n{i}"), F.count_if(text.rlike(NUMBER_TEXT)).alias(f"num{i}"),
-            F.count_if(F.coalesce(parse_date(text), text.try_cast("timestamp").cast("date")).isNotNull()).alias(f"day{i}"),
+            F.count_if(parse_date(text).isNotNull()).alias(f"day{i}"),
         ]
         n = F.col(f"n{i}")
         kind = F.when(n == 0, "empty").when(F.col(f"num{i}") >= share * n, "numeric").when(F.col(f"day{i}") >= share * n, "datetime")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,29 +48,31 @@ def confusion(df: DataFrame, label: str, score: str, threshold: float = 0.5) ->
     )
 
 
-def ranking_quality(df: DataFrame, label: str, score: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def ranking_quality(
+    df: DataFrame, label: str, score: str, by: Sequence[str] = (), rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """ROC-AUC with average ranks and average precision, NULL when only one class occurs. [A2, A3]
 
-    Rows are first combined to one per distinct score. The running counts over the scores then
-    give both measures: with ``prior`` the rows of lower score, a positive beats the prior
-    negatives and ties with half of its own group, and ``total - prior`` rows score as high.
+    Rows are first combined to one per distinct score (and ``by`` group). Running counts from
+    the highest score down give both measures: a positive is beaten by the negatives above it
+    and by half of those it ties with.
     """
     positive = F.col(label) == 1
-    groups = df.groupBy(F.col(score).alias("score")).agg(
+    groups = df.groupBy(*by, F.col(score).alias("score")).agg(
         F.count_if(positive).cast("double").alias("pos"), F.count_if(~positive).cast("double").alias("neg")
     )
-    ranked = add_prior_sums(groups, [], [F.col("score")], {"prior_pos": F.col("pos"), "prior_neg": F.col("neg")}, rows_per_task)
-    totals = df.agg(F.count_if(positive).cast("double").alias("p"), F.count_if(~positive).cast("double").alias("n"))
-    p, n = totals.select("p").scalar(), totals.select("n").scalar()
-    kept_pos, kept_neg = p - F.col("prior_pos"), n - F.col("prior_neg")
-    sums = ranked.select(
-        (F.col("pos") * (F.col("prior_neg") + F.col("neg") / 2)).alias("wins"),
-        (F.col("pos") * ratio(kept_pos, kept_pos + kept_neg)).alias("steps"),
-        "pos", "neg",
-    ).agg(F.sum("wins").alias("wins"), F.sum("steps").alias("steps"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    sums = {"tp": F.col("pos"), "fp": F.col("neg")}
+    ranked = add_prior_sums(groups, list(by), [F.desc("score")], sums, rows_per_task, include_current=True)
+    totals = ranked.groupBy(*by).agg(
+        F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / 2)).alias("losses"),
+        F.sum(F.col("pos") * ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("steps"),
+        F.sum("pos").alias("p"),
+        F.sum("neg").alias("n"),
+    )
     both = (F.col("p") > 0) & (F.col("n") > 0)
-    return sums.select(
-        F.when(both, F.col("wins") / (F.col("p") * F.col("n"))).alias("roc_auc"),
+    return totals.select(
+        *by,
+        F.when(both, 1 - F.col("losses") / (F.col("p") * F.col("n"))).alias("roc_auc"),
         F.when(both, F.col("steps") / F.col("p")).alias("pr_auc"),
     )
 

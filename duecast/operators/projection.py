@@ -70,8 +70,9 @@ def project_linear(
 ) -> DataFrame:
     """Recursive projection of a linear model over lags and calendar parts, all series at once. [M21]
 
-    ``weights`` may name intercept, lag_1, lag_7, lag_14, dow and month. The steps are a fold
-    over each series' value list, so no shuffle or checkpoint is needed between them.
+    ``weights`` may name intercept, lag_1, lag_7, lag_14, dow, month and any ``frozen`` column,
+    which keeps the value of the series' latest row. The steps are a fold over each series'
+    value list, so no shuffle or checkpoint is needed between them.
     """
     _check_horizon(horizon)
     state = latest_state(history, value, frozen, keys)
@@ -79,6 +80,7 @@ def project_linear(
     def step(values: Column, number: Column) -> Column:
         day = F.date_add(F.col("_last_date"), number.cast("int"))
         parts = {"dow": F.weekday(day), "month": F.month(day), **{f"lag_{k}": _lag(values, k) for k in LAGS}}
+        parts.update({c: F.col(c) for c in frozen if c not in parts})
         forecast = F.lit(float(weights.get("intercept", 0.0)))
         for name, column in parts.items():
             if name in weights:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["history", "scalars", "filtering", "measures", "checks", "combining", "series"]
+FAMILIES = ["history", "scalars", "filtering", "measures", "checks", "combining", "series", "modelling"]
 
 
 def _merged(attribute: str) -> dict:
