@@ -24,6 +24,7 @@ from duecast.operators.filters import known_outcomes
 from duecast.operators.history import CLEAR_NAMES, DUE_NAMES, HISTORY_FEATURES, POSTING_NAMES, add_training_history, find_column
 from duecast.operators.quantiles import exact_medians, value_counts
 from duecast.operators.skew import add_prior_sums
+from duecast.session import materialize
 
 SEED = 42
 INFREQUENT = "infrequent"
@@ -213,8 +214,8 @@ def train_payment_models(
         method = "chronological" if facts["share"] >= 0.7 and facts["days"] >= 10 else "stratified"
     parted = split_by_position(labelled, posting, row_id) if method == "chronological" else split_stratified(labelled, "y", [row_id])
     parted = parted.select(row_id, *usable, "y", "split")
-    # Every fit and every evaluation reads the split rows: keep them instead of recomputing windows.
-    parted = parted.persist()
+    # Every fit and evaluation reads the split rows many times, so they are written once.
+    parted = materialize(parted, "training")
     parts = {n: parted.where(F.col("split") == n).drop("split") for n in ("train", "validation", "test")}
     sizes = {r["split"]: r["count"] for r in parted.groupBy("split").count().collect()}
     numeric, categorical = split_kinds(parted, usable)
@@ -223,7 +224,6 @@ def train_payment_models(
         models[name] = fit_classifier(parts["train"], "y", numeric, categorical, name, overrides)
         figures = {n: classification_figures(models[name], p, "y") for n, p in parts.items() if n != "train" or with_train_figures}
         runs.append((name, figures.get("train"), figures["validation"], figures["test"], sizes, method))
-    parted.unpersist()
     best = max(runs, key=lambda r: (r[2]["pr_auc"] if r[2]["pr_auc"] is not None else -1, r[2]["f1"] or -1))[0]
     return Training(_run_table(df.sparkSession, runs), models, best, usable, removed)
 
@@ -254,7 +254,7 @@ def train_demand_models(
     """Demand regressors over lags and calendar parts, split by date; the best has the least validation WAPE. [M4, M9, M11, M12]"""
     featured = split_by_dates(add_short_features(df, target), "date")
     inputs = [*numeric, "dow", "month", "lag_1", "lag_7", "lag_14"]
-    parted = featured.select("split", target, *categorical, *inputs).persist()
+    parted = materialize(featured.select("split", target, *categorical, *inputs), "training")
     parts = {n: parted.where(F.col("split") == n).drop("split") for n in ("train", "validation", "test")}
     sizes = {r["split"]: r["count"] for r in parted.groupBy("split").count().collect()}
     runs, models = [], {}
@@ -270,7 +270,6 @@ def train_demand_models(
                 predicted = models[name].transform(rows).select(target, "prediction")
                 figures[part] = _figures(metrics.regression(predicted, target, "prediction").first(), ERRORS)
         runs.append((name, figures.get("train"), figures["validation"], figures["test"], sizes, "chronological"))
-    parted.unpersist()
     best = min(runs, key=lambda r: math.inf if r[2]["wape"] is None else r[2]["wape"])[0]
     return Training(_run_table(df.sparkSession, runs), models, best, [*categorical, *inputs])
 
@@ -330,10 +329,10 @@ def augment_minority(
 
 def compare_augmentation(df: DataFrame, row_id: str, kind: str = "baseline", overrides: Mapping | None = None, target_ratio: float = 0.75) -> DataFrame:
     """Figures without and with augmentation on the same holdout, and the recommendation. [M2, M17]"""
-    labelled = df.where(F.col(CREDIT_TARGET).isNotNull())
-    parted = split_stratified(labelled, CREDIT_TARGET, [row_id], cuts=(0.8,), names=("train", "test"))
+    labelled = materialize(df.where(F.col(CREDIT_TARGET).isNotNull()), "labelled")
+    parted = materialize(split_stratified(labelled, CREDIT_TARGET, [row_id], cuts=(0.8,), names=("train", "test")), "training")
     train, test = (parted.where(F.col("split") == n).drop("split") for n in ("train", "test"))
-    enlarged, _ = augment_minority(train, row_id, target_ratio=target_ratio)
+    enlarged = materialize(augment_minority(train, row_id, target_ratio=target_ratio)[0], "augmented")
     figures = []
     for rows in (train, enlarged):
         model = train_credit_model(rows, kind, overrides)

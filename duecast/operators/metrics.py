@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from duecast.functions.values import ratio
 from duecast.operators.quantiles import SMALL, exact_quantiles
 from duecast.operators.skew import ROWS_PER_TASK, add_prior_sums
+from duecast.session import materialize
 
 # Cost of a missed case, a false alert and a review; thresholds from 0.10 to 0.80 by 0.01.
 MISS_COST, FALSE_ALERT_COST, REVIEW_COST = 10.0, 1.0, 0.1
@@ -20,22 +21,10 @@ def _or_zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0.0))
 
 
-def confusion(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
-    """Confusion counts at a threshold and the measures derived from them, one row. [A1, A4]"""
-    positive, flagged = F.col(label) == 1, F.col(score) >= threshold
-    counts = df.agg(
-        F.count_if(positive & flagged).alias("tp"),
-        F.count_if(~positive & ~flagged).alias("tn"),
-        F.count_if(~positive & flagged).alias("fp"),
-        F.count_if(positive & ~flagged).alias("fn"),
-        F.avg((F.col(score) - F.col(label)) * (F.col(score) - F.col(label))).alias("brier"),
-    )
-    tp, tn, fp, fn = (F.col(c).cast("double") for c in ("tp", "tn", "fp", "fn"))
-    total = tp + tn + fp + fn
-    recall, specificity = ratio(tp, tp + fn), ratio(tn, tn + fp)
+def _rates(tp: Column, tn: Column, fp: Column, fn: Column) -> list[Column]:
+    total, recall, specificity = tp + tn + fp + fn, ratio(tp, tp + fn), ratio(tn, tn + fp)
     spread = F.sqrt(tp + fp) * F.sqrt(tp + fn) * F.sqrt(tn + fp) * F.sqrt(tn + fn)
-    return counts.select(
-        "tp", "tn", "fp", "fn", "brier",
+    return [
         ratio(tp + tn, total).alias("accuracy"),
         _or_zero(ratio(tp, tp + fp)).alias("precision"),
         _or_zero(recall).alias("recall"),
@@ -45,52 +34,94 @@ def confusion(df: DataFrame, label: str, score: str, threshold: float = 0.5) ->
         F.coalesce((recall + specificity) / 2, recall, specificity).alias("balanced_accuracy"),
         _or_zero(ratio(tp * tn - fp * fn, spread)).alias("mcc"),
         ratio(tp + fn, total).alias("prevalence"),
+    ]
+
+
+def confusion(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
+    """Confusion counts at a threshold and the measures derived from them, one row. [A1, A4]"""
+    positive, flagged = F.col(label) == 1, F.col(score) >= threshold
+    error = F.col(score) - F.col(label)
+    counts = df.agg(
+        F.count_if(positive & flagged).alias("tp"),
+        F.count_if(~positive & ~flagged).alias("tn"),
+        F.count_if(~positive & flagged).alias("fp"),
+        F.count_if(positive & ~flagged).alias("fn"),
+        F.avg(error * error).alias("brier"),
     )
+    return counts.select("tp", "tn", "fp", "fn", "brier", *_rates(*[F.col(c).cast("double") for c in ("tp", "tn", "fp", "fn")]))
 
 
-def ranking_quality(
-    df: DataFrame, label: str, score: str, by: Sequence[str] = (), rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """ROC-AUC with average ranks and average precision, NULL when only one class occurs. [A2, A3]
+def _score_groups(df: DataFrame, label: str, score: str, by: Sequence[str], rows_per_task: int) -> DataFrame:
+    """One row per distinct score (and group): its classes and the classes from the top score down to it.
 
-    Rows are first combined to one per distinct score (and ``by`` group). Running counts from
-    the highest score down give both measures: a positive is beaten by the negatives above it
-    and by half of those it ties with.
+    Counting ``df`` reads no score: Catalyst drops what the count does not need. Only a table
+    that may exceed one task is written out, so that scoring still runs once.
     """
     positive = F.col(label) == 1
-    groups = df.groupBy(*by, F.col(score).alias("score")).agg(
+    groups = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(
         F.count_if(positive).cast("double").alias("pos"), F.count_if(~positive).cast("double").alias("neg")
     )
+    rows = df.count()
+    if rows > rows_per_task:
+        groups = materialize(groups, "scores")
     sums = {"tp": F.col("pos"), "fp": F.col("neg")}
-    ranked = add_prior_sums(groups, list(by), [F.desc("score")], sums, rows_per_task, include_current=True)
-    totals = ranked.groupBy(*by).agg(
+    return add_prior_sums(groups, list(by), [F.desc("score")], sums, rows_per_task, include_current=True, at_most=rows)
+
+
+def _curve_sums() -> list[Column]:
+    return [
         F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / 2)).alias("losses"),
         F.sum(F.col("pos") * ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("steps"),
         F.sum("pos").alias("p"),
         F.sum("neg").alias("n"),
-    )
+    ]
+
+
+def _areas() -> list[Column]:
     both = (F.col("p") > 0) & (F.col("n") > 0)
-    return totals.select(
-        *by,
+    return [
         F.when(both, 1 - F.col("losses") / (F.col("p") * F.col("n"))).alias("roc_auc"),
         F.when(both, F.col("steps") / F.col("p")).alias("pr_auc"),
-    )
+    ]
+
+
+def ranking_quality(
+    df: DataFrame, label: str, score: str, by: Sequence[str] = (), rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """ROC-AUC with average ranks and average precision, NULL when only one class occurs. [A2, A3]
+
+    A positive is beaten by the negatives above it and by half of those it ties with.
+    """
+    return _score_groups(df, label, score, by, rows_per_task).groupBy(*by).agg(*_curve_sums()).select(*by, *_areas())
 
 
-def classification(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
-    """All classification measures in one row. [A1-A4]"""
-    curve = ranking_quality(df, label, score)
-    return confusion(df, label, score, threshold).select(
-        "*", curve.select("roc_auc").scalar().alias("roc_auc"), curve.select("pr_auc").scalar().alias("pr_auc")
+def classification(df: DataFrame, label: str, score: str, threshold: float = 0.5, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """All classification measures in one row, from one pass over the scores. [A1-A4]"""
+    s, flagged = F.col("score"), F.col("score") >= threshold
+    sums = _score_groups(df, label, score, (), rows_per_task).agg(
+        *_curve_sums(),
+        F.sum(F.when(flagged, F.col("pos")).otherwise(0.0)).alias("hits"),
+        F.sum(F.when(flagged, F.col("neg")).otherwise(0.0)).alias("alarms"),
+        F.sum(F.col("pos") * (1 - s) * (1 - s) + F.col("neg") * s * s).alias("squares"),
     )
+    tp, fp = F.col("hits"), F.col("alarms")
+    tn, fn = F.col("n") - fp, F.col("p") - tp
+    counts = [c.cast("bigint").alias(n) for n, c in (("tp", tp), ("tn", tn), ("fp", fp), ("fn", fn))]
+    return sums.select(*counts, ratio(F.col("squares"), F.col("p") + F.col("n")).alias("brier"), *_rates(tp, tn, fp, fn), *_areas())
 
 
 def regression(df: DataFrame, actual: str, predicted: str, small: int = SMALL) -> DataFrame:
     """Error measures of a forecast in one row; a measure with a zero denominator is NULL. [A5]"""
-    y = F.col(actual).cast("double")
-    error = y - F.col(predicted).cast("double")
-    rows = df.where(y.isNotNull() & F.col(predicted).isNotNull())
-    middle = exact_quantiles(rows, {"e": F.abs(error)}, [0.5], small)["e"][0]
+    pairs = df.select(F.col(actual).cast("double").alias("y"), F.col(predicted).cast("double").alias("f"))
+    if df.count() <= small:
+        rows, exact = pairs.where("y is not null and f is not null"), True
+    else:  # several passes follow: compute the predictions once
+        rows, exact = materialize(pairs.where("y is not null and f is not null"), "predictions"), False
+    y = F.col("y")
+    error = y - F.col("f")
+    middle = F.percentile(F.abs(error), F.lit(0.5))
+    if not exact:
+        middle = F.max(F.lit(exact_quantiles(rows, {"e": F.abs(error)}, [0.5], small)["e"][0]))
     sums = rows.agg(
         F.count("*").alias("n"),
         F.avg(F.abs(error)).alias("mae"),
@@ -99,12 +130,13 @@ def regression(df: DataFrame, actual: str, predicted: str, small: int = SMALL) -
         F.sum(F.abs(y)).alias("_volume"),
         F.avg(F.when(y != 0, F.abs(error / F.when(y != 0, y)))).alias("mape"),
         F.var_pop(y).alias("_variance"),
+        middle.alias("median_absolute_error"),
     )
     fit = F.when(F.col("_variance") > 0, 1 - F.col("mse") / F.col("_variance")).when(F.col("mse") == 0, 1.0).otherwise(0.0)
     return sums.select(
         "n", "mae", "mse", F.sqrt("mse").alias("rmse"), F.when(F.col("n") > 1, fit).alias("r2"),
         ratio(F.col("_absolute"), F.col("_volume")).alias("wape"), "mape",
-        F.lit(middle).cast("double").alias("median_absolute_error"),
+        "median_absolute_error",
     )
 
 

@@ -77,10 +77,10 @@ def exact_quantiles(
     df: DataFrame, columns: Mapping[str, Column], shares: Sequence[float], small: int = SMALL, final: int = FINAL
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of each column; NULL cells are left out. [A13, A14]"""
-    sizes = df.agg(*[F.count(c).alias(n) for n, c in columns.items()]).first().asDict()
-    if max(sizes.values(), default=0) <= small:
+    if df.count() <= small:
         values = df.agg(*[F.percentile(c, F.array(*[F.lit(s) for s in shares])).alias(n) for n, c in columns.items()]).first()
         return {n: list(values[n]) if values[n] is not None else [None] * len(shares) for n in columns}
+    sizes = df.agg(*[F.count(c).alias(n) for n, c in columns.items()]).first().asDict()
     wanted = {}
     for name, column in columns.items():
         positions = [s * (sizes[name] - 1) for s in shares] if sizes[name] else []

@@ -59,10 +59,12 @@ def add_prior_sums(
     sums: Mapping[str, Column],
     rows_per_task: int = ROWS_PER_TASK,
     include_current: bool = False,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Running sums per key over the rows before the current one (or up to it); 0 at the start.
 
-    Without keys the order is global.
+    Without keys the order is global. ``at_most`` is a known bound on the number of rows: while
+    it fits one task, nothing needs to be counted.
     """
     last = Window.currentRow if include_current else -1
 
@@ -70,7 +72,9 @@ def add_prior_sums(
         frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
         return part.withColumns({name: F.coalesce(F.sum(value).over(frame), F.lit(0.0)) for name, value in sums.items()})
 
-    if keys:
+    if at_most is not None and at_most <= rows_per_task:
+        cold, hot = df, None
+    elif keys:
         cold, hot = split_hot(df, keys, rows_per_task)
     else:  # one global order: a single task only while the table fits it
         cold, hot = (df, None) if df.count() <= rows_per_task else (df.limit(0), df)
@@ -80,11 +84,11 @@ def add_prior_sums(
     pieces = segment(hot, keys, order, rows_per_task)
     totals = pieces.groupBy(*keys, SEGMENT).agg(*[F.sum(v).alias(f"_total_{n}") for n, v in sums.items()])
     carry = totals.select(
-        *[F.col(k).alias(f"_carry_{k}") for k in keys],
-        F.col(SEGMENT).alias("_carry_segment"),
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
+        F.col(SEGMENT).alias("_segment_of_carry"),
         *[F.coalesce(F.sum(f"_total_{n}").over(before(keys)), F.lit(0.0)).alias(f"_carry_{n}") for n in sums],
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_carry_{k}")) for k in keys] + [F.col(SEGMENT) == F.col("_carry_segment")]
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys] + [F.col(SEGMENT) == F.col("_segment_of_carry")]
     # One carry row per hot key and segment: as few as the segments themselves.
     joined = local(pieces, [*keys, SEGMENT]).join(F.broadcast(carry), same, "left")
     merged = joined.withColumns({n: F.col(n) + F.col(f"_carry_{n}") for n in sums})
