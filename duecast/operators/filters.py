@@ -69,8 +69,8 @@ def demand_problems(df: DataFrame, row_id: str, keep: str = "first") -> DataFram
     """Adds ``is_problem``: rows that cannot be used to train a demand model. [F8, W15]
 
     Of rows with the same date, store and product the first (or last) by ``row_id`` is kept.
-    That row is found by a map-side combined minimum, so a key that holds many rows is
-    reduced before the shuffle.
+    That row is found by a map-side combined minimum, and only repeated keys are joined back:
+    the joined side is as small as the defect is rare.
     """
     required = ["date", "store_id", "product_id", "units_sold"]
     missing = [c for c in required if c not in df.columns]
@@ -85,10 +85,11 @@ def demand_problems(df: DataFrame, row_id: str, keep: str = "first") -> DataFram
         bad = bad | F.coalesce(number(F.col("inventory_level").cast("string")) < 0, F.lit(True))
     keys = required[:3]
     pick = F.min if keep == "first" else F.max
-    kept = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(pick(row_id).alias("_kept"))
+    groups = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(pick(row_id).alias("_kept"), F.count("*").alias("_n"))
+    repeated = groups.where("_n > 1").drop("_n")
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    joined = df.join(kept, same, "left")
-    return joined.withColumn("is_problem", bad | (F.col(row_id) != F.col("_kept"))).select(*df.columns, "is_problem")
+    again = F.coalesce(F.col(row_id) != F.col("_kept"), F.lit(False))
+    return df.join(repeated, same, "left").withColumn("is_problem", bad | again).select(*df.columns, "is_problem")
 
 
 def best_search_column(df: DataFrame, approximate: bool = False) -> DataFrame:
