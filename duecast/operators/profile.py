@@ -387,23 +387,23 @@ def fill_dates(df: DataFrame, columns: Sequence[str], row_id: str, block_rows: i
     """
     block = F.floor(F.col(row_id) / block_rows)
     blocked = df.withColumn("_block", block)
-    inside = Window.partitionBy("_block").orderBy(row_id)
-    back, on = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    # A frame that reaches forward to the end is evaluated anew for every row; the reversed order is not.
+    back, on = (Window.partitionBy("_block").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(row_id), F.desc(row_id)))
     edges = blocked.groupBy("_block").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(row_id))).alias(f"_last_{c}") for c in columns],
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(row_id))).alias(f"_first_{c}") for c in columns],
     )
-    order = Window.orderBy("_block")  # one row per block
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    # One row per block.
+    before, after = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_block"), F.desc("_block")))
     edges = edges.select(
         F.col("_block").alias("_edge"),
         *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_prev_{c}") for c in columns],
-        *[F.first(f"_first_{c}", ignorenulls=True).over(after).alias(f"_next_{c}") for c in columns],
+        *[F.last(f"_first_{c}", ignorenulls=True).over(after).alias(f"_next_{c}") for c in columns],
     )
     filled = blocked.withColumns(
         {
             **{f"_b_{c}": F.last(c, ignorenulls=True).over(back) for c in columns},
-            **{f"_f_{c}": F.first(c, ignorenulls=True).over(on) for c in columns},
+            **{f"_f_{c}": F.last(c, ignorenulls=True).over(on) for c in columns},
         }
     ).join(edges, F.col("_block") == F.col("_edge"), "left")
     return filled.withColumns(

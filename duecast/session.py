@@ -19,6 +19,8 @@ def build(app: str = "duecast", master: str | None = None, shuffle_partitions: i
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):  # one JVM does all the work; the default heap of 1 GB is too small for it
+            builder = builder.config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
