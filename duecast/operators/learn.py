@@ -122,8 +122,9 @@ def preparation(
         inputs = ["_scaled"]
     for c in categorical:
         if labels[c]:
+            # The indexer's extra slot for unseen levels is the last one, which the encoder drops.
             stages.append(StringIndexerModel.from_labels(labels[c], inputCol=f"{c}__l", outputCol=f"{c}__i", handleInvalid="keep"))
-            stages.append(OneHotEncoder(inputCols=[f"{c}__i"], outputCols=[f"{c}__v"], dropLast=True, handleInvalid="keep"))
+            stages.append(OneHotEncoder(inputCols=[f"{c}__i"], outputCols=[f"{c}__v"], dropLast=True))
             inputs.append(f"{c}__v")
     return [*stages, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")]
 
