@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from duecast.operators import learn, profile, quality, scoring, selection
+from duecast.operators import learn, profile, projection, quality, scoring, selection
 from duecast.operators.features import CREDIT_FEATURES, add_credit_behaviour, loan_layout
 from duecast.operators.quantiles import exact_medians
 from duecast.plans import lens_sql as L
@@ -533,6 +535,32 @@ def importance(spark, root):
     return out.withColumn("importance", F.round("importance", 4))
 
 
+def prepared(spark, root):
+    """Invoices after the preparation stages: filled numbers, and categories with rare levels grouped."""
+    key = F.col("row_id")
+    df = lenses.invoices(spark, root).select(
+        "row_id", F.when(key % 10 > 0, F.col("total_open_amount")).alias("amount"),
+        F.when(key % 6 > 0, F.when(key % 1000 == 7, "rare").otherwise(F.col("business_code"))).alias("code"),
+    )
+    stages = learn.preparation(df, ["amount"], ["code"], min_frequency=df.count() // 100, scale=False)
+    out = Pipeline(stages=stages).fit(df).transform(df)
+    return out.select("row_id", F.round("amount__n", 4).alias("amount"), F.col("code__l").alias("code"), F.size(vector_to_array("features")).alias("width"))
+
+
+PREPARED_SQL = f"""WITH {L.INVOICES}, d AS (SELECT row_id, CASE WHEN row_id % 10 > 0 THEN total_open_amount END AS amount,
+    CASE WHEN row_id % 6 > 0 THEN CASE WHEN row_id % 1000 = 7 THEN 'rare' ELSE business_code END END AS code FROM invoices),
+  m AS (SELECT median(amount) AS med, (SELECT code FROM d WHERE code IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS usual FROM d)
+  SELECT row_id, round(coalesce(amount, med), 4) AS amount, CASE WHEN code = 'rare' THEN 'infrequent' ELSE coalesce(code, usual) END AS code, 7 AS width FROM d, m"""
+
+
+def stepwise_projection(spark, root):
+    """Demand projected twelve days ahead with a fitted ridge model, one scoring pass per day."""
+    df = lenses.demand(spark, root)
+    result = learn.train_demand_models(df, ["Ridge"], numeric=("inventory_level", "price"))
+    out = projection.project_model(df, result.models["Ridge"], horizon=12, frozen=("inventory_level", "price"))
+    return out.select("date", "store_id", "product_id", F.round("forecast_value", 4).alias("forecast_value"), "inventory_level")
+
+
 def augmentation_comparison(spark, root):
     out = learn.compare_augmentation(_rare_defaults(spark, root), "c_custkey", overrides=QUICK)
     return out.select("decision_score", "recommended", F.col("before")["pr_auc"].alias("pr_auc_before"), F.col("after")["pr_auc"].alias("pr_auc_after"))
@@ -694,6 +722,8 @@ QUERIES = {
     "models_active": active,
     "models_versions": lambda s, r: selection.version_numbers(_model_log(s, r)),
     "train_screening": screened,
+    "train_preparation": prepared,
+    "train_stepwise_projection": stepwise_projection,
     "train_payment_risk": trained_payments,
     "train_credit_behaviour": trained_credit,
     "train_loan_default": trained_loans,
@@ -737,6 +767,7 @@ SQL = {
     "models_active": ACTIVE_SQL,
     "models_versions": VERSIONS_SQL,
     "train_screening": SCREENED_SQL,
+    "train_preparation": PREPARED_SQL,
     "train_augmented": AUGMENTED_SQL,
     "store_delimited": DELIMITED_SQL,
     "store_dataset": WRITTEN_SQL,
