@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from duecast.functions.values import calendar_parts, order_key
 from duecast.operators.features import fill_demand_defaults
 from duecast.operators.skew import ROWS_PER_TASK, add_prior_sums
+from duecast.session import materialize
 
 SERIES = ["store_id", "product_id"]
 SHORT_LAGS = (1, 7, 14)
 LONG_LAGS = (1, 7, 14, 30)
 ROLLING = (7, 14, 30)
 HASH_RANGE = 1 << 60
-HASH_BUCKETS = 1 << 16
+ROWS_PER_BUCKET = 1_000_000
 
 
 def add_short_features(df: DataFrame, value: str = "units_sold") -> DataFrame:
@@ -101,13 +102,18 @@ def keep_newest(df: DataFrame, keep: int, row_id: str = "row_id") -> DataFrame:
     return ranked.join(allowed, same, "left_semi").drop("_rank")
 
 
+def _bucket_bits(rows: int) -> int:
+    """Hash bits that give buckets of about a million rows, 65536 buckets at most."""
+    return min(16, max(4, (rows // ROWS_PER_BUCKET).bit_length()))
+
+
 def sample_rows(df: DataFrame, keep: int, ids: Sequence[str], seed: int, row_id: str) -> DataFrame:
     """Exactly ``keep`` rows, those with the smallest seeded hash of their ids.
 
     Counting hash buckets finds the bucket in which the cut falls; only its rows are ranked.
     """
     keyed = df.withColumn("_hash", order_key([F.col(c) for c in ids], seed))
-    bucket = F.shiftright("_hash", 60 - 16)
+    bucket = F.shiftright("_hash", 60 - _bucket_bits(df.count()))
     counts = keyed.groupBy(bucket.alias("b")).count().orderBy("b").collect()
     left, cut = keep, None
     for row in counts:  # at most 65536 counts
@@ -132,7 +138,8 @@ def rows_for_bytes(df: DataFrame, limit_bytes: int) -> tuple[int, int, int]:
 
 def fit_to_size(df: DataFrame, limit_bytes: int, ids: Sequence[str], row_id: str, seed: int = 42) -> tuple[DataFrame, dict]:
     """Problem rows (``is_problem``) go first, then a seeded sample keeps the table within the limit. [T3]"""
-    clean = df.where("not is_problem").drop("is_problem")
+    # Several passes follow, so the usable rows are written once.
+    clean = materialize(df.where("not is_problem").drop("is_problem"), "usable")
     rows, size, keep = rows_for_bytes(clean, limit_bytes)
     kept, kept_rows, kept_size = clean, rows, size
     while kept_size > limit_bytes and kept_rows > 1:
@@ -244,8 +251,9 @@ def split_stratified(
     As in ``sample_rows``, hash buckets are counted per class and only those in which a cut
     falls are ranked.
     """
-    keyed = df.withColumn("_hash", order_key([F.col(c) for c in ids], seed)).withColumn("_bucket", F.shiftright("_hash", 60 - 16))
-    counts = keyed.groupBy(label, "_bucket").count().orderBy(label, "_bucket").collect()  # classes x 65536 at most
+    keyed = df.withColumn("_hash", order_key([F.col(c) for c in ids], seed))
+    keyed = keyed.withColumn("_bucket", F.shiftright("_hash", 60 - _bucket_bits(df.count())))
+    counts = keyed.groupBy(label, "_bucket").count().orderBy(label, "_bucket").collect()  # classes x buckets
     per_class: dict = {}
     for r in counts:
         per_class.setdefault(r[label], []).append((r["_bucket"], r["count"]))

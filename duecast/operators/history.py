@@ -88,8 +88,6 @@ def _timeline(df: DataFrame, row_id: str, allow_exact: bool) -> DataFrame:
     the other way round only from the next day on. Only probe rows carry the invoice itself.
     """
     customer, posting = find_column(df, CUSTOMER_NAMES), find_column(df, POSTING_NAMES)
-    if customer is None or posting is None:
-        raise ValueError("History features need a customer and a posting date column.")
     clear_name, due_name, late_name = (find_column(df, n) for n in (CLEAR_NAMES, DUE_NAMES, LATE_NAMES))
     assessed, clear, due = _as_date(df, posting), _as_date(df, clear_name), _as_date(df, due_name)
     known = clear if clear_name else assessed
@@ -258,12 +256,15 @@ def add_training_history(
     after, which also keeps an invoice cleared on its posting day from seeing its own label.
     One shuffle on the customer, unless a customer exceeds ``rows_per_task`` rows.
     """
-    rows = _timeline(df, row_id, allow_exact)
-    cold, hot = split_hot(rows, ["_customer"], rows_per_task)
-    result = _features(_running_state(cold, ["_customer"]))
+    customer = find_column(df, CUSTOMER_NAMES)
+    if customer is None or find_column(df, POSTING_NAMES) is None:
+        raise ValueError("History features need a customer and a posting date column.")
+    # An invoice makes at most two rows, so counting invoices bounds the windows and reads one column.
+    cold, hot = split_hot(df, [customer], max(1, rows_per_task // 2))
+    result = _features(_running_state(_timeline(cold, row_id, allow_exact), ["_customer"]))
     if hot is None:
         return result
-    pieces = segment(hot, ["_customer"], [F.col(c) for c in _ORDER], rows_per_task)
+    pieces = segment(_timeline(hot, row_id, allow_exact), ["_customer"], [F.col(c) for c in _ORDER], rows_per_task)
     local = _running_state(pieces, ["_customer", SEGMENT])
     return result.unionByName(_features(_add_carry(local, "_customer")))
 

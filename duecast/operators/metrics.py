@@ -159,25 +159,24 @@ def threshold_report(
     counts = df.where(p.isNotNull()).groupBy(passed.alias("passed")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
-    zero = F.lit(0)
-    sums = counts.agg(
-        F.coalesce(F.sum("pos"), zero).alias("p"),
-        *[F.coalesce(F.sum(F.when(F.col("passed") > i, F.col("pos"))), zero).alias(f"tp{i}") for i in range(last + 1)],
-        *[F.coalesce(F.sum(F.when(F.col("passed") > i, F.col("neg"))), zero).alias(f"fp{i}") for i in range(last + 1)],
-    )
-    rows = [
-        F.struct(F.lit(round(t, 2)).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("false_positives"), F.col("p"))
-        for i, t in enumerate(THRESHOLDS)
-    ]
-    tp, fp, fn = F.col("tp").cast("double"), F.col("false_positives").cast("double"), (F.col("p") - F.col("tp")).cast("double")
-    return sums.select(F.inline(F.array(*rows))).select(
+    # At most 72 cells remain; each threshold sums the cells above it.
+    cells = counts.agg(F.collect_list(F.struct("passed", "pos", "neg")).alias("cells"))
+    rows = cells.select("cells", F.posexplode(F.array(*[F.lit(round(t, 2)) for t in THRESHOLDS])).alias("i", "threshold"))
+
+    def total(name: str, above: Column) -> Column:
+        kept = F.filter("cells", lambda c: c["passed"] > above)
+        return F.aggregate(kept, F.lit(0).cast("bigint"), lambda so_far, c: so_far + c[name])
+
+    sums = rows.select("threshold", total("pos", F.col("i")).alias("hits"), total("neg", F.col("i")).alias("alarms"), total("pos", F.lit(-1)).alias("p"))
+    tp, fp, fn = F.col("hits").cast("double"), F.col("alarms").cast("double"), (F.col("p") - F.col("hits")).cast("double")
+    return sums.select(
         "threshold",
         _or_zero(ratio(tp, tp + fp)).alias("precision"),
         _or_zero(ratio(tp, tp + fn)).alias("recall"),
         _or_zero(ratio(2 * tp, 2 * tp + fp + fn)).alias("f1"),
-        "false_positives",
-        (F.col("p") - F.col("tp")).alias("false_negatives"),
-        (F.col("tp") + F.col("false_positives")).alias("reviews"),
+        F.col("alarms").alias("false_positives"),
+        (F.col("p") - F.col("hits")).alias("false_negatives"),
+        (F.col("hits") + F.col("alarms")).alias("reviews"),
         F.round(fn * miss_cost + fp * false_alert_cost + (tp + fp) * review_cost, 2).alias("estimated_cost"),
     )
 

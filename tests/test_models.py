@@ -106,6 +106,19 @@ def test_newest_rows_keep_every_series(spark):
     assert kept == {"a": (19, "2026-03-01"), "b": (1, "2026-01-03")}
 
 
+def test_sizes_are_honoured(spark):
+    df = _series(spark, 200, "a").unionByName(_series(spark, 50, "b")).withColumn("payload", F.repeat(F.lit("x"), 100)).withColumn("row_id", F.col("date"))
+    width = df.agg(F.sum(demand.row_bytes(df))).first()[0] / 250
+    kept = demand.fit_series_to_size(df, int(100 * width))
+    assert kept.agg(F.sum(demand.row_bytes(kept))).first()[0] <= 100 * width
+    assert kept.agg(F.max("date")).first()[0] == df.agg(F.max("date")).first()[0]
+    flagged = df.withColumn("is_problem", F.col("product_id") == "b")
+    fitted, report = demand.fit_to_size(flagged, int(80 * width), ["date", "product_id"], "row_id")
+    assert report["problem_rows_removed"] == 50 and report["final_bytes"] <= 80 * width and fitted.count() == report["final_rows"] > 60
+    with pytest.raises(ValueError):
+        demand.reduce_files(df, 1000, 10, ["date"])
+
+
 def test_joint_decisions(spark):
     a = spark.createDataFrame([("1", 0.5, "MEDIUM_RISK"), ("2", 0.1, "LOW_RISK")], "client_id string, behavior_probability double, behavior_tier string")
     b = spark.createDataFrame([("1", 0.4, "MEDIUM_RISK"), ("3", 0.4, "MEDIUM_RISK")], "client_id string, loan_probability double, loan_tier string")
