@@ -206,6 +206,12 @@ def decision_summary(df: DataFrame) -> DataFrame:
     return counts.withColumn("headline", F.concat(F.format_number("total", 0), F.lit(" customers assessed")))
 
 
+def observation_summary(df: DataFrame) -> DataFrame:
+    """Observations, anomalies and stock risks of a flagged forecast with a headline, one row. [A8]"""
+    counts = df.agg(F.count("*").alias("total"), F.count_if("is_anomaly").alias("anomalies"), F.count_if("stockout_risk").alias("stockout_risks"))
+    return counts.withColumn("headline", F.concat(F.format_number("total", 0), F.lit(" forecast observations analyzed")))
+
+
 def forecast_summary(df: DataFrame, order: str) -> DataFrame:
     """Total, trend from the first to the last period, and flag counts. [A9]"""
     edges = df.agg(

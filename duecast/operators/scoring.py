@@ -7,7 +7,10 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duecast.functions.values import TIER_BOUNDS, display_number, factor_label, tier
+from duecast.functions.values import TIER_BOUNDS, display_number, factor_label, lookup, tier
+from duecast.operators.history import HISTORY_FEATURES
+from duecast.operators.profile import check_for_model, model_input, raw_features
+from duecast.operators.serving import RECORD_TYPE, prepare_assessment
 
 # Actions per tier and per flag.
 TIER_ACTIONS = {
@@ -18,6 +21,15 @@ TIER_ACTIONS = {
 STOCK_ACTION = "Review replenishment and safety-stock levels."
 ANOMALY_ACTION = "Investigate the demand deviation, promotion, weather, pricing, and data quality."
 NO_ACTION = "No exceptional action detected."
+NO_DRIVER = "No strong individual driver identified. The score results from several weak combined factors."
+DECISION_ACTIONS = {
+    "MANUAL_REVIEW": "Prioritize high-risk records for accountable human review.",
+    "REVIEW_RECOMMENDED": "Review medium-risk records and verify source data.",
+    "STANDARD_PROCESS": "Continue the standard process with routine monitoring.",
+    "OPERATIONAL_REVIEW": "Review stock exposure and confirm replenishment constraints.",
+    "INVESTIGATE_VARIANCE": "Investigate the largest verified deviations.",
+    "NORMAL_MONITORING": "Continue routine monitoring.",
+}
 MIN_IMPACT = 0.0005
 
 
@@ -62,8 +74,6 @@ def key_risk_factors(
 
 def describe_drivers(drivers: Column) -> Column:
     """Drivers as numbered lines with readable names. [T4, X20]"""
-    weak = "No strong individual driver identified. The score results from several weak combined factors."
-
     def line(entry: Column, position: Column) -> Column:
         percent = entry["impact"] * 100
         strength = F.when(percent < 0.1, "less than 0.1%").otherwise(F.concat(F.format_number(percent, 1), F.lit("%")))
@@ -71,7 +81,7 @@ def describe_drivers(drivers: Column) -> Column:
         shown = F.when(entry["value"].try_cast("double").isNull() & entry["value"].isNotNull(), entry["value"]).otherwise(shown)
         return F.concat((position + 1).cast("string"), F.lit(". "), factor_label(entry["feature"]), F.lit(": "), shown, F.lit(" | Influence: "), strength)
 
-    return F.when(F.size(drivers) == 0, weak).otherwise(F.array_join(F.transform(drivers, line), "\n"))
+    return F.when(F.size(drivers) == 0, NO_DRIVER).otherwise(F.array_join(F.transform(drivers, line), "\n"))
 
 
 def unusual_indicators(df: DataFrame, medians: Mapping[str, float | None], top_k: int = 5) -> DataFrame:
@@ -140,26 +150,39 @@ def apply_policy(df: DataFrame) -> DataFrame:
     return df.withColumns({"recommended_actions": F.concat(allowed, added), "policy_status": status})
 
 
+def _decided(counts: DataFrame, status: Column) -> DataFrame:
+    return counts.withColumn("decision_status", status).withColumn("priority_action", lookup(F.col("decision_status"), DECISION_ACTIONS))
+
+
 def payment_decision(counts: DataFrame) -> DataFrame:
     """Status of a whole assessment from its tier counts. [M27]"""
-    status = F.when(F.col("high_risk") > 0, "MANUAL_REVIEW").when(F.col("medium_risk") > 0, "REVIEW_RECOMMENDED").otherwise("STANDARD_PROCESS")
-    action = (
-        F.when(F.col("high_risk") > 0, "Prioritize high-risk records for accountable human review.")
-        .when(F.col("medium_risk") > 0, "Review medium-risk records and verify source data.")
-        .otherwise("Continue the standard process with routine monitoring.")
-    )
-    return counts.withColumns({"decision_status": status, "priority_action": action})
+    status = F.when(F.col("high_risk") > 0, "MANUAL_REVIEW").when(F.col("medium_risk") > 0, "REVIEW_RECOMMENDED")
+    return _decided(counts, status.otherwise("STANDARD_PROCESS"))
 
 
 def forecast_decision(counts: DataFrame) -> DataFrame:
     """Status of a whole forecast from its flag counts. [M27]"""
-    status = F.when(F.col("stockout_risks") > 0, "OPERATIONAL_REVIEW").when(F.col("anomalies") > 0, "INVESTIGATE_VARIANCE").otherwise("NORMAL_MONITORING")
-    action = (
-        F.when(F.col("stockout_risks") > 0, "Review stock exposure and confirm replenishment constraints.")
-        .when(F.col("anomalies") > 0, "Investigate the largest verified deviations.")
-        .otherwise("Continue routine monitoring.")
-    )
-    return counts.withColumns({"decision_status": status, "priority_action": action})
+    status = F.when(F.col("stockout_risks") > 0, "OPERATIONAL_REVIEW").when(F.col("anomalies") > 0, "INVESTIGATE_VARIANCE")
+    return _decided(counts, status.otherwise("NORMAL_MONITORING"))
+
+
+def assess_payments(
+    raw: DataFrame, features: Sequence[str], score: Callable[[DataFrame], DataFrame], keep: Sequence[str] = ("row_id",),
+    bounds: tuple[float, float] = TIER_BOUNDS["scoring"], order: Sequence[str] = ("row_id",),
+) -> tuple[DataFrame, DataFrame]:
+    """(scored rows, issues) of an upload. [M18]
+
+    History features are added when the upload marks its records, or the model asks for them;
+    then only current rows are scored. ``score`` adds ``probability`` to the model's inputs.
+    """
+    data = raw
+    if RECORD_TYPE in raw.columns or set(features) & set(HISTORY_FEATURES):
+        data, _ = prepare_assessment(raw, raw_features(raw.columns, features), order)
+    issues = check_for_model(data, features)
+    if not issues.where("level = 'error'").isEmpty():
+        return data.limit(0).withColumns({"risk_score": F.lit(None).cast("double"), "risk_tier": F.lit(None).cast("string")}), issues
+    scored = score(model_input(data, features, keep))
+    return score_rows(scored, F.col("probability"), bounds).drop("probability"), issues
 
 
 def case_queue(df: DataFrame, score: str = "risk_score") -> DataFrame:

@@ -165,12 +165,12 @@ SERVING_SQL = f"""WITH {INVOICES},
 
 def assessment_counts(spark, root):
     """Without a record type the last invoice of a customer is the current one."""
-    _, stats = prepare_assessment(lenses.invoices(spark, root), order=["posting_date", "row_id"])
+    _, stats = prepare_assessment(lenses.invoices(spark, root), ["business_code", "previous_late_ratio"], order=["posting_date", "row_id"])
     return stats
 
 
 ASSESSMENT_SQL = """SELECT count(*) - count(DISTINCT o_custkey) AS history_rows, count(DISTINCT o_custkey) AS current_rows,
-  count(DISTINCT o_custkey) AS customers FROM orders"""
+  count(DISTINCT o_custkey) AS customers, count(*) > count(DISTINCT o_custkey) AS history_used, true AS model_uses_history FROM orders"""
 
 
 def latest_current(spark, root):

@@ -12,6 +12,7 @@ from duecast.operators.quantiles import exact_medians
 from duecast.plans import lens_sql as L
 from duecast.plans.combining import PROFILED, company_scores
 from duecast.plans.filtering import SCORED, scored
+from duecast.plans.history import SERVING_SQL, _record_types
 from duecast.plans.measures import _rounded
 from duecast.session import scratch_path
 from duecast.sources import files, lenses, workspace
@@ -352,6 +353,24 @@ PAYMENTS_SQL = f"""WITH {L.CREDIT}, p AS (SELECT client_id, {_card_sql()} AS p F
          ELSE 'Request manual credit review. Reduce exposure and tighten payment terms. Increase collection monitoring.' END AS actions FROM p"""
 
 
+def assessed_uploads(spark, root):
+    """Open invoices scored by a card over their history features; the upload marks its records."""
+    wanted = ["previous_late_ratio", "recent_5_late_ratio", "business_code_5-LOW"]
+
+    def card(df):
+        total = 0.1 + 0.6 * F.col("previous_late_ratio") + 0.2 * F.col("recent_5_late_ratio") + 0.05 * F.col("`business_code_5-LOW`")
+        return df.withColumn("probability", total)
+
+    scored_rows, _ = scoring.assess_payments(_record_types(spark, root), wanted, card)
+    return scored_rows.select("row_id", F.round("risk_score", 5).alias("risk_score"), "risk_tier")
+
+
+ASSESSED_SQL = f"""WITH s AS ({SERVING_SQL}), p AS (
+    SELECT row_id, 0.1::DOUBLE + 0.6::DOUBLE * previous_late_ratio + 0.2::DOUBLE * recent_5_late_ratio + 0.05::DOUBLE * (CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END) AS p
+    FROM s JOIN orders ON o_orderkey = row_id)
+  SELECT row_id, round(p, 5) AS risk_score, CASE WHEN p < 0.35::DOUBLE THEN 'LOW_RISK' WHEN p < 0.65::DOUBLE THEN 'MEDIUM_RISK' ELSE 'HIGH_RISK' END AS risk_tier FROM p"""
+
+
 def policy(spark, root):
     out = scoring.apply_policy(scoring.tier_actions(company_scores(spark, root)))
     return out.select("row_id", "company_id", "policy_status", F.array_join("recommended_actions", " / ").alias("actions"))
@@ -713,6 +732,7 @@ QUERIES = {
     "score_unusual_indicators": indicators,
     "score_reason_codes": reasons,
     "score_payments": scored_payments,
+    "score_assessed_uploads": assessed_uploads,
     "score_company_policy": policy,
     "score_decision": decision,
     "models_ranked_classifiers": ranked,
@@ -758,6 +778,7 @@ SQL = {
     "score_unusual_indicators": INDICATORS_SQL,
     "score_reason_codes": REASONS_SQL,
     "score_payments": PAYMENTS_SQL,
+    "score_assessed_uploads": ASSESSED_SQL,
     "score_company_policy": POLICY_SQL,
     "score_decision": DECISION_SQL,
     "models_ranked_classifiers": RANKED_SQL,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from duecast.operators import demand, filters, projection, scoring
+from duecast.operators import demand, filters, metrics, projection, scoring
 from duecast.plans import lens_sql as L
 from duecast.plans.filtering import _problems_sql
 from duecast.sources import lenses
@@ -277,6 +277,7 @@ QUERIES = {
     "forecast_flags_single_cover": lambda s, r: flagged_forecast(s, r, cover=1.0),
     "forecast_alerts": alerts,
     "forecast_row_alerts": cash_alerts,
+    "forecast_observations": lambda s, r: metrics.observation_summary(flagged_forecast(s, r)),
     "forecast_decision": forecast_status,
     "forecast_actions": series_actions,
 }
@@ -299,6 +300,8 @@ SQL = {
     "forecast_flags_single_cover": _flag_sql(1),
     "forecast_alerts": ALERTS_SQL,
     "forecast_row_alerts": CASH_ALERTS_SQL,
+    "forecast_observations": f"""SELECT count(*) AS total, count(*) FILTER (is_anomaly) AS anomalies, count(*) FILTER (stockout_risk) AS stockout_risks,
+      format('{{:,}}', count(*)) || ' forecast observations analyzed' AS headline FROM ({_flag_sql(2)})""",
     "forecast_decision": STATUS_SQL,
     "forecast_actions": ACTIONS_SQL,
 }

@@ -10,16 +10,30 @@ from duecast.functions.values import days_between, parse_spreadsheet_date
 from duecast.operators.combine import clean_headers, plain_name
 
 
+BROKEN_CHARACTER = "\ufffd"
+
+
 def read_delimited(
-    spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", schema: StructType | None = None, with_outcomes: bool = True
+    spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None, schema: StructType | None = None, with_outcomes: bool = True
 ) -> DataFrame:
     """Delimited text as string columns with clean headers and payment outcomes filled in. [S1-S3]
 
+    Without an ``encoding`` the text is read as UTF-8, and as Latin-1 if that breaks a character.
     No type is inferred: that would read the files twice and guess. A known ``schema`` of
     string columns also saves the header scan.
     """
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", False)
-    df = clean_headers((reader.schema(schema) if schema is not None else reader).csv(path))
+    def read(charset: str) -> DataFrame:
+        reader = spark.read.option("header", True).option("sep", sep).option("encoding", charset)
+        return (reader.schema(schema) if schema is not None else reader).csv(path)
+
+    df = read(encoding or "UTF-8")
+    if encoding is None:
+        broken = F.lit(any(BROKEN_CHARACTER in c for c in df.columns))
+        for c in df.columns:
+            broken = broken | F.coalesce(F.contains(F.col(f"`{c}`"), F.lit(BROKEN_CHARACTER)), F.lit(False))
+        if not df.where(broken).isEmpty():
+            df = read("ISO-8859-1")
+    df = clean_headers(df)
     return fill_outcomes(df) if with_outcomes else df
 
 

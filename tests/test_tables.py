@@ -111,6 +111,14 @@ def test_delimited_text(spark, tmp_path):
         files.read_delimited(spark, str(path), sep=";")
 
 
+def test_latin_text(spark, tmp_path):
+    path = tmp_path / "l.csv"
+    path.write_bytes("name,n\nJosé,1\n".encode("latin-1"))
+    assert files.read_delimited(spark, str(path)).first().name == "José"
+    path.write_bytes("name,n\nJosé,1\n".encode("utf-8"))
+    assert files.read_delimited(spark, str(path)).first().name == "José"
+
+
 def test_case_updates(spark, tmp_path):
     scored = spark.createDataFrame([("A", 0.9, "HIGH_RISK"), ("B", 0.5, "MEDIUM_RISK"), ("C", 0.1, "LOW_RISK")], "client_id string, risk_score double, risk_tier string")
     root = str(tmp_path)
