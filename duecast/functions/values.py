@@ -38,7 +38,7 @@ def ratio(top: Column, bottom: Column) -> Column:
 
 def percent_number(text: Column) -> Column:
     """``"1,234.5%"`` to 1234.5."""
-    return number(F.regexp_replace(text, "[%,]", ""))
+    return number(F.translate(text, "%,", ""))
 
 
 def first_digits(text: Column) -> Column:
@@ -61,9 +61,11 @@ def yes_no(condition: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """Compact ``yyyyMMdd`` (also with a trailing ``.0``) or an ISO date; else NULL."""
-    raw = F.regexp_replace(F.trim(text), r"\.0$", "")
-    compact = F.when(raw.rlike(r"^\d{8}$"), F.try_to_timestamp(raw, F.lit("yyyyMMdd")).cast("date"))
-    general = F.when(raw.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), raw.try_cast("date"))
+    trimmed = F.trim(text)
+    raw = F.when(F.endswith(trimmed, F.lit(".0")), F.substring(trimmed, F.lit(1), F.length(trimmed) - 2)).otherwise(trimmed)
+    # Cheap tests come first, so that most cells never meet a regular expression.
+    compact = F.when((F.length(raw) == 8) & raw.rlike(r"^\d{8}$"), F.try_to_timestamp(raw, F.lit("yyyyMMdd")).cast("date"))
+    general = F.when((F.substring(raw, 5, 1) == "-") & raw.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), raw.try_cast("date"))
     return F.coalesce(compact, general)
 
 

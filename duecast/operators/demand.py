@@ -138,15 +138,16 @@ def rows_for_bytes(df: DataFrame, limit_bytes: int) -> tuple[int, int, int]:
 
 def fit_to_size(df: DataFrame, limit_bytes: int, ids: Sequence[str], row_id: str, seed: int = 42) -> tuple[DataFrame, dict]:
     """Problem rows (``is_problem``) go first, then a seeded sample keeps the table within the limit. [T3]"""
-    # Several passes follow, so the usable rows are written once.
-    clean = materialize(df.where("not is_problem").drop("is_problem"), "usable")
+    # Several passes follow, so the marked rows are written once.
+    marked = materialize(df, "marked")
+    clean = marked.where("not is_problem").drop("is_problem")
     rows, size, keep = rows_for_bytes(clean, limit_bytes)
     kept, kept_rows, kept_size = clean, rows, size
     while kept_size > limit_bytes and kept_rows > 1:
         kept = sample_rows(clean, keep, ids, seed, row_id)
         kept_rows, kept_size, _ = rows_for_bytes(kept, limit_bytes)
         keep = max(1, min(keep - 1, int(keep * limit_bytes / max(kept_size, 1)) - 1))
-    source = df.count()
+    source = marked.count()
     return kept, {
         "source_rows": source, "problem_rows_removed": source - rows, "random_rows_removed": rows - kept_rows, "final_rows": kept_rows,
         "final_bytes": kept_size,

@@ -157,15 +157,20 @@ def positive_probability(scored: DataFrame) -> DataFrame:
     return scored.withColumn("probability", vector_to_array("probability")[1])
 
 
+def prepare_vectors(train: DataFrame, stages: Sequence, keep: Sequence[str]) -> tuple[PipelineModel, DataFrame]:
+    """Fitted preparation, and the training vectors written once: learners pass over them many times."""
+    fitted = Pipeline(stages=list(stages)).fit(train)
+    return fitted, materialize(fitted.transform(train).select("features", *keep), "vectors")
+
+
 def fit_classifier(
     train: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], algorithm: str, overrides: Mapping | None = None,
-    min_frequency: int = 5, balanced: bool = True,
+    min_frequency: int = 5,
 ) -> PipelineModel:
-    """One classifier behind its preparation. [M5, M6]"""
-    stages = preparation(train, numeric, categorical, min_frequency)
-    weight = {"weightCol": "weight"} if balanced else {}
-    estimator = _estimator(CLASSIFIERS, algorithm, overrides, featuresCol="features", labelCol=label, **weight)
-    return Pipeline(stages=[*stages, estimator]).fit(add_class_weight(train, label) if balanced else train)
+    """One class-balanced classifier behind its preparation. [M5, M6]"""
+    estimator = _estimator(CLASSIFIERS, algorithm, overrides, featuresCol="features", labelCol=label, weightCol="weight")
+    fitted, vectors = prepare_vectors(train, preparation(train, numeric, categorical, min_frequency), [label])
+    return PipelineModel(stages=[*fitted.stages, estimator.fit(add_class_weight(vectors, label))])
 
 
 MEASURES = ["accuracy", "precision", "recall", "f1", "specificity", "balanced_accuracy", "mcc", "roc_auc", "pr_auc", "brier"]
@@ -245,7 +250,9 @@ def score_credit_model(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def train_loan_model(df: DataFrame, overrides: Mapping | None = None) -> PipelineModel:
     """Loan-default classifier on the loan contract. [M8]"""
-    return fit_classifier(df.withColumn("y", F.col("Default")), "y", LOAN_NUMERIC, LOAN_CATEGORICAL, "Gradient Boosting", overrides, min_frequency=1)
+    # Loan rows are parsed from text; several passes follow, so they are written once.
+    rows = materialize(df.withColumn("y", F.col("Default")), "loans")
+    return fit_classifier(rows, "y", LOAN_NUMERIC, LOAN_CATEGORICAL, "Gradient Boosting", overrides, min_frequency=1)
 
 
 def train_demand_models(
@@ -259,12 +266,13 @@ def train_demand_models(
     parts = {n: parted.where(F.col("split") == n).drop("split") for n in ("train", "validation", "test")}
     sizes = {r["split"]: r["count"] for r in parted.groupBy("split").count().collect()}
     runs, models = [], {}
+    stages = preparation(parts["train"], inputs, categorical, min_frequency=2, unknown_as_infrequent=True, scale=False)
+    fitted, vectors = prepare_vectors(parts["train"], stages, [target])
     for name in algorithms:
-        stages = preparation(parts["train"], inputs, categorical, min_frequency=2, unknown_as_infrequent=True, scale=False)
         # The penalty of the mean squared error that equals one of the summed squared error.
         settings = {**({"regParam": RIDGE_ALPHA / max(sizes.get("train", 1), 1)} if name == "Ridge" else {}), **(overrides or {})}
         estimator = _estimator(REGRESSORS, name, settings, featuresCol="features", labelCol=target)
-        models[name] = Pipeline(stages=[*stages, estimator]).fit(parts["train"])
+        models[name] = PipelineModel(stages=[*fitted.stages, estimator.fit(vectors)])
         figures = {}
         for part, rows in parts.items():
             if part != "train" or with_train_figures:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from duecast.functions.values import mode_label
 from duecast.operators.demand import SERIES
 from duecast.operators.metrics import horizon_edges, horizon_totals
+from duecast.session import checkpointed
 
 Z_95 = 1.96
 LAGS = (1, 7, 14)
@@ -109,7 +110,7 @@ def project_model(
         forecast = F.greatest(F.col("prediction"), F.lit(0.0)) if nonnegative else F.col("prediction")
         state = scored.withColumn("_values", F.array_append("_values", forecast)).select(*columns)
         if number % STEPS_PER_CHECKPOINT == 0 and number < horizon:
-            state = state.checkpoint()
+            state = checkpointed(state)
     return _emit(state, horizon, deviation, value, keys, frozen)
 
 

@@ -100,7 +100,7 @@ def fitted(spark, root):
     limit = 512 * 1024
     _, report = demand.fit_to_size(df, limit, ["date", "store_id", "product_id"], "row_order")
     facts = {**report, "within_limit": report["final_bytes"] <= limit, "all_counted": report["problem_rows_removed"] + report["random_rows_removed"] + report["final_rows"] == report["source_rows"]}
-    return df.agg(F.count("*").alias("rows"), *[F.lit(facts[n]).alias(n) for n in ("source_rows", "problem_rows_removed", "within_limit", "all_counted")])
+    return read(spark, root, "lineitem").agg(F.count("*").alias("rows"), *[F.lit(facts[n]).alias(n) for n in ("source_rows", "problem_rows_removed", "within_limit", "all_counted")])
 
 
 FITTED_SQL = f"""SELECT count(*) AS rows, CAST(count(*) AS INTEGER) AS source_rows, CAST(count(*) FILTER (is_problem) AS INTEGER) AS problem_rows_removed,
