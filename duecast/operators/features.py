@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duecast.functions.values import (
-    blank, finite, first_digits, midpoint, months_from_years, parse_date, percent_number, ratio, row_count, row_max, row_mean,
+    finite, first_digits, midpoint, months_from_years, parse_date, percent_number, ratio, row_count, row_max, row_mean,
     row_sum, yes_no,
 )
 
@@ -172,11 +172,3 @@ def loan_layout(df: DataFrame, require_target: bool = True, carry: Mapping[str,
     if not require_target:
         return df.select(*made, *extra)
     return df.where(status.isin(LOAN_GOOD + LOAN_BAD)).select(*made, status.isin(LOAN_BAD).cast("int").alias("Default"), *extra)
-
-
-def text_is_blank(df: DataFrame, columns: Sequence[str]) -> Column:
-    """True when any of the columns is blank."""
-    found = F.lit(False)
-    for c in columns:
-        found = found | blank(F.col(c))
-    return found

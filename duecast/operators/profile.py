@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from duecast.functions.values import NUMBER_TEXT, number, parse_date
 from duecast.operators.combine import plain_name

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from duecast.operators import combine, features, scoring
+from duecast.operators import combine, scoring
 from duecast.plans import lens_sql as L
 from duecast.plans.scalars import LOAN_SELECT
 from duecast.sources import lenses

@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from duecast.operators import learn, profile, projection, quality, scoring, selection
-from duecast.operators.features import CREDIT_FEATURES, add_credit_behaviour, loan_layout
+from duecast.operators.features import CREDIT_FEATURES, loan_layout
 from duecast.operators.quantiles import exact_medians
 from duecast.plans import lens_sql as L
 from duecast.plans.combining import PROFILED, company_scores

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from duecast.functions import values as v
 from duecast.operators import features
 from duecast.operators.filters import safe_sample
+from duecast.operators.projection import interval
 from duecast.plans import lens_sql as L
 from duecast.sources import lenses
 from duecast.sources.tables import read
@@ -185,19 +186,13 @@ SAFE_IDS_SQL = "SELECT page_id, substring(regexp_replace(trim(url), '[^A-Za-z0-9
 def intervals(spark, root):
     forecast = F.col("forecast_value") - 40
     df = lenses.forecasts(spark, root).select("date", "store_id", "product_id", forecast.alias("f"), F.lit(12.5).alias("sd"))
-    low, high = v_interval(F.col("f"), F.col("sd"))
+    low, high = interval(F.col("f"), F.col("sd"))
     return df.select(
         "date", "store_id", "product_id", F.round(F.greatest("f", F.lit(0.0)), 2).alias("forecast"),
         F.round(low, 4).alias("forecast_lower"), F.round(high, 4).alias("forecast_upper"),
     )
 
 
-def v_interval(forecast, deviation):
-    from duecast.operators.projection import interval
-
-    return interval(forecast, deviation)
-
-
 INTERVALS_SQL = f"""WITH {L.FORECASTS} SELECT date, store_id, product_id, round(greatest(forecast_value - 40, 0), 2) AS forecast,
   round(greatest(forecast_value - 40 - 1.96::DOUBLE * 12.5::DOUBLE, 0), 4) AS forecast_lower,
   round(forecast_value - 40 + 1.96::DOUBLE * 12.5::DOUBLE, 4) AS forecast_upper FROM forecasts"""
