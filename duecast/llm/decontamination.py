@@ -8,6 +8,9 @@ hit are extended to whole windows and compared word by word.
 
 Items shorter than a window are matched by all grams of their length, since a window of the document
 around them need not choose a gram inside them.
+
+The outer forms of explode are used on purpose: for the plain ones the optimizer adds a filter on the
+array's size and pushes it below, which evaluates the nested array expressions once more per use.
 """
 
 from __future__ import annotations
@@ -49,7 +52,7 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     split = benchmark.select(F.col(id_col).alias("item_id"), alnum_words(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_w"))
     split = split.where(F.size("_w") > 0).withColumns({"_g": _grams("_w"), "width": F.least(F.size("_w"), F.lit(WINDOW))})
     split = split.withColumn("_m", _minima("_g")).drop("_g")
-    placed = split.select("item_id", "width", "_w", "_m", F.explode(F.sequence(F.lit(0), F.size("_w") - F.col("width"))).alias("_i"))
+    placed = split.select("item_id", "width", "_w", "_m", F.explode_outer(F.sequence(F.lit(0), F.size("_w") - F.col("width"))).alias("_i"))
     return placed.select("item_id", "width", F.array_join(F.slice("_w", F.col("_i") + 1, F.col("width")), " ").alias("gram"), F.get("_m", F.col("_i")).alias("print")).distinct()
 
 
@@ -60,7 +63,7 @@ def _runs(docs: DataFrame) -> DataFrame:
     changes = F.filter(F.transform("_m", lambda m, i: F.when(F.coalesce(F.get(F.col("_m"), i - 1) != m, F.lit(True)), F.struct(m.alias("m"), i.alias("i")))), lambda c: c.isNotNull())
     runs = prints.withColumns({"_r": changes, "_n": F.size("_m")}).drop("_m")
     ended = F.transform("_r", lambda r, j: F.struct(r["m"].alias("print"), r["i"].alias("first"), (F.coalesce(F.get(F.col("_r"), j + 1)["i"], F.col("_n")) - 1).alias("last")))
-    return runs.withColumn("_e", ended).select("_id", "_hash", F.inline("_e"))
+    return runs.withColumn("_e", ended).select("_id", "_hash", F.inline_outer("_e"))
 
 
 def benchmark_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -72,11 +75,11 @@ def benchmark_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     runs = _runs(docs).join(hint(prints), "print", "left_semi")
     per_doc = runs.groupBy("_id", "_hash").agg(F.collect_set(F.struct("first", "last")).alias("_runs"))
     opened = join_keyed(docs, per_doc, "inner").withColumn("_w", alnum_words(F.col("_text"))).drop("_text")
-    places = opened.select("_id", "_hash", "_w", F.explode("_runs").alias("_run")).select("_id", "_hash", "_w", F.explode(F.sequence("_run.first", "_run.last")).alias("start"))
+    places = opened.select("_id", "_hash", "_w", F.explode_outer("_runs").alias("_run")).select("_id", "_hash", "_w", F.explode_outer(F.sequence("_run.first", "_run.last")).alias("start"))
     found = [places.select("_id", "_hash", "start", F.lit(WINDOW).alias("width"), F.array_join(F.slice("_w", F.col("start") + 1, WINDOW), " ").alias("gram"))]
     for width in lengths:
         split = docs.select("_id", "_hash", alnum_words(F.col("_text")).alias("_w")).where(F.size("_w") >= width)
-        all_places = split.select("_id", "_hash", "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - width)).alias("start"))
+        all_places = split.select("_id", "_hash", "_w", F.explode_outer(F.sequence(F.lit(0), F.size("_w") - width)).alias("start"))
         found.append(all_places.select("_id", "_hash", "start", F.lit(width).alias("width"), F.array_join(F.slice("_w", F.col("start") + 1, width), " ").alias("gram")))
     candidates = reduce(DataFrame.unionByName, found)
     return candidates.join(hint(windows.select("item_id", "width", "gram")), ["width", "gram"]).select("_id", "_hash", "start", "width", "item_id")

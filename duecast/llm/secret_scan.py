@@ -50,7 +50,7 @@ def candidate_spans(docs: DataFrame) -> DataFrame:
     """(_id, _hash, _owner, kind_no, kind, start, end, value) of all matches that pass; ``docs`` is keyed and has _owner."""
     kinds = list(KINDS)
     worth = docs.where(F.col("_text").rlike("|".join(KINDS[k][0] for k in kinds)))
-    rows = worth.select("_id", "_hash", "_owner", F.explode(F.concat(*[_matches(k, n) for n, k in enumerate(kinds)])).alias("m")).select("_id", "_hash", "_owner", "m.*")
+    rows = worth.select("_id", "_hash", "_owner", F.explode_outer(F.concat(*[_matches(k, n) for n, k in enumerate(kinds)])).alias("m")).select("_id", "_hash", "_owner", "m.*")
     one_doc = Window.partitionBy("_id", "_hash", "_owner", "kind_no").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     # A row repeated in the input would add its gaps twice.
     placed = rows.distinct().withColumn("end", F.sum(F.col("gap") + F.col("size")).over(one_doc)).withColumn("start", F.col("end") - F.col("size"))
