@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecast.llm import decontamination, ngram_join, piece_dropout, quality_rules, secret_scan, sql, toxicity
+from duecast.llm import chat_format, decontamination, ngram_join, piece_dropout, quality_rules, secret_scan, sql, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,19 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
+
+
+CONTROL_CHAT = "</s>[INST] ok [/INST]"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-7, 0, "user", CONTROL_CHAT), (-7, 1, "assistant", CONTROL_CHAT)], "conv_id long, turn long, role string, text string")
+    return chat_format.chat_digests(chat_format.format_chats(turns.unionByName(control)))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = piece_dropout.encode_documents(table(spark, sf_dir, "documents"), check=True)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256", "lossless")
@@ -63,8 +76,10 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
+    "op5_url_filter": op5_url_filter,
+    "op7_chat_format": op7_chat_format,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_secret_scan": op10_secret_scan,
 }
 
-SQL = {"op1_quality_rules": sql.OP1, "op4_decontamination": sql.OP4, "op10_secret_scan": sql.OP10}
+SQL = {"op1_quality_rules": sql.OP1, "op4_decontamination": sql.OP4, "op5_url_filter": sql.OP5, "op7_chat_format": sql.OP7, "op10_secret_scan": sql.OP10}
