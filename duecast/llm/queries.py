@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecast.llm import chat_format, decontamination, ngram_join, piece_dropout, quality_rules, secret_scan, sql, toxicity, url_filter
+from duecast.llm import chat_format, decontamination, ngram_join, piece_dropout, quality_rules, secret_scan, sql, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256", "lossless")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_counts(token_counts.write_token_files(table(spark, sf_dir, "documents")))
+
+
 def _is_kind(kind: str):
     return lambda finding: finding["kind"] == kind
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op7_chat_format": op7_chat_format,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
 }
 
