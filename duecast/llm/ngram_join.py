@@ -1,8 +1,8 @@
 """N-gram Jaccard join with a token-group matrix.
 
 1. Every text becomes the set of its distinct three-word shingles, hashed to 63 bits. Equal sets are
-   collapsed: only the smallest document of each set goes on, and sets under ten shingles can link
-   with equal sets only (one differing shingle puts them below 0.9).
+   collapsed: only the smallest document of each set goes on, and sets so small that one more shingle
+   falls below the limit (under nine at 0.9) can link with equal sets only.
 2. Sets are partitioned into groups of similar sets: those made mostly of shingles that many documents
    hold are grouped by the smallest of these, the others by their smallest rarer shingle. Groups over
    ``CHUNK`` members are dealt into chunks by hash, so that no group grows with the data.
@@ -49,6 +49,11 @@ def prefix_size(n, percent: int = PERCENT):
     return n - (percent * n + 99) // 100 + SHARED
 
 
+def least_size(percent: int = PERCENT) -> int:
+    """The smallest set that can link with another than its equal: n / (n + 1) reaches the limit."""
+    return -(-percent // (100 - percent)) if percent < 100 else 2**62
+
+
 def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct 63-bit shingle hashes) for every row with a word."""
     raw, ends = bw.text_buffer(column)
@@ -266,7 +271,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     small_batches(spark)
     sketches = materialize(plain.mapInArrow(_sketches(words, percent), _SKETCH), "shingle-sketches")
     classes = materialize(sketches.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id")), "shingle-classes")
-    sets = sketches.where("n >= 10").join(classes, ["d1", "d2", "n", "doc_id"], "left_semi").select("doc_id", F.col("d1").alias("node"), "n", "low")
+    sets = sketches.where(F.col("n") >= least_size(percent)).join(classes, ["d1", "d2", "n", "doc_id"], "left_semi").select("doc_id", F.col("d1").alias("node"), "n", "low")
     if not sets.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
         sets = sets.dropDuplicates(["node"])
     ordered = materialize(_order_tokens(sets.select("node", "n", "low"), percent), "shingle-order")
