@@ -1,7 +1,72 @@
-"""Placeholder until all stages exist."""
+"""From raw documents to token pieces: five stages, each written as Parquet and read again.
+
+Every stage works on all rows that its predecessor kept. All but the last return the columns of
+``documents``. An empty table passes through every stage; each stage's operator states what it does
+with nulls and repeated rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from duecast.llm import decontamination, ngram_join, piece_dropout, quality_rules, secret_scan
+from duecast.session import materialize
+
+#: Near-duplicates share four fifths of their distinct five-word shingles.
+SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass every quality rule."""
+    return quality_rules.quality_rules(docs).where("kept").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest number of each component; documents without a word stay."""
+    first = ngram_join.ngram_components(docs, words=SHINGLE_WORDS, percent=SHINGLE_PERCENT)
+    kept = first.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of any benchmark item."""
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id", "text_hash")
+    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return hashed.join(found, hashed["doc_id"].eqNullSafe(found["doc_id"]) & (hashed["_hash"] == found["text_hash"]), "left_anti").select(docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret that is not a widely copied example masked and ``n_chars`` counted anew."""
+    found = secret_scan.scan_secrets(docs)
+    live = found.withColumn("findings", F.filter("findings", lambda f: ~f["shared"])).where(F.size("findings") > 0).dropDuplicates(["doc_id", "text_hash"])
+    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = hashed.alias("d").join(live.withColumnRenamed("doc_id", "found_id"), F.col("d.doc_id").eqNullSafe(F.col("found_id")) & (F.col("_hash") == F.col("text_hash")), "left")
+    masked = joined.withColumn("text", F.when(F.col("findings").isNull(), F.col("text")).otherwise(secret_scan.redact(F.col("text"), F.col("findings"))))
+    masked = masked.withColumn("n_chars", F.when(F.col("findings").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return masked.select(docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, lossless) of every document."""
+    encoded = piece_dropout.encode_documents(docs, check=True)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "lossless")
+
+
+STAGES = [
+    ("quality_rules", keep_quality),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("decontamination", drop_benchmark_copies),
+    ("secret_scan", mask_secrets),
+    ("sentencepiece", encode_pieces),
+]
+
+#: Seeded merge-dropout has no SQL form; tests/llm compares run() with a plain version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return docs

@@ -97,7 +97,9 @@ def text_figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     covered = F.aggregate(
         F.transform("_p", lambda p, j: F.least(F.lit(3), F.coalesce(F.get(F.col("_p"), j + 1) - p, F.lit(3)))), F.lit(0).cast("long"), lambda total, n: total + n
     )
-    return starts.withColumn("_figures", F.struct("_counts.*", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))).drop("_p", "_counts")
+    figures = F.struct("_counts.*", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
+    # Through a generator, so that the optimizer cannot push a caller's filter below and copy the nested steps into it.
+    return starts.withColumn("_figures", F.explode_outer(F.array(figures))).drop("_p", "_counts")
 
 
 def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text") -> DataFrame:
