@@ -299,6 +299,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Texts differ widely in length; fewer rows per Arrow batch keep the Python workers' memory bounded."""
+def batch_limits(spark: SparkSession, rows: int = 20_000, size: str = "8m") -> None:
+    """Texts differ widely in length; Arrow batches bounded in bytes keep the Python workers' memory bounded."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    batch_limits(spark, rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecast.llm import chat_format, decontamination, ngram_join, piece_dropout, quality_rules, secret_scan, sql, token_counts, toxicity, url_filter
+from duecast.llm import chat_format, decontamination, ngram_join, piece_dropout, quality_rules, secret_scan, sql, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["stop"] - span["start"])
+    return left.select("doc_id", "n_bytes", F.coalesce(removed, F.lit(0).cast("long")).alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 CONTROL_CHAT = "</s>[INST] ok [/INST]"
 
 
@@ -81,6 +87,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_token_counts": op9_token_counts,
