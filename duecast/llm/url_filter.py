@@ -99,6 +99,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     spread = clean.withColumn("part", F.explode(rule_ranges("key"))).select("part", "key", "path", "name", "verdict")
 
     def sweep(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:  # a range that only rules touch
+            return pd.DataFrame(columns=["page_id", "host", "path", "rule", "verdict"]).astype(object)
         left = left.sort_values(["key", "path"], kind="stable")
         answers = list(_sweep(left, right.sort_values("key", kind="stable")))
         return pd.DataFrame({"page_id": left["page_id"], "host": left["host"], "path": left["path"], "rule": [a[0] for a in answers], "verdict": [a[1] or default for a in answers]})
