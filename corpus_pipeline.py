@@ -7,7 +7,7 @@ with nulls and repeated rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duecast.llm import decontamination, ngram_join, piece_dropout, quality_rules, secret_scan
@@ -25,25 +25,31 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest number of each component; documents without a word stay."""
     first = ngram_join.ngram_components(docs, words=SHINGLE_WORDS, percent=SHINGLE_PERCENT)
-    kept = first.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    kept = first.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of any benchmark item."""
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id", "text_hash")
-    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return hashed.join(found, hashed["doc_id"].eqNullSafe(found["doc_id"]) & (hashed["_hash"] == found["text_hash"]), "left_anti").select(docs.columns)
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
+    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__found"))
+    hashed = docs.withColumn("__hash", _text_hash())
+    return hashed.join(found, hashed["doc_id"].eqNullSafe(found["__id"]) & (hashed["__hash"] == found["__found"]), "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret that is not a widely copied example masked and ``n_chars`` counted anew."""
-    found = secret_scan.scan_secrets(docs)
-    live = found.withColumn("findings", F.filter("findings", lambda f: ~f["shared"])).where(F.size("findings") > 0).dropDuplicates(["doc_id", "text_hash"])
-    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = hashed.alias("d").join(live.withColumnRenamed("doc_id", "found_id"), F.col("d.doc_id").eqNullSafe(F.col("found_id")) & (F.col("_hash") == F.col("text_hash")), "left")
-    masked = joined.withColumn("text", F.when(F.col("findings").isNull(), F.col("text")).otherwise(secret_scan.redact(F.col("text"), F.col("findings"))))
-    masked = masked.withColumn("n_chars", F.when(F.col("findings").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    live = secret_scan.scan_secrets(docs).withColumn("__live", F.filter("findings", lambda f: ~f["shared"])).where(F.size("__live") > 0)
+    live = live.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__found"), "__live").dropDuplicates(["__id", "__found"])
+    hashed = docs.withColumn("__hash", _text_hash())
+    joined = hashed.join(live, hashed["doc_id"].eqNullSafe(live["__id"]) & (hashed["__hash"] == live["__found"]), "left")
+    clean = F.col("__live").isNull()
+    masked = joined.withColumn("text", F.when(clean, F.col("text")).otherwise(secret_scan.redact(F.col("text"), F.col("__live"))))
+    masked = masked.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return masked.select(docs.columns)
 
 
