@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Plain decimal and exponent notation. The JVM parser would also take "1d", "0x1p3" or "NaN".
@@ -26,6 +26,15 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
 
 
+def as_double(df: DataFrame, name: str) -> Column:
+    """A column as finite double by one rule: text must be a plain number, NaN and infinities are NULL."""
+    kind = dict(df.dtypes)[name]
+    if kind == "string":
+        return finite(number(F.col(name)))
+    value = F.col(name).try_cast("double")
+    return finite(value) if kind in ("double", "float") else value
+
+
 def blank(value: Column) -> Column:
     """True for NULL and for text of spaces only."""
     return F.coalesce(F.trim(value.cast("string")) == "", F.lit(True))
@@ -59,22 +68,45 @@ def yes_no(condition: Column) -> Column:
     return F.when(condition, "Yes").otherwise("No")
 
 
-def parse_date(text: Column) -> Column:
-    """Compact ``yyyyMMdd`` (also with a trailing ``.0``) or an ISO date; else NULL."""
+def _written_date(text: Column, day_first: bool) -> Column:
+    """Dates with slashes, dots or dashes, and with month names; a time of day behind them is ignored."""
+
+    def read(value: Column, *layouts: str) -> Column:
+        return F.coalesce(*[F.try_to_timestamp(value, F.lit(layout)).cast("date") for layout in layouts])
+
+    mark = r"[/.\-]"
+    year_first = F.regexp_replace(F.regexp_extract(text, rf"^(\d{{4}}{mark}\d{{1,2}}{mark}\d{{1,2}})(?:[ T].*)?$", 1), mark, "/")
+    year_last = F.regexp_replace(F.regexp_extract(text, rf"^(\d{{1,2}}{mark}\d{{1,2}}{mark}\d{{4}})(?:[ T].*)?$", 1), mark, "/")
+    named = F.regexp_replace(F.regexp_extract(text, r"^(\d{1,2}[ -][A-Za-z]{3,9}\.?,?[ -]\d{4}|[A-Za-z]{3,9}\.? \d{1,2},? \d{4})(?: .*)?$", 1), r"[.,\- ]+", " ")
+    order = ("d/M/yyyy", "M/d/yyyy") if day_first else ("M/d/yyyy", "d/M/yyyy")
+    return (
+        F.when(year_first != "", read(year_first, "yyyy/M/d"))
+        .when(year_last != "", read(year_last, *order))
+        .when(named != "", read(named, "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy"))
+    )
+
+
+def parse_date(text: Column, day_first: bool = False) -> Column:
+    """Date text in the first layout that fits, else NULL.
+
+    In order: compact ``yyyyMMdd`` (also with a trailing ``.0``), ISO, year first with other marks, day and
+    month (month first unless ``day_first``, the other way where only that is a date), month names.
+    """
     trimmed = F.trim(text)
     raw = F.when(F.endswith(trimmed, F.lit(".0")), F.substring(trimmed, F.lit(1), F.length(trimmed) - 2)).otherwise(trimmed)
     # Cheap tests come first, so that most cells never meet a regular expression.
     compact = F.when((F.length(raw) == 8) & raw.rlike(r"^\d{8}$"), F.try_to_timestamp(raw, F.lit("yyyyMMdd")).cast("date"))
     general = F.when((F.substring(raw, 5, 1) == "-") & raw.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), raw.try_cast("date"))
-    return F.coalesce(compact, general)
+    rest = F.when((F.length(raw) >= 8) & ~raw.rlike(r"^\d+$"), _written_date(raw, day_first))
+    return F.coalesce(compact, general, rest)
 
 
-def parse_spreadsheet_date(text: Column) -> Column:
+def parse_spreadsheet_date(text: Column, day_first: bool = False) -> Column:
     """As ``parse_date``, but a number from 1 to 80000 is a spreadsheet day serial."""
     low, high = EXCEL_SERIAL_RANGE
     value = number(text)
     serial = F.when(value.between(low, high), F.date_add(F.lit(EXCEL_ORIGIN).cast("date"), F.floor(value).cast("int")))
-    return F.coalesce(serial, parse_date(text))
+    return F.coalesce(serial, parse_date(text, day_first))
 
 
 def days_between(later: Column, earlier: Column) -> Column:

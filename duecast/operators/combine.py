@@ -40,7 +40,7 @@ def clean_headers(df: DataFrame) -> DataFrame:
     named = df.toDF(*[c.strip() for c in df.columns])
     kept = named.drop(*[c for c in named.columns if c.lower().startswith("unnamed:")])
     if kept.isEmpty():
-        raise ValueError("The table has no data rows.")
+        raise ValueError("Nothing but headers was read.")
     return kept
 
 

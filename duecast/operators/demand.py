@@ -196,21 +196,23 @@ PARTS = ("train", "validation", "test")
 
 def split_by_dates(df: DataFrame, date: str, cuts: Sequence[float] = (0.7, 0.85)) -> DataFrame:
     """``split`` by position in the list of distinct dates. [M4, W17]"""
-    days = [r[0] for r in df.where(F.col(date).isNotNull()).select(date).distinct().orderBy(date).collect()]  # calendar days
+    day = F.col(date).cast("date")
+    days = [r[0] for r in df.where(day.isNotNull()).select(day.alias("d")).distinct().orderBy("d").collect()]  # calendar days
     if len(days) < 3:
         raise ValueError("A chronological split needs more dates.")
     first, second = (days[int(len(days) * c)] for c in cuts)
-    part = F.when(F.col(date) < F.lit(first), PARTS[0]).when(F.col(date) < F.lit(second), PARTS[1]).otherwise(PARTS[2])
+    part = F.when(day < F.lit(first), PARTS[0]).when(day < F.lit(second), PARTS[1]).otherwise(PARTS[2])
     return df.where(F.col(date).isNotNull()).withColumn("split", part)
 
 
 def holdout_by_dates(df: DataFrame, date: str, test_share: float = 0.2) -> DataFrame:
     """Two parts at one date; at least ten dates are needed. [M4, W17]"""
-    days = [r[0] for r in df.where(F.col(date).isNotNull()).select(date).distinct().orderBy(date).collect()]  # calendar days
+    day = F.col(date).cast("date")
+    days = [r[0] for r in df.where(day.isNotNull()).select(day.alias("d")).distinct().orderBy("d").collect()]  # calendar days
     if len(days) < 10:
-        raise ValueError("Forecast training requires at least 10 distinct dates.")
+        raise ValueError("A holdout by dates needs ten days or more.")
     cut = days[max(1, int(len(days) * (1 - test_share)))]
-    return df.where(F.col(date).isNotNull()).withColumn("split", F.when(F.col(date) < F.lit(cut), PARTS[0]).otherwise(PARTS[2]))
+    return df.where(F.col(date).isNotNull()).withColumn("split", F.when(day < F.lit(cut), PARTS[0]).otherwise(PARTS[2]))
 
 
 def split_by_position(

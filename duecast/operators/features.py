@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duecast.functions.values import (
+    as_double,
     finite, first_digits, midpoint, months_from_years, parse_date, percent_number, ratio, row_count, row_max, row_mean,
     row_sum, yes_no,
 )
@@ -46,7 +47,7 @@ DEMAND_DEFAULTS = {
 
 def as_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns that exist, as doubles; bad cells become NULL. [X1]"""
-    return df.withColumns({c: F.col(c).try_cast("double") for c in columns if c in df.columns})
+    return df.withColumns({c: as_double(df, c) for c in columns if c in df.columns})
 
 
 def add_credit_behaviour(df: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def choose_target(df: DataFrame, requested: str | None = None, minimum: int = 30
         return requested
     present = [c for c in TARGET_PREFERENCE if c in d.columns]
     if present:
-        counts = d.agg(*[F.count(F.col(c).try_cast("double")).alias(c) for c in present]).first()
+        counts = d.agg(*[F.count(as_double(d, c)).alias(c) for c in present]).first()
         for name in present:
             if counts[name] >= minimum:
                 return name

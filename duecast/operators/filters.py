@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duecast.functions.values import number, parse_date
+from duecast.functions.values import as_double, number, parse_date
+from duecast.operators.skew import ROWS_PER_TASK, split_hot
 
 # Keywords that make a column a good search field, best first.
 SEARCH_KEYWORDS = [
@@ -61,16 +62,16 @@ def known_outcomes(df: DataFrame, due: str | None, clear: str | None, target: st
         return df.where(F.col(due).isNotNull() & F.col(clear).isNotNull()).withColumn("y", (F.col(clear) > F.col(due)).cast("int"))
     if target is None:
         raise ValueError("Either two dates or a target column is needed.")
-    value = F.col(target).try_cast("double")
+    value = as_double(df, target)
     return df.where(value.isin(0.0, 1.0)).withColumn("y", value.cast("int"))
 
 
-def demand_problems(df: DataFrame, row_id: str, keep: str = "first") -> DataFrame:
+def demand_problems(df: DataFrame, row_id: str, keep: str = "first", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Adds ``is_problem``: rows that cannot be used to train a demand model. [F8, W15]
 
-    Of rows with the same date, store and product the first (or last) by ``row_id`` is kept.
-    That row is found by a map-side combined minimum, and only repeated keys are joined back:
-    the joined side is as small as the defect is rare.
+    Of rows with the same date, store and product the first (or last) by ``row_id`` is kept: one window over
+    the three keys, whose rows are few. A key with more rows than a task should hold is settled by a map-side
+    combined minimum instead.
     """
     required = ["date", "store_id", "product_id", "units_sold"]
     missing = [c for c in required if c not in df.columns]
@@ -84,12 +85,16 @@ def demand_problems(df: DataFrame, row_id: str, keep: str = "first") -> DataFram
     if "inventory_level" in df.columns:
         bad = bad | F.coalesce(number(F.col("inventory_level").cast("string")) < 0, F.lit(True))
     keys = required[:3]
+    plain, hot = split_hot(df, keys, rows_per_task)
+    order = F.col(row_id).asc_nulls_last() if keep == "first" else F.col(row_id).desc_nulls_last()
+    found = plain.withColumn("is_problem", bad | (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) > 1))
+    if hot is None:
+        return found
     pick = F.min if keep == "first" else F.max
-    groups = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(pick(row_id).alias("_kept"), F.count("*").alias("_n"))
-    repeated = groups.where("_n > 1").drop("_n")
+    kept = hot.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(pick(row_id).alias("_kept"))
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    again = F.coalesce(F.col(row_id) != F.col("_kept"), F.lit(False))
-    return df.join(repeated, same, "left").withColumn("is_problem", bad | again).select(*df.columns, "is_problem")
+    crowded = hot.join(F.broadcast(kept), same).withColumn("is_problem", bad | ~F.col(row_id).eqNullSafe(F.col("_kept")))  # hot keys are few
+    return found.unionByName(crowded.select(*found.columns))
 
 
 def best_search_column(df: DataFrame, approximate: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duecast.functions.values import days_between, parse_date, ratio
+from duecast.functions.values import as_double, days_between, parse_date, ratio
 from duecast.operators.skew import ROWS_PER_TASK, SEGMENT, add_prior_sums, before, segment, split_hot
 
 # Names and order of the history features.
@@ -50,7 +50,7 @@ def _as_date(df: DataFrame, name: str | None) -> Column:
 
 
 def _as_number(df: DataFrame, name: str | None) -> Column:
-    return F.lit(None).cast("double") if name is None else F.col(name).try_cast("double")
+    return F.lit(None).cast("double") if name is None else as_double(df, name)
 
 
 def reference_history(df: DataFrame) -> DataFrame:
@@ -278,7 +278,7 @@ def add_simple_history(
     order = [_as_date(df, posting).asc_nulls_last(), F.col(row_id)]
     sums = {
         "previous_invoice_count": F.lit(1.0),
-        "previous_late_invoice_count": F.coalesce(F.col(late).try_cast("double"), F.lit(0.0)),
+        "previous_late_invoice_count": F.coalesce(as_double(df, late), F.lit(0.0)),
         "_amounts": F.coalesce(amount, F.lit(0.0)),
         "_amount_rows": F.when(amount.isNotNull(), 1.0).otherwise(0.0),
     }

@@ -14,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duecast.functions.values import order_key
+from duecast.functions.values import as_double, order_key
 from duecast.operators import metrics
 from duecast.operators.demand import HASH_RANGE, add_short_features, split_by_dates, split_by_position, split_stratified
 from duecast.operators.features import (
@@ -38,16 +38,21 @@ IDENTIFYING = ["invoice_id", "doc_id", "client_id", "customer_name", "name_custo
 
 # Settings of the classifiers and regressors.
 CLASSIFIERS = {
-    "Logistic Regression": (LogisticRegression, {"maxIter": 600}),
+    "Logistic Regression": (LogisticRegression, {"maxIter": 600, "elasticNetParam": 0.0, "standardization": False}),
     "Random Forest": (RandomForestClassifier, {"numTrees": 140, "maxDepth": 18, "minInstancesPerNode": 2, "seed": SEED}),
     "Gradient Boosting": (GBTClassifier, {"maxIter": 120, "stepSize": 0.06, "maxDepth": 3, "seed": SEED}),
 }
 REGRESSORS = {
     "Ridge": (LinearRegression, {"standardization": False, "elasticNetParam": 0.0}),
-    "Random Forest": (RandomForestRegressor, {"numTrees": 120, "maxDepth": 14, "minInstancesPerNode": 4, "seed": SEED}),
+    "Random Forest": (RandomForestRegressor, {"numTrees": 120, "maxDepth": 14, "minInstancesPerNode": 4, "featureSubsetStrategy": "all", "seed": SEED}),
     "Gradient Boosting": (GBTRegressor, {"maxIter": 120, "stepSize": 0.06, "maxDepth": 3, "seed": SEED}),
 }
 RIDGE_ALPHA = 1.0
+LOGISTIC_C = 1.0
+#: Classifiers whose rows are weighted so that both classes count the same.
+BALANCED = ("Logistic Regression", "Random Forest")
+#: Levels with an indicator of their own in the demand encoder; other encoders have no such limit.
+DEMAND_LEVELS = 50
 
 
 @dataclass
@@ -86,13 +91,13 @@ def _quote(text: str) -> str:
 
 
 def preparation(
-    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], min_frequency: int = 5, max_levels: int = 50, unknown_as_infrequent: bool = False,
+    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], min_frequency: int = 5, max_levels: int | None = None, unknown_as_infrequent: bool = False,
     scale: bool = True,
 ) -> list:
     """Pipeline stages: medians and scaling for numbers, usual values and indicators for categories. [M5]
 
-    Levels seen fewer than ``min_frequency`` times, or beyond the ``max_levels`` most frequent,
-    share one indicator. A level not seen in training has none, unless ``unknown_as_infrequent``.
+    Levels seen fewer than ``min_frequency`` times, or beyond the ``max_levels`` most frequent where that is
+    given, share one indicator. An encoder's levels are part of the model and are held by the driver. A level not seen in training has none, unless ``unknown_as_infrequent``.
     """
     medians = exact_medians(df.select(*[F.col(c).cast("double").alias(c) for c in numeric]), numeric) if numeric else {}
     exprs = [f"coalesce(nanvl(cast(`{c}` as double), null), {medians[c] or 0.0}D) as `{c}__n`" for c in numeric]
@@ -100,21 +105,24 @@ def preparation(
     labels: dict[str, list[str]] = {}
     if categorical:
         ranked = Window.partitionBy("column_name").orderBy(F.desc("count"), "value")
-        # The rank filter reaches the shuffle, so at most max_levels + 1 rows per column are collected.
-        counts = value_counts(df, categorical).withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= max_levels + 1)
+        counts = value_counts(df, categorical).withColumn("n", F.row_number().over(ranked))
+        if max_levels is not None:  # the rank filter reaches the shuffle: at most max_levels + 1 rows per column are collected
+            counts = counts.where(F.col("n") <= max_levels + 1)
         seen: dict[str, list] = {c: [] for c in categorical}
         for r in counts.orderBy("column_name", "n").collect():
             seen[r["column_name"]].append(r)
         for c in categorical:
             usual = seen[c][0]["value"] if seen[c] else INFREQUENT
-            frequent = [r["value"] for r in seen[c][: max_levels - 1 if len(seen[c]) > max_levels else max_levels] if r["count"] >= min_frequency]
+            crowded = max_levels is not None and len(seen[c]) > max_levels
+            frequent = [r["value"] for r in seen[c][: max_levels - 1 if crowded else None] if r["count"] >= min_frequency]
+            known = set(frequent)
             rare = len(frequent) < len(seen[c])
             labels[c] = frequent + ([INFREQUENT] if rare and INFREQUENT not in frequent else [])
             value = f"coalesce(cast(`{c}` as string), {_quote(usual)})"
             listed = ", ".join(_quote(v) for v in frequent) or "''"
-            few = [r["value"] for r in seen[c] if r["value"] not in frequent]
+            few = [r["value"] for r in seen[c] if r["value"] not in known]
             other = f"when {value} in ({', '.join(_quote(v) for v in few)}) then {_quote(INFREQUENT)}" if few else ""
-            fallback = _quote(INFREQUENT) if rare and (unknown_as_infrequent or len(seen[c]) > max_levels) else value
+            fallback = _quote(INFREQUENT) if rare and (unknown_as_infrequent or crowded) else value
             exprs.append(f"case when {value} in ({listed}) then {value} {other} else {fallback} end as `{c}__l`")
     stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__"))
     if numeric and scale:
@@ -165,12 +173,21 @@ def prepare_vectors(train: DataFrame, stages: Sequence, keep: Sequence[str]) ->
 
 def fit_classifier(
     train: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], algorithm: str, overrides: Mapping | None = None,
-    min_frequency: int = 5,
+    min_frequency: int = 5, balanced: bool | None = None,
 ) -> PipelineModel:
-    """One class-balanced classifier behind its preparation. [M5, M6]"""
-    estimator = _estimator(CLASSIFIERS, algorithm, overrides, featuresCol="features", labelCol=label, weightCol="weight")
+    """One classifier behind its preparation; classes are balanced for ``BALANCED`` algorithms unless stated. [M5, M6]
+
+    Logistic regression has the penalty of one over twice the squared weights against the summed loss (C = 1);
+    Spark divides the loss by the sum of row weights, so the penalty is divided by it too. The intercept bears none.
+    """
     fitted, vectors = prepare_vectors(train, preparation(train, numeric, categorical, min_frequency), [label])
-    return PipelineModel(stages=[*fitted.stages, estimator.fit(add_class_weight(vectors, label))])
+    weighted = algorithm in BALANCED if balanced is None else balanced
+    rows = add_class_weight(vectors, label) if weighted else vectors.withColumn("weight", F.lit(1.0))
+    settings = dict(overrides or {})
+    if algorithm == "Logistic Regression":
+        settings.setdefault("regParam", 1.0 / (LOGISTIC_C * max(rows.agg(F.sum("weight")).first()[0] or 1.0, 1.0)))
+    estimator = _estimator(CLASSIFIERS, algorithm, settings, featuresCol="features", labelCol=label, weightCol="weight")
+    return PipelineModel(stages=[*fitted.stages, estimator.fit(rows)])
 
 
 MEASURES = ["accuracy", "precision", "recall", "f1", "specificity", "balanced_accuracy", "mcc", "roc_auc", "pr_auc", "brier"]
@@ -209,11 +226,11 @@ def train_payment_models(
     labelled = known_outcomes(df, find_column(df, DUE_NAMES), find_column(df, CLEAR_NAMES), target if target in df.columns else None)
     counts = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}  # two classes
     if sum(counts.values()) < 100 or len(counts) != 2 or min(counts.values()) < 20:
-        raise ValueError("Target requires two classes with at least 20 observations each.")
+        raise ValueError("Training needs 100 labelled rows, two classes, and 20 rows of each.")
     usable, removed = screen_features(labelled, requested, target, row_id)
     usable = [c for c in usable if c != "y"]
     if not usable:
-        raise ValueError("No safe features remain after leakage checks.")
+        raise ValueError("Screening left no column to train on.")
     posting, method = find_column(labelled, POSTING_NAMES), "stratified"
     if posting:
         facts = labelled.agg(F.avg(F.col(posting).isNotNull().cast("double")).alias("share"), F.count_distinct(posting).alias("days")).first()
@@ -238,7 +255,7 @@ def train_credit_model(df: DataFrame, kind: str = "baseline", overrides: Mapping
     """Credit-behaviour classifier over 22 raw and 9 derived features. [M7]"""
     algorithm = {"baseline": "Logistic Regression", "boosted": "Gradient Boosting"}.get(kind)
     if algorithm is None:
-        raise ValueError(f"Unsupported model type: {kind}")
+        raise ValueError(f"Unknown kind of credit model {kind!r}; use baseline or boosted.")
     train = add_credit_behaviour(df.where(F.col(CREDIT_TARGET).isNotNull())).withColumn("y", F.col(CREDIT_TARGET).cast("int"))
     return fit_classifier(train, "y", [*CREDIT_FEATURES, *CREDIT_ENGINEERED], [], algorithm, overrides)
 
@@ -252,7 +269,7 @@ def train_loan_model(df: DataFrame, overrides: Mapping | None = None) -> Pipelin
     """Loan-default classifier on the loan contract. [M8]"""
     # Loan rows are parsed from text; several passes follow, so they are written once.
     rows = materialize(df.withColumn("y", F.col("Default")), "loans")
-    return fit_classifier(rows, "y", LOAN_NUMERIC, LOAN_CATEGORICAL, "Gradient Boosting", overrides, min_frequency=1)
+    return fit_classifier(rows, "y", LOAN_NUMERIC, LOAN_CATEGORICAL, "Gradient Boosting", overrides, min_frequency=1, balanced=True)
 
 
 def train_demand_models(
@@ -266,7 +283,7 @@ def train_demand_models(
     parts = {n: parted.where(F.col("split") == n).drop("split") for n in ("train", "validation", "test")}
     sizes = {r["split"]: r["count"] for r in parted.groupBy("split").count().collect()}
     runs, models = [], {}
-    stages = preparation(parts["train"], inputs, categorical, min_frequency=2, unknown_as_infrequent=True, scale=False)
+    stages = preparation(parts["train"], inputs, categorical, min_frequency=2, max_levels=DEMAND_LEVELS, unknown_as_infrequent=True, scale=False)
     fitted, vectors = prepare_vectors(parts["train"], stages, [target])
     for name in algorithms:
         # The penalty of the mean squared error that equals one of the summed squared error.
@@ -315,7 +332,7 @@ def augment_minority(
     facts = {"original_rows": sum(counts.values()), "synthetic_rows": needed, "minority_class": minority}
     if needed == 0:
         return df.withColumn("is_synthetic", F.lit(False)), facts
-    scales = df.agg(*[F.coalesce(F.stddev_samp(F.col(c).try_cast("double")), F.lit(0.0)).alias(c) for c in continuous]).first()
+    scales = df.agg(*[F.coalesce(F.stddev_samp(as_double(df, c)), F.lit(0.0)).alias(c) for c in continuous]).first()
     rows = df.where(F.col(label) == minority).withColumn("_hash", order_key([F.col(row_id)], seed))
     ranked = add_prior_sums(rows, [], [F.col("_hash"), F.col(row_id)], {"_rank": F.lit(1.0)})
     size = counts[minority]
@@ -324,13 +341,13 @@ def augment_minority(
     noisy = {}
     for position, c in enumerate(continuous):
         spread = max(float(scales[c]) * jitter, 1e-9)
-        value = F.col(c).try_cast("double") + spread * _normal([F.col(row_id), F.col("_copy")], seed + 2 * position + 1)
+        value = as_double(df, c) + spread * _normal([F.col(row_id), F.col("_copy")], seed + 2 * position + 1)
         noisy[c] = F.greatest(value, F.lit(0.0)) if c in NONNEGATIVE else value
     number = (F.col("_copy") - 1) * size + F.col("_rank") + 1
     names = {"client_id": F.concat(F.lit("AUG_"), F.lpad(number.cast("bigint").cast("string"), 7, "0"))} if "client_id" in df.columns else {}
     kinds = dict(df.dtypes)
     synthetic = drawn.withColumns({**noisy, **names}).withColumn(row_id, F.lit(None).cast(kinds[row_id]))
-    base = df.withColumns({c: F.col(c).try_cast("double") for c in continuous})
+    base = df.withColumns({c: as_double(df, c) for c in continuous})
     return base.withColumn("is_synthetic", F.lit(False)).unionByName(
         synthetic.select(*df.columns).withColumn("is_synthetic", F.lit(True))
     ), facts

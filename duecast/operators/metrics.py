@@ -37,20 +37,6 @@ def _rates(tp: Column, tn: Column, fp: Column, fn: Column) -> list[Column]:
     ]
 
 
-def confusion(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
-    """Confusion counts at a threshold and the measures derived from them, one row. [A1, A4]"""
-    positive, flagged = F.col(label) == 1, F.col(score) >= threshold
-    error = F.col(score) - F.col(label)
-    counts = df.agg(
-        F.count_if(positive & flagged).alias("tp"),
-        F.count_if(~positive & ~flagged).alias("tn"),
-        F.count_if(~positive & flagged).alias("fp"),
-        F.count_if(positive & ~flagged).alias("fn"),
-        F.avg(error * error).alias("brier"),
-    )
-    return counts.select("tp", "tn", "fp", "fn", "brier", *_rates(*[F.col(c).cast("double") for c in ("tp", "tn", "fp", "fn")]))
-
-
 def _score_groups(df: DataFrame, label: str, score: str, by: Sequence[str], rows_per_task: int) -> DataFrame:
     """One row per distinct score (and group): its classes and the classes from the top score down to it.
 

@@ -7,9 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duecast.functions.values import NUMBER_TEXT, number, parse_date
+from duecast.functions.values import as_double, NUMBER_TEXT, number, parse_date
 from duecast.operators.combine import plain_name
-from duecast.operators.quality import _issue_rows, missing_cells, whole_row
+from duecast.operators.quality import _issue_rows, missing_cells, with_repeats
 from duecast.operators.quantiles import exact_quantiles, modes, value_counts
 
 BOOLEAN_WORDS = ["true", "false", "yes", "no", "1", "0"]
@@ -299,53 +299,49 @@ def input_contract(profiled: DataFrame, used: Sequence[str], target: str, meanin
     )
 
 
-def _parent(feature: str, columns: Sequence[str]) -> tuple[str, str] | None:
-    """(raw column, category) of a one-hot name, by the longest matching column."""
-    text = feature.strip()
-    options = [
-        (len(plain_name(c)), c, text[i + 1:]) for i, ch in enumerate(text) if ch == "_" and 0 < i < len(text) - 1
-        for c in columns if plain_name(text[:i]) == plain_name(c)
-    ]
-    if not options:
-        return None
-    _, column, category = max(options, key=lambda o: o[0])
-    return column, category
+def _sources(columns: Sequence[str], features: Sequence[str]) -> dict[str, tuple[str, str | None] | None]:
+    """Where each feature comes from: (column, None) for a column of that name, (column, category) for a
+    ``column_category`` indicator, None where neither is there. The longest column name that fits is the one meant."""
+    named: dict[str, str] = {}
+    for column in columns:
+        named[plain_name(column)] = column
+
+    def source(feature: str) -> tuple[str, str | None] | None:
+        if feature in columns:
+            return feature, None
+        if plain_name(feature) in named:
+            return named[plain_name(feature)], None
+        text = feature.strip()
+        cuts = [i for i in range(len(text) - 2, 0, -1) if text[i] == "_" and plain_name(text[:i]) in named]
+        return (named[plain_name(text[: cuts[0]])], text[cuts[0] + 1 :]) if cuts else None
+
+    return {feature: source(feature) for feature in features}
 
 
 def raw_features(columns: Sequence[str], features: Sequence[str]) -> list[str]:
     """The source column behind each feature; a feature without one keeps its own name."""
-    by_key = {plain_name(c): c for c in columns}
-    found = []
-    for feature in features:
-        parent = None if feature in columns or plain_name(feature) in by_key else _parent(feature, columns)
-        found.append(feature if feature in columns else parent[0] if parent else by_key.get(plain_name(feature), feature))
-    return list(dict.fromkeys(found))
+    return list(dict.fromkeys(feature if found is None else found[0] for feature, found in _sources(columns, features).items()))
 
 
 def align_to_model(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> tuple[DataFrame, list[str], list[str]]:
     """(model inputs, missing features, rebuilt indicators); ``parent_category`` indicators come from raw columns. [C15]"""
-    by_key = {plain_name(c): c for c in df.columns}
-    made, missing, rebuilt = [], [], []
-    for feature in features:
-        if feature in df.columns:
-            made.append(F.col(f"`{feature}`").alias(feature))
-        elif plain_name(feature) in by_key:
-            made.append(F.col(f"`{by_key[plain_name(feature)]}`").alias(feature))
-        elif (parent := _parent(feature, df.columns)) is not None:
-            column, category = parent
-            text = F.trim(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")))
-            made.append((text == category).cast("tinyint").alias(feature))
-            rebuilt.append(feature)
-        else:
-            missing.append(feature)
-    return df.select(*keep, *made), missing, rebuilt
+    found = _sources(df.columns, features)
+
+    def made(feature: str, column: str, category: str | None) -> Column:
+        cell = F.col(f"`{column}`")
+        if category is not None:
+            cell = (F.trim(F.coalesce(cell.cast("string"), F.lit(""))) == category).cast("tinyint")
+        return cell.alias(feature)
+
+    present = [made(feature, *where) for feature, where in found.items() if where is not None]
+    return df.select(*keep, *present), [f for f, where in found.items() if where is None], [f for f, where in found.items() if where and where[1] is not None]
 
 
 def model_input(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """The model's columns; a missing one raises. [C18]"""
     aligned, missing, _ = align_to_model(df, features, keep)
     if missing:
-        raise ValueError("Missing raw training feature(s): " + ", ".join(missing))
+        raise ValueError("The model was trained with columns that are absent: " + ", ".join(missing))
     return aligned
 
 
@@ -355,7 +351,7 @@ def check_for_model(df: DataFrame, features: Sequence[str]) -> DataFrame:
     present = [f for f in features if f not in missing]
     values = {f: aligned_column(df, f) for f in present if f not in rebuilt}
     facts = df.agg(
-        F.count("*").alias("rows"), (F.count("*") - F.count_distinct(whole_row(df))).alias("duplicates"),
+        F.count("*").alias("rows"),
         F.sum(missing_cells(df)).alias("cells"), *[F.count_if(v.isNull()).alias(f"m_{f}") for f, v in values.items()],
     )
     checks = [
@@ -365,7 +361,7 @@ def check_for_model(df: DataFrame, features: Sequence[str]) -> DataFrame:
         ("warning", "duplicates", "", F.col("duplicates") > 0, F.col("duplicates")),
     ]
     checks += [("warning", "missing_values", f, F.col(f"m_{f}") > 0, F.col(f"m_{f}")) for f in values]
-    return _issue_rows(facts, checks)
+    return _issue_rows(with_repeats(facts, df), checks)
 
 
 def aligned_column(df: DataFrame, feature: str) -> Column:
@@ -381,7 +377,7 @@ def aligned_column(df: DataFrame, feature: str) -> Column:
 def _fill_values(df: DataFrame, numeric: Sequence[str], other: Sequence[str]) -> dict[str, float | str]:
     values: dict[str, float | str] = {}
     if numeric:
-        found = exact_quantiles(df, {c: F.col(c).try_cast("double") for c in numeric}, [0.5])
+        found = exact_quantiles(df, {c: as_double(df, c) for c in numeric}, [0.5])
         values.update({c: v[0] for c, v in found.items() if v[0] is not None})
     if other:
         most = {r["column_name"]: r["mode"] for r in modes(df, other).collect()}  # one row per column
@@ -433,7 +429,7 @@ def auto_clean(df: DataFrame, roles_table: DataFrame, row_id: str) -> tuple[Data
     numeric = [c for c in open_columns if info[c]["kind"] in ("integer", "number")]
     dates = [c for c in open_columns if info[c]["kind"] == "date"]
     other = [c for c in open_columns if c not in numeric and c not in dates]
-    typed = unique.withColumns({c: F.col(c).try_cast("double") for c in numeric}).withColumns(
+    typed = unique.withColumns({c: as_double(unique, c) for c in numeric}).withColumns(
         {c: F.col(c) if dict(df.dtypes)[c] in ("date", "timestamp", "timestamp_ntz") else parse_date(F.col(c).cast("string")) for c in dates}
     )
     values = _fill_values(typed, numeric, other)
@@ -480,7 +476,8 @@ def preprocess(df: DataFrame, roles_table: DataFrame, max_levels: int = 10) -> D
             out += [(F.coalesce(F.col(c).cast("string") == v, F.lit(False))).cast("int").alias(f"{c}_{v}") for v in levels[c]]
         elif c in values:
             target_type = "double" if c in numeric else kinds[c]
-            out.append(F.coalesce(F.col(c).try_cast(target_type), F.lit(values[c]).cast(target_type)).alias(c))
+            cell = as_double(df, c) if c in numeric else F.col(c).try_cast(target_type)
+            out.append(F.coalesce(cell, F.lit(values[c]).cast(target_type)).alias(c))
         else:
             out.append(F.col(c))
     dates = [c for c in open_columns if info[c]["kind"] == "date" and kinds[c] == "string"]

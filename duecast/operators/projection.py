@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duecast.functions.values import mode_label
+from duecast.functions.values import as_double, mode_label
 from duecast.operators.demand import SERIES
 from duecast.operators.metrics import horizon_edges, horizon_totals
 from duecast.session import checkpointed
@@ -37,7 +37,7 @@ def latest_state(history: DataFrame, value: str, frozen: Sequence[str] = (), key
     recent = Window.partitionBy(*keys).orderBy(F.desc("date"))
     depth = max(LAGS)
     tail = history.where("date is not null").withColumn("_n", F.row_number().over(recent)).where(F.col("_n") <= depth)
-    ordered = F.sort_array(F.collect_list(F.struct("date", F.coalesce(F.col(value).try_cast("double"), F.lit(0.0)).alias("v"))))
+    ordered = F.sort_array(F.collect_list(F.struct("date", F.coalesce(as_double(history, value), F.lit(0.0)).alias("v"))))
     return tail.groupBy(*keys).agg(
         F.max("date").alias("_last_date"), F.transform(ordered, lambda x: x["v"]).alias("_values"),
         *[F.max_by(c, "date").alias(c) for c in frozen],
@@ -165,7 +165,7 @@ def forecast_alerts(frame: DataFrame, target: str | None = None) -> DataFrame:
         falling = (F.col("periods") >= 1) & (F.col("first_value") > 0) & (F.col("last_value") < F.col("first_value") * 0.9)
         late = [F.when(falling, _alert("Projected decline", F.col("last_date").cast("string"), reason))]
         if target == "net_cashflow":
-            late.append(F.when(F.col("lowest_value") < 0, _alert("Negative net cashflow", F.col("lowest_date").cast("string"))))
+            late.append(F.when((F.col("periods") > 1) & (F.col("lowest_value") < 0), _alert("Negative net cashflow", F.col("lowest_date").cast("string"))))
         ahead = edges.select(F.inline(F.array_compact(F.array(*late))))
         found = ahead if found is None else found.unionByName(ahead)
     if found is None:

@@ -137,10 +137,6 @@ def active_models(requests: DataFrame, log: DataFrame, owners: tuple[str, ...] =
     return joined.select("owner", "task", F.coalesce("own_version", "platform_version").alias("version"), scope.alias("scope"))
 
 
-def newest_first(df: DataFrame, column: str = "created_at") -> DataFrame:
-    return df.orderBy(F.desc(column))
-
-
 def version_numbers(log: DataFrame) -> DataFrame:
     """Versions of each owner and task, newest first, numbered. [M28]"""
     newest = Window.partitionBy("owner", "task").orderBy(F.desc("created_at"), F.desc("version"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from duecast.session import materialize
 
-ROWS_PER_TASK = 20_000_000
+ROWS_PER_TASK = 2_000_000
 SEGMENT = "_segment"
 
 

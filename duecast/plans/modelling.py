@@ -497,8 +497,6 @@ VERSIONS_SQL = f"""WITH {LOG}, l AS (SELECT owner, task, version, arg_max(status
 
 # ------------------------------------------------------------------ training
 
-QUICK = {"maxIter": 10, "numTrees": 10, "maxDepth": 4}
-
 
 def _figure_rows(runs, *names):
     return runs.select("algorithm", "method", *[F.col("split")[n].alias(f"{n}_rows") for n in ("train", "validation", "test")],
@@ -507,24 +505,24 @@ def _figure_rows(runs, *names):
 
 def trained_payments(spark, root):
     df = lenses.invoices(spark, root)
-    result = learn.train_payment_models(df, ["Logistic Regression"], features=["total_open_amount", "business_code"], overrides=QUICK)
+    result = learn.train_payment_models(df, ["Logistic Regression", "Gradient Boosting"], features=["total_open_amount", "business_code"])
     return _figure_rows(result.runs, "roc_auc", "pr_auc", "f1", "recall")
 
 
 def trained_credit(spark, root):
     df = lenses.credit(spark, root)
-    model = learn.train_credit_model(df, "baseline", QUICK)
+    model = learn.train_credit_model(df, "baseline")
     return learn.score_credit_model(model, df).select("client_id", F.round("probability", 4).alias("probability"))
 
 
 def trained_loans(spark, root):
     df = loan_layout(lenses.accepted_loans(spark, root))
-    model = learn.train_loan_model(df, {"maxIter": 3, "maxDepth": 3})
+    model = learn.train_loan_model(df)
     return learn.positive_probability(model.transform(df)).select("LoanID", F.round("probability", 4).alias("probability"), "Default")
 
 
 def trained_demand(spark, root):
-    result = learn.train_demand_models(lenses.demand(spark, root), ["Ridge", "Random Forest"], overrides={"numTrees": 5, "maxDepth": 4})
+    result = learn.train_demand_models(lenses.demand(spark, root), ["Ridge", "Gradient Boosting"])
     return _figure_rows(result.runs, "mae", "rmse", "wape", "r2")
 
 
@@ -581,7 +579,7 @@ def stepwise_projection(spark, root):
 
 
 def augmentation_comparison(spark, root):
-    out = learn.compare_augmentation(_rare_defaults(spark, root), "c_custkey", overrides=QUICK)
+    out = learn.compare_augmentation(_rare_defaults(spark, root), "c_custkey")
     return out.select("decision_score", "recommended", F.col("before")["pr_auc"].alias("pr_auc_before"), F.col("after")["pr_auc"].alias("pr_auc_after"))
 
 

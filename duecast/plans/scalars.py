@@ -25,8 +25,10 @@ NUMBERS_SQL = f"WITH {L.CREDIT_TEXT} SELECT c_custkey, " + ", ".join(
 
 def dates(spark, root):
     key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    written = ["MM/dd/yyyy", "yyyy/MM/dd", "d MMM yyyy", "MMM d, yyyy", "yyyy.M.d", "dd-MMM-yyyy", "M/d/yyyy HH:mm", "MMMM d yyyy"]
     text = (
-        F.when(key % 7 == 0, F.concat(F.date_format(day, "yyyyMMdd"), F.lit(".0")))
+        F.when(key % 7 == 6, F.element_at(F.array(*[F.date_format("o_orderdate", w) for w in written]), (key % 8 + 1).cast("int")))
+        .when(key % 7 == 0, F.concat(F.date_format(day, "yyyyMMdd"), F.lit(".0")))
         .when(key % 7 == 1, F.date_format(day, "yyyyMMdd"))
         .when(key % 7 == 2, "20241341")
         .when(key % 7 == 3, "not a date")
@@ -43,8 +45,8 @@ def dates(spark, root):
 
 
 DATES_SQL = """SELECT o_orderkey,
-  CASE WHEN o_orderkey % 7 IN (0, 1, 4) THEN CAST(o_orderdate AS DATE) END AS parsed,
-  CASE WHEN o_orderkey % 7 IN (0, 1, 4, 5) THEN CAST(o_orderdate AS DATE) END AS parsed_with_serial,
+  CASE WHEN o_orderkey % 7 IN (0, 1, 4, 6) THEN CAST(o_orderdate AS DATE) END AS parsed,
+  CASE WHEN o_orderkey % 7 IN (0, 1, 4, 5, 6) THEN CAST(o_orderdate AS DATE) END AS parsed_with_serial,
   CAST(greatest(date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-06-30'), 0) AS INTEGER) AS age_days FROM orders"""
 
 

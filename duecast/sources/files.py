@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from duecast.functions.values import days_between, parse_spreadsheet_date
+from duecast.functions.values import as_double, days_between, parse_spreadsheet_date
 from duecast.operators.combine import clean_headers, plain_name
 
 
@@ -18,7 +18,7 @@ def read_delimited(
 ) -> DataFrame:
     """Delimited text as string columns with clean headers and payment outcomes filled in. [S1-S3]
 
-    Without an ``encoding`` the text is read as UTF-8, and as Latin-1 if that breaks a character.
+    Without an ``encoding`` each file is read as UTF-8, or as Latin-1 if that breaks a character of this file.
     No type is inferred: that would read the files twice and guess. A known ``schema`` of
     string columns also saves the header scan.
     """
@@ -31,8 +31,12 @@ def read_delimited(
         broken = F.lit(any(BROKEN_CHARACTER in c for c in df.columns))
         for c in df.columns:
             broken = broken | F.coalesce(F.contains(F.col(f"`{c}`"), F.lit(BROKEN_CHARACTER)), F.lit(False))
-        if not df.where(broken).isEmpty():
-            df = read("ISO-8859-1")
+        spoilt = [r[0] for r in df.where(broken).select(F.col("_metadata.file_path").alias("p")).distinct().collect()]  # file names
+        if spoilt:
+            # Both readers see the same path, so that a shared header gives the same columns; each keeps its own files.
+            own = F.col("_metadata.file_path").isin(spoilt)
+            latin = read("ISO-8859-1").where(own)
+            df = latin if set(spoilt) >= set(df.inputFiles()) else df.where(~own).unionByName(latin, allowMissingColumns=True)
     df = clean_headers(df)
     return fill_outcomes(df) if with_outcomes else df
 
@@ -48,10 +52,10 @@ def fill_outcomes(df: DataFrame) -> DataFrame:
     known = clear.isNotNull() & due.isNotNull()
     delay_name, late_name = by_key.get("delaydays", "delay_days"), by_key.get("islate", "is_late")
     measured = F.when(known, days_between(clear, due).cast("double"))
-    delay = F.coalesce(F.col(delay_name).try_cast("double"), measured) if "delaydays" in by_key else measured
+    delay = F.coalesce(as_double(df, delay_name), measured) if "delaydays" in by_key else measured
     late = F.when(known & delay.isNotNull(), (delay > 0).cast("double")).when(known, 0.0)
     if "islate" in by_key:
-        late = F.coalesce(F.col(late_name).try_cast("double"), late)
+        late = F.coalesce(as_double(df, late_name), late)
     return df.withColumns({delay_name: delay, late_name: late})
 
 
