@@ -14,6 +14,7 @@ from duecast.plans.combining import PROFILED, company_scores
 from duecast.plans.filtering import SCORED, scored
 from duecast.plans.history import SERVING_SQL, _record_types
 from duecast.plans.measures import _rounded
+from duecast.plans.scalars import LOANS_SQL
 from duecast.session import scratch_path
 from duecast.sources import files, lenses, workspace
 from duecast.sources.tables import read
@@ -498,32 +499,72 @@ VERSIONS_SQL = f"""WITH {LOG}, l AS (SELECT owner, task, version, arg_max(status
 # ------------------------------------------------------------------ training
 
 
-def _figure_rows(runs, *names):
-    return runs.select("algorithm", "method", *[F.col("split")[n].alias(f"{n}_rows") for n in ("train", "validation", "test")],
-                       *[F.round(F.col("test")[n], 4).alias(n) for n in names])
+def _sound(figures):
+    """No figure of a run lies outside the range of its measure."""
+    return F.forall(F.map_values(figures), lambda x: x.isNull() | x.between(-1, 1))
+
+
+def _run_rows(runs, sound):
+    return runs.select("algorithm", "method", *[F.col("split")[n].alias(f"{n}_rows") for n in ("train", "validation", "test")], sound.alias("sound"))
 
 
 def trained_payments(spark, root):
+    """Runs of the payment classifiers: split sizes, and whether all figures are possible ones."""
     df = lenses.invoices(spark, root)
-    result = learn.train_payment_models(df, ["Logistic Regression", "Gradient Boosting"], features=["total_open_amount", "business_code"])
-    return _figure_rows(result.runs, "roc_auc", "pr_auc", "f1", "recall")
+    runs = learn.train_payment_models(df, ["Logistic Regression", "Gradient Boosting"], features=["total_open_amount", "business_code"]).runs
+    return _run_rows(runs, _sound(F.col("validation")) & _sound(F.col("test")))
+
+
+TRAINED_PAYMENTS_SQL = f"""WITH {L.INVOICES}, n AS (SELECT count(*) AS n FROM invoices WHERE due_date IS NOT NULL AND clear_date IS NOT NULL),
+  c AS (SELECT n, floor(n * 0.7::DOUBLE)::BIGINT AS a, floor(n * 0.85::DOUBLE)::BIGINT AS b FROM n)
+  SELECT algorithm, 'chronological' AS method, a AS train_rows, b - a AS validation_rows, n - b AS test_rows, true AS sound
+  FROM c, (VALUES ('Logistic Regression'), ('Gradient Boosting')) AS t(algorithm)"""
 
 
 def trained_credit(spark, root):
-    df = lenses.credit(spark, root)
-    model = learn.train_credit_model(df, "baseline")
-    return learn.score_credit_model(model, df).select("client_id", F.round("probability", 4).alias("probability"))
+    """Both credit models on their training rows. With balanced classes and a free intercept, the residuals of
+    logistic regression cancel: its mean probabilities of the two classes add up to one."""
+    df = lenses.credit(spark, root).where("default_next_month is not null")
+    out = None
+    for kind in ("baseline", "boosted"):
+        scored = learn.score_credit_model(learn.train_credit_model(df, kind), df)
+        mean = [F.avg(F.when(F.col("default_next_month") == y, F.col("probability"))) for y in (0, 1)]
+        row = scored.agg(
+            F.count("*").alias("rows"), F.sum(F.col("default_next_month").cast("bigint")).alias("positives"), F.min(F.col("probability").between(0, 1)).alias("sound"),
+            (F.round(mean[0] + mean[1], 2) if kind == "baseline" else F.lit(None).cast("double")).alias("class_means"),
+        ).select(F.lit(kind).alias("kind"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+TRAINED_CREDIT_SQL = f"""WITH {L.CREDIT}, k AS (SELECT CAST(default_next_month AS BIGINT) AS y FROM credit WHERE default_next_month IS NOT NULL)
+  SELECT kind, count(*) AS rows, CAST(sum(y) AS BIGINT) AS positives, true AS sound, CASE WHEN kind = 'baseline' THEN 1.0::DOUBLE END AS class_means
+  FROM k, (VALUES ('baseline'), ('boosted')) AS t(kind) GROUP BY kind"""
 
 
 def trained_loans(spark, root):
     df = loan_layout(lenses.accepted_loans(spark, root))
-    model = learn.train_loan_model(df)
-    return learn.positive_probability(model.transform(df)).select("LoanID", F.round("probability", 4).alias("probability"), "Default")
+    scored = learn.positive_probability(learn.train_loan_model(df).transform(df))
+    return scored.select("LoanID", "Default", F.col("probability").between(0, 1).alias("sound"))
+
+
+TRAINED_LOANS_SQL = f'SELECT LoanID, "Default", true AS sound FROM ({LOANS_SQL})'
 
 
 def trained_demand(spark, root):
-    result = learn.train_demand_models(lenses.demand(spark, root), ["Ridge", "Gradient Boosting"])
-    return _figure_rows(result.runs, "mae", "rmse", "wape", "r2")
+    """Runs of the demand regressors: split sizes by date, and whether all errors are finite and not negative."""
+    runs = learn.train_demand_models(lenses.demand(spark, root), ["Ridge", "Gradient Boosting"]).runs
+    errors = [F.col(part)[n] for part in ("validation", "test") for n in ("mae", "mse", "rmse", "wape")]
+    sound = F.lit(True)
+    for error in errors:
+        sound = sound & F.coalesce((error >= 0) & (error < float("inf")), F.lit(False))
+    return _run_rows(runs, sound)
+
+
+TRAINED_DEMAND_SQL = f"""WITH {L.DEMAND}, i AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM demand)),
+  c AS (SELECT max(date) FILTER (i = floor(n * 0.7::DOUBLE)) AS a, max(date) FILTER (i = floor(n * 0.85::DOUBLE)) AS b FROM i)
+  SELECT algorithm, 'chronological' AS method, count(*) FILTER (date < a) AS train_rows, count(*) FILTER (date >= a AND date < b) AS validation_rows,
+    count(*) FILTER (date >= b) AS test_rows, true AS sound FROM demand, c, (VALUES ('Ridge'), ('Gradient Boosting')) AS t(algorithm) GROUP BY algorithm"""
 
 
 def _rare_defaults(spark, root):
@@ -549,7 +590,11 @@ AUGMENTED_SQL = f"""WITH {L.CREDIT}, c AS (SELECT CASE WHEN PAY_0 > 3 THEN 1 ELS
 def importance(spark, root):
     df = lenses.credit(spark, root).where("default_next_month is not null").select("c_custkey", "default_next_month", *CARD)
     out = learn.permutation_importance(df, "default_next_month", "c_custkey", list(CARD), _card)
-    return out.withColumn("importance", F.round("importance", 4))
+    bounded = F.col("importance").between(-1, 1) & (F.startswith("direction", F.lit("increases")) == (F.col("importance") >= 0))
+    return out.select("feature", bounded.alias("sound"))
+
+
+IMPORTANCE_SQL = "SELECT feature, true AS sound FROM (VALUES " + ", ".join(f"('{c}')" for c in CARD) + ") AS t(feature)"
 
 
 def prepared(spark, root):
@@ -575,12 +620,22 @@ def stepwise_projection(spark, root):
     df = lenses.demand(spark, root)
     result = learn.train_demand_models(df, ["Ridge"], numeric=("inventory_level", "price"))
     out = projection.project_model(df, result.models["Ridge"], horizon=12, frozen=("inventory_level", "price"))
-    return out.select("date", "store_id", "product_id", F.round("forecast_value", 4).alias("forecast_value"), "inventory_level")
+    sound = F.coalesce(F.abs("forecast_value") < float("inf"), F.lit(False)) & (F.col("forecast_lower") <= F.col("forecast_upper"))
+    return out.select("date", "store_id", "product_id", "inventory_level", "price", sound.alias("sound"))
+
+
+STEPWISE_SQL = f"""WITH {L.DEMAND}, m AS (SELECT store_id, product_id, max(date) AS last, arg_max(inventory_level, date) AS inventory_level, arg_max(price, date) AS price FROM demand GROUP BY 1, 2)
+  SELECT CAST(last + CAST(k AS INTEGER) AS DATE) AS date, store_id, product_id, inventory_level, price, true AS sound FROM m, range(1, 13) AS r(k)"""
 
 
 def augmentation_comparison(spark, root):
     out = learn.compare_augmentation(_rare_defaults(spark, root), "c_custkey")
-    return out.select("decision_score", "recommended", F.col("before")["pr_auc"].alias("pr_auc_before"), F.col("after")["pr_auc"].alias("pr_auc_after"))
+    gain = {n: F.col("after")[n] - F.col("before")[n] for n in ("pr_auc", "roc_auc", "brier", "recall")}
+    better = (2 * gain["pr_auc"] + gain["roc_auc"] - 0.5 * gain["brier"] > 0) & (gain["recall"] >= -0.02)
+    return out.select((F.col("recommended") == F.when(better, "augmented").otherwise("baseline")).alias("follows_figures"), (_sound(F.col("before")) & _sound(F.col("after"))).alias("sound"))
+
+
+COMPARISON_SQL = "SELECT true AS follows_figures, true AS sound"
 
 
 def screened(spark, root):
@@ -788,6 +843,13 @@ SQL = {
     "train_screening": SCREENED_SQL,
     "train_preparation": PREPARED_SQL,
     "train_augmented": AUGMENTED_SQL,
+    "train_payment_risk": TRAINED_PAYMENTS_SQL,
+    "train_credit_behaviour": TRAINED_CREDIT_SQL,
+    "train_loan_default": TRAINED_LOANS_SQL,
+    "train_demand": TRAINED_DEMAND_SQL,
+    "train_stepwise_projection": STEPWISE_SQL,
+    "train_augmentation_comparison": COMPARISON_SQL,
+    "train_permutation_importance": IMPORTANCE_SQL,
     "store_delimited": DELIMITED_SQL,
     "store_dataset": WRITTEN_SQL,
     "store_exports": EXPORTED_SQL,
