@@ -131,3 +131,33 @@ def test_case_updates(spark, tmp_path):
     assert workspace.cases(spark, root, "acme", "OPEN").count() == 1
     with pytest.raises(ValueError):
         workspace.apply_case_updates(workspace.cases(spark, root, "acme"), spark.createDataFrame([(first.id, "acme", "GONE", "", "", "")], layout))
+
+
+def test_dates_in_many_layouts(spark):
+    import datetime
+
+    from duecast.functions.values import number, parse_date
+
+    texts = ["01/31/2020", "31/01/2020", "2020/01/31", "31 Jan 2020", "Jan 31, 2020", "January 31 2020", "31.01.2020", "2020-01-31T10:00", "1/31/2020 9:15", "20200131.0"]
+    df = spark.createDataFrame([(t,) for t in [*texts, "02/03/2020", "32/13/2020", "nonsense", ""]], "t string")
+    got = [r[0] for r in df.select(parse_date(F.col("t"))).collect()]
+    assert got[: len(texts)] == [datetime.date(2020, 1, 31)] * len(texts)
+    assert got[len(texts) :] == [datetime.date(2020, 2, 3), None, None, None]
+    assert df.where("t = '02/03/2020'").select(parse_date(F.col("t"), day_first=True)).first()[0] == datetime.date(2020, 3, 2)
+    assert [r[0] for r in spark.createDataFrame([("1d",), ("0x1p3",), ("NaN",), (" 2e3 ",)], "t string").select(number(F.col("t"))).collect()] == [None, None, None, 2000.0]
+
+
+def test_each_file_has_its_own_encoding(spark, tmp_path):
+    from duecast.sources.files import read_delimited
+
+    (tmp_path / "a.csv").write_bytes("id,name\n1,café\n".encode())
+    (tmp_path / "b.csv").write_bytes("id,name\n2,café\n".encode("latin-1"))
+    rows = read_delimited(spark, str(tmp_path)).orderBy("id").collect()
+    assert [(r["id"], r["name"]) for r in rows] == [("1", "café"), ("2", "café")]
+
+
+def test_repeated_rows_tell_missing_cells_apart(spark):
+    from duecast.operators.quality import quality_report
+
+    df = spark.createDataFrame([(1, None), (None, 1), (1, None), (1, 1)], "a int, b int")
+    assert quality_report(df).first()["duplicate_rows"] == 1
