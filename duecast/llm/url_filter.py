@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys looked at to choose split points; they decide the work, not the result.
+#: About so many keys are looked at to choose split points; they decide the work, not the result.
 SPLIT_KEYS = 20_000
 DEFAULT_VERDICT = "allow"
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -79,8 +79,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     host, path = url_parts(F.col(url_col))
     parted = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The smallest hashes of (page, url) are a fixed random choice; a hot key is split by its pages' hashes.
-    chosen = parted.select("key", F.xxhash64("page_id", "path").alias("h")).orderBy(F.xxhash64("h", "key"), "key").limit(SPLIT_KEYS).collect()
+    # A share by hash is a fixed random choice; a hot key is split by its pages' hashes. The limit only guards against
+    # one page repeated without end.
+    share = min(1.0, SPLIT_KEYS / max(pages.count(), 1))
+    hashed = parted.select("key", F.xxhash64("page_id", "path").alias("h"))
+    chosen = hashed.where(F.pmod(F.xxhash64("h", "key"), F.lit(1_000_000_007)) < int(share * 1_000_000_007)).limit(4 * SPLIT_KEYS).collect()
     ordered = sorted((r["key"], r["h"]) for r in chosen)
     splits = sorted({ordered[len(ordered) * i // parts] for i in range(1, parts)}) if ordered else []
 
