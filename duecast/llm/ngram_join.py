@@ -4,14 +4,15 @@
    collapsed: only the smallest document of each set goes on, and sets so small that one more shingle
    falls below the limit (under nine at 0.9) can link with equal sets only.
 2. Sets are partitioned into groups of similar sets: those made mostly of shingles that many documents
-   hold are grouped by the smallest of these, the others by their smallest rarer shingle. Groups over
+   hold are grouped by the smallest of these, the others by their smallest shingle that a few hold. Groups over
    ``CHUNK`` members are dealt into chunks by hash, so that no group grows with the data.
 3. The matrix holds the union of each group's tokens, as rows (token, group). Two linked sets share
    ``SHARED`` of their first tokens in one global order (rare ones first), so the union needs these
-   tokens alone, and two groups are compared only where their unions share that many.
-4. Opened groups are sent, chunk by chunk, to one unit of work per pair of groups. There each query set
-   is bounded by its overlap with the whole union of the other group's tokens, and only if that allows a
-   link, compared with the members. A unit emits a spanning forest of its links, never all of them.
+   tokens alone. Each set is a query: its overlap with every union is counted, and only groups that
+   reach the bound are opened.
+4. Queries are sent to one unit of work per pair of groups. There each is bounded again by its overlap
+   with the union of all tokens of the other side, and only if that allows a link, compared with the
+   members that asked back. A unit emits a spanning forest of its links, never all of them.
 5. Links between groups are joined into components by alternating large and small stars.
 
 The order of tokens and the groups decide the work, never the result.
@@ -33,13 +34,13 @@ WORDS = 3
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 90
 SHARED = 3
-CHUNK = 128
+CHUNK = 256
 #: Tokens held by this many documents or more come last in the global order.
 COMMON = 16
-#: The share of the hash space in which common tokens are counted.
-LOW = int(0.15 * 2**63)
-#: Rows up to which a table is broadcast (8 to 32 bytes each); larger ones are joined by shuffle.
+#: Rows up to which a table is sent to every executor (8 to 32 bytes each); larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: The same for tokens of several sets, nine bytes each.
+SHARED_TOKENS = 4_000_000
 
 _SKETCH = "doc_id long, n long, d1 long, d2 long, low array<long>"
 
@@ -49,6 +50,14 @@ def prefix_size(n, percent: int = PERCENT):
     return n - (percent * n + 99) // 100 + SHARED
 
 
+def low_limit(percent: int) -> int:
+    """Tokens below this hash are counted over the corpus and so ordered by rarity.
+
+    Two and a half times a prefix: even a set that is half a common passage then fills its prefix with its own tokens.
+    """
+    return int(min(1.0, 2.5 * (100 - percent) / 100) * 2**63) - 1
+
+
 def least_size(percent: int = PERCENT) -> int:
     """The smallest set that can link with another than its equal: n / (n + 1) reaches the limit."""
     return -(-percent // (100 - percent)) if percent < 100 else 2**62
@@ -77,7 +86,7 @@ def _sketches(words: int, percent: int):
         for batch in batches:
             rows, sizes, one, two, low, low_ends = [], [], [], [], [], [0]
             for row, tokens in shingle_sets(batch.column(1), words):
-                keep = max(int(np.searchsorted(tokens, LOW)), min(len(tokens), prefix_size(len(tokens), percent)))
+                keep = max(int(np.searchsorted(tokens, low_limit(percent))), min(len(tokens), prefix_size(len(tokens), percent)))
                 rows.append(row)
                 sizes.append(len(tokens))
                 for part, sums in zip(digest(tokens), (one, two), strict=True):
@@ -108,42 +117,50 @@ def digest(tokens: np.ndarray) -> tuple[np.uint64, np.uint64]:
 
 
 def _blobs(words: int):
-    """(part, node, tokens) of documents whose set still is the one that ``node`` names."""
+    """(node, tokens) of documents whose set still is the one that ``node`` names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, rows, blobs = batch.column(3).to_numpy(), [], []
+            nodes, rows, blobs = batch.column(2).to_numpy(), [], []
             for row, tokens in shingle_sets(batch.column(1), words):
                 if digest(tokens)[0].astype(np.int64) == nodes[row]:
                     rows.append(row)
                     blobs.append(tokens.tobytes())
-            kept = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column(2), kept.column(3), pa.array(blobs, pa.binary())], names=["part", "node", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(rows, pa.int64())), pa.array(blobs, pa.binary())], names=["node", "tokens"])
 
     return run
 
 
-def _prefixes(percent: int, common: np.ndarray | None):
-    """(node, grp, first) from (node, n, low) and, where ``common`` is not given, each set's own common tokens."""
+def _member(values: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return values[np.minimum(np.searchsorted(values, tokens), len(values) - 1)] == tokens if len(values) else np.zeros(len(tokens), bool)
+
+
+def _prefixes(percent: int, shared: np.ndarray | None, common: np.ndarray | None):
+    """(node, grp, first) from (node, n, low) and, where the tables are not given, each set's own held tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column(1).to_numpy()
             low = batch.column(2)
             flat, ends = low.flatten().to_numpy(), np.concatenate([[0], np.cumsum(low.value_lengths().to_numpy())]).astype(np.int64)
-            if common is None:
-                held = batch.column(3).to_pylist()
-                shared = np.concatenate([np.isin(flat[ends[i] : ends[i + 1]], np.array(held[i] or [], np.int64)) for i in range(len(sizes))]) if len(sizes) else np.zeros(0, bool)
-            else:
-                shared = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat if len(common) else np.zeros(len(flat), bool)
+            if shared is not None:
+                several, often = _member(shared, flat), _member(common, flat)
             groups, first, first_ends = [], [], [0]
             for i, n in enumerate(sizes):
-                tokens, held_here = flat[ends[i] : ends[i + 1]], shared[ends[i] : ends[i + 1]]
-                near = tokens < LOW
-                rare, often, rest = tokens[near & ~held_here], tokens[near & held_here], tokens[~near]
-                ordered = np.concatenate([rare, often, rest])
-                groups.append((often if len(often) > len(rare) else ordered)[0])
-                first.append(ordered[: min(n, prefix_size(n, percent))])
+                tokens = flat[ends[i] : ends[i + 1]]
+                if shared is not None:
+                    held, crowd = several[ends[i] : ends[i + 1]], often[ends[i] : ends[i + 1]]
+                else:
+                    held, crowd = (np.isin(tokens, np.array(batch.column(k)[i].as_py() or [], np.int64)) for k in (3, 4))
+                near = tokens < low_limit(percent)
+                alone, few, many, rest = tokens[near & ~held], tokens[near & held & ~crowd], tokens[near & crowd], tokens[~near]
+                if 2 * len(many) > len(alone) + len(few) + len(many):
+                    groups.append(many[0])
+                else:
+                    groups.append(next(x[0] for x in (few, rest, many, alone) if len(x)))
+                take = max(0, min(n, prefix_size(n, percent)) - len(alone))
+                # A token of one set alone takes its place but meets nothing; with fewer others than a link shares there is none.
+                first.append(np.concatenate([few, many, rest])[: take if take >= SHARED else 0])
                 first_ends.append(first_ends[-1] + len(first[-1]))
             flat_first = np.concatenate(first) if first else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -154,14 +171,17 @@ def _prefixes(percent: int, common: np.ndarray | None):
 
 
 def _order_tokens(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, grp, first): each set's group and its first tokens in the global order."""
-    counts = sets.select(F.explode("low").alias("token")).where(F.col("token") < LOW).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    common = materialize(counts.where(F.col("c") >= COMMON).select("token"), "common-tokens")
+    """(node, grp, first): each set's group and its first tokens in the global order, but those of this set alone."""
+    counts = sets.select(F.explode("low").alias("token")).where(F.col("token") < low_limit(percent)).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    held = materialize(counts.where("c > 1").select("token", (F.col("c") >= COMMON).alias("often")), "shared-tokens")
     schema = "node long, grp long, first array<long>"
-    if common.count() <= BROADCAST_ROWS:
-        return sets.mapInArrow(_prefixes(percent, np.sort(common.toPandas()["token"].to_numpy(np.int64))), schema)
-    held = sets.select("node", F.explode("low").alias("token")).join(common, "token").groupBy("node").agg(F.collect_set("token").alias("held"))
-    return sets.join(held, "node", "left").select("node", "n", "low", "held").mapInArrow(_prefixes(percent, None), schema)
+    if held.count() <= SHARED_TOKENS:
+        table = held.toArrow()  # not toPandas(), which goes through a Python object per row
+        tokens, often = table.column("token").to_numpy(), table.column("often").to_numpy()
+        return sets.mapInArrow(_prefixes(percent, np.sort(tokens), np.sort(tokens[often])), schema)
+    per_set = sets.select("node", F.explode("low").alias("token")).join(held, "token").groupBy("node")
+    per_set = per_set.agg(F.collect_set("token").alias("held"), F.collect_set(F.when(F.col("often"), F.col("token"))).alias("crowd"))
+    return sets.join(per_set, "node", "left").select("node", "n", "low", "held", "crowd").mapInArrow(_prefixes(percent, None, None), schema)
 
 
 def _forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -279,17 +299,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dealt = F.when(F.col("c") > CHUNK, F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / CHUNK))).otherwise(F.lit(0))
     parts = ordered.join(big, "grp", "left").select("node", F.xxhash64("grp", dealt).alias("part"), "first")
     parts = materialize(parts, "shingle-parts")
-    matrix = parts.select("part", F.explode("first").alias("token")).repartition("token").distinct()
-    pairs = matrix.alias("x").join(matrix.alias("y"), F.expr("x.token = y.token AND x.part < y.part")).groupBy(F.col("x.part").alias("a"), F.col("y.part").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    several = parts.groupBy("part").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    units = materialize(pairs.where(F.col("c") >= SHARED).select("a", "b").unionByName(several.select(F.col("part").alias("a"), F.col("part").alias("b"))), "group-pairs")
-    homes = units.select("a", "b", F.col("a").alias("part")).unionByName(units.where("a <> b").select("a", "b", F.col("b").alias("part")))
-    opened = parts.select("node", "part").join(homes.select("part").distinct(), "part")
-    opened = materialize(opened.join(classes.select(F.col("d1").alias("node"), "doc_id"), "node").select("doc_id", "part", "node"), "opened")
-    blobs = plain.join(_hinted(opened), "doc_id").select("doc_id", "text", "part", "node").mapInArrow(_blobs(words), "part long, node long, tokens binary")
-    if opened.select("node").distinct().count() < (blobs := materialize(blobs, "opened-sets")).count():
+    rows = parts.select("node", "part", F.explode("first").alias("token")).repartition("token")
+    matrix = rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("part", "other")
+    bounds = rows.join(matrix, "token").where((F.col("part") != F.col("other")) | (F.col("members") > 1)).groupBy("node", "part", "other").agg(F.count(F.lit(1)).alias("c"))
+    asked = materialize(bounds.where(F.col("c") >= SHARED).select("node", "part", "other"), "opened-groups")
+    opened = materialize(asked.select("node").distinct().join(classes.select(F.col("d1").alias("node"), "doc_id"), "node").select("doc_id", "node"), "opened")
+    blobs = materialize(plain.join(_hinted(opened), "doc_id").select("doc_id", "text", "node").mapInArrow(_blobs(words), "node long, tokens binary"), "opened-sets")
+    if opened.select("node").distinct().count() < blobs.count():
         blobs = blobs.dropDuplicates(["node"])
-    sent = homes.join(blobs, "part").select("a", "b", "part", "node", "tokens")
+    sent = asked.join(blobs, "node").select(F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "node", "tokens")
     sent = sent.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b").sortWithinPartitions("a", "b")
     roots = components(sent.mapInArrow(_units(percent), "u long, v long"))
     rooted = classes.join(roots, classes["d1"] == roots["node"], "left").select("d1", "d2", "n", "doc_id", F.coalesce("root", "d1").alias("root"))
