@@ -32,8 +32,9 @@ from duecast.session import materialize
 
 LENGTH = 100
 GRAM = 24
+#: Blocks of at most 175 bytes that are sorted together: about as many as let three names share a 64-bit key.
 HOT_BLOCKS = 4000
-#: Bytes sorted at a time; blocks of one anchor always stay together.
+#: Bytes sorted at a time, beside those of the anchor that passes it; blocks of one anchor always stay together.
 SORT_BYTES = 600_000
 _U = np.uint64
 _TOP = _U(2**64 - 1)
@@ -256,14 +257,22 @@ def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _hash_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h1, h2, id, same, at) of every 100-byte string of the blocks."""
     for batch in batches:
-        ids, same, first = (batch.column(k).to_numpy() for k in (1, 2, 3))
-        for i, block in enumerate(batch.column(4).to_pylist()):
-            raw = np.frombuffer(block, np.uint8)
-            n, out = len(raw) - LENGTH + 1, []
-            for codes in (raw, raw[::-1]):
-                sums, back = _running(codes)
-                out.append(bw.mix((sums[LENGTH:] - sums[:n]) * back[:n]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(np.ascontiguousarray(out[1][::-1])), pa.array(np.full(n, ids[i])), pa.array(np.full(n, same[i])), pa.array(first[i] + np.arange(n))], names=["h1", "h2", "id", "same", "at"])
+        for a in range(0, batch.num_rows, 4096):
+            part = batch.slice(a, 4096)
+            ids, same, first = (part.column(k).to_numpy() for k in (1, 2, 3))
+            column = part.column(4).cast(pa.large_binary())
+            ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            raw, ends = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+            count = np.diff(ends) - LENGTH + 1
+            offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            at = np.repeat(ends[:-1], count) + offset
+            sums, back = _running(raw)
+            ahead = bw.mix((sums[at + LENGTH] - sums[at]) * back[at])
+            sums, back = _running(raw[::-1])
+            mirror = len(raw) - at - LENGTH
+            behind = bw.mix((sums[mirror + LENGTH] - sums[mirror]) * back[mirror])
+            columns = (ahead.astype(np.int64), behind.astype(np.int64), np.repeat(ids, count), np.repeat(same, count), np.repeat(first, count) + offset)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h1", "h2", "id", "same", "at"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,13 +293,21 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, id, same, first, bytes) of every wanted block."""
     for batch in batches:
-        for row in range(batch.num_rows):
-            text = (batch.column(2)[row].as_py() or "").encode()
-            for anchor, first, last in ((w["anchor"], w["first"], w["last"]) for w in batch.column(3)[row].as_py()):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([anchor]), batch.column(0).slice(row, 1), batch.column(1).slice(row, 1), pa.array([first]), pa.array([text[first : last + LENGTH]], pa.binary())], names=["anchor", "id", "same", "first", "bytes"]
-                )
+        raw, ends = bw.text_buffer(batch.column(2))
+        wanted = batch.column(3)
+        row = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy())
+        anchor, first, last = (c.to_numpy() for c in wanted.flatten().flatten())
+        for a in range(0, len(row), 20_000):
+            part = slice(a, a + 20_000)
+            start = ends[row[part]] + first[part]
+            size = last[part] + LENGTH - first[part]
+            stops = np.concatenate([[0], np.cumsum(size)])
+            data = raw[np.arange(stops[-1]) + np.repeat(start - stops[:-1], size)]
+            cut = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(data)])
+            rows = pa.array(row[part])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first[part]), cut], names=["anchor", "id", "same", "first", "bytes"])
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
