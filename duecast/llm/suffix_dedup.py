@@ -33,9 +33,9 @@ from duecast.session import materialize
 LENGTH = 100
 GRAM = 24
 #: Blocks of at most 175 bytes that are sorted together: about as many as let three names share a 64-bit key.
-HOT_BLOCKS = 4000
+HOT_BLOCKS = 16_000
 #: Bytes sorted at a time, beside those of the anchor that passes it; blocks of one anchor always stay together.
-SORT_BYTES = 600_000
+SORT_BYTES = 300_000
 _U = np.uint64
 _TOP = _U(2**64 - 1)
 

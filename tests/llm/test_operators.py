@@ -150,7 +150,7 @@ def test_url_filter_against_all_rules(spark):
         assert got[i] == (max(fit)[1:] if fit else (None, "allow"))
 
 
-@pytest.mark.parametrize("hot", [4000, 1])
+@pytest.mark.parametrize("hot", [16_000, 1])
 def test_remove_repeats(spark, docs, rows, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot)
     table = docs.unionByName(spark.createDataFrame([(200, "é" * 300, "", "", 0, 0.0), (201, rows[5][1][:99], "", "", 0, 0.0), (202, "z" + rows[5][1][:150] + "é" * 60, "", "", 0, 0.0)], SCHEMA))
