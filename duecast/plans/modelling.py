@@ -521,6 +521,17 @@ TRAINED_PAYMENTS_SQL = f"""WITH {L.INVOICES}, n AS (SELECT count(*) AS n FROM in
   FROM c, (VALUES ('Logistic Regression'), ('Gradient Boosting')) AS t(algorithm)"""
 
 
+def _with_figures(training, names):
+    """Runs with every figure of the validation and test rows, and whether the run was chosen as best."""
+    figures = [F.col(part)[n].alias(f"{part}_{n}") for part in ("validation", "test") for n in names]
+    return training.runs.select("algorithm", "method", *[F.col("split")[n].alias(f"{n}_rows") for n in ("train", "validation", "test")], *figures, (F.col("algorithm") == training.best).alias("best"))
+
+
+def every_payment_model(spark, root):
+    """All payment classifiers over all columns and the history, with their figures. No SQL: figures of fitted models."""
+    return _with_figures(learn.train_payment_models(lenses.invoices(spark, root), list(learn.CLASSIFIERS)), learn.MEASURES)
+
+
 def trained_credit(spark, root):
     """Both credit models on their training rows. With balanced classes and a free intercept, the residuals of
     logistic regression cancel: its mean probabilities of the two classes add up to one."""
@@ -537,6 +548,16 @@ def trained_credit(spark, root):
     return out
 
 
+def credit_scores(spark, root):
+    """Probability of default per client from both credit models."""
+    df = lenses.credit(spark, root).where("default_next_month is not null")
+    out = None
+    for kind in ("baseline", "boosted"):
+        part = learn.score_credit_model(learn.train_credit_model(df, kind), df).select(F.lit(kind).alias("kind"), "client_id", "default_next_month", "probability")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 TRAINED_CREDIT_SQL = f"""WITH {L.CREDIT}, k AS (SELECT CAST(default_next_month AS BIGINT) AS y FROM credit WHERE default_next_month IS NOT NULL)
   SELECT kind, count(*) AS rows, CAST(sum(y) AS BIGINT) AS positives, true AS sound, CASE WHEN kind = 'baseline' THEN 1.0::DOUBLE END AS class_means
   FROM k, (VALUES ('baseline'), ('boosted')) AS t(kind) GROUP BY kind"""
@@ -548,6 +569,12 @@ def trained_loans(spark, root):
     return scored.select("LoanID", "Default", F.col("probability").between(0, 1).alias("sound"))
 
 
+def loan_scores(spark, root):
+    """Probability of default per loan."""
+    df = loan_layout(lenses.accepted_loans(spark, root))
+    return learn.positive_probability(learn.train_loan_model(df).transform(df)).select("LoanID", "Default", "probability")
+
+
 TRAINED_LOANS_SQL = f'SELECT LoanID, "Default", true AS sound FROM ({LOANS_SQL})'
 
 
@@ -567,6 +594,11 @@ TRAINED_DEMAND_SQL = f"""WITH {L.DEMAND}, i AS (SELECT date, row_number() OVER (
     count(*) FILTER (date >= b) AS test_rows, true AS sound FROM demand, c, (VALUES ('Ridge'), ('Gradient Boosting')) AS t(algorithm) GROUP BY algorithm"""
 
 
+def every_demand_model(spark, root):
+    """All demand regressors with their figures. No SQL: figures of fitted models."""
+    return _with_figures(learn.train_demand_models(lenses.demand(spark, root), list(learn.REGRESSORS)), learn.ERRORS)
+
+
 def _rare_defaults(spark, root):
     """The credit view with the stricter label of a delay of more than three months."""
     df = lenses.credit(spark, root).select("c_custkey", "client_id", *CREDIT_FEATURES)
@@ -801,6 +833,10 @@ QUERIES = {
     "train_credit_behaviour": trained_credit,
     "train_loan_default": trained_loans,
     "train_demand": trained_demand,
+    "train_payment_risk_all": every_payment_model,
+    "train_demand_all": every_demand_model,
+    "train_credit_behaviour_scores": credit_scores,
+    "train_loan_default_scores": loan_scores,
     "train_augmented": augmented,
     "train_augmentation_comparison": augmentation_comparison,
     "train_permutation_importance": importance,

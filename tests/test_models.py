@@ -9,6 +9,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from duecast.operators import combine, demand, learn, metrics, projection, quantiles, scoring, selection
+from duecast.plans import modelling
 from duecast.sources import lenses
 
 
@@ -168,6 +169,22 @@ def test_legacy_training_reports_three_parts(spark, small):
     assert learn.top_importance(importance, 3).count() == 3
 
 
+@pytest.mark.parametrize(("query", "trainer", "table"), [("train_payment_risk_all", "train_payment_models", "CLASSIFIERS"), ("train_demand_all", "train_demand_models", "REGRESSORS")])
+def test_every_algorithm_is_run_with_its_figures(spark, small, monkeypatch, query, trainer, table):
+    made, train = {}, getattr(learn, trainer)
+
+    def light(df, algorithms, **settings):
+        made.update(settings)
+        return train(df, algorithms, overrides={"maxIter": 2, "numTrees": 2, "maxDepth": 2}, **settings)
+
+    monkeypatch.setattr(learn, trainer, light)
+    rows = modelling.QUERIES[query](spark, small).collect()
+    assert made == {}  # no settings or columns of its own
+    assert sorted(r["algorithm"] for r in rows) == sorted(getattr(learn, table)) and sum(r["best"] for r in rows) == 1
+    assert len({(r["train_rows"], r["validation_rows"], r["test_rows"]) for r in rows}) == 1 and all(r["train_rows"] > r["test_rows"] > 0 for r in rows)
+    assert all(r[f"{part}_{n}"] is not None for r in rows for part in ("validation", "test") for n in (["pr_auc", "brier"] if table == "CLASSIFIERS" else ["mae", "wape"]))
+
+
 def test_acceptance_rule(spark):
     pairs = spark.createDataFrame(
         [({"pr_auc": 0.5, "roc_auc": 0.6, "brier": 0.2, "recall": 0.5}, {"pr_auc": 0.6, "roc_auc": 0.6, "brier": 0.2, "recall": r}) for r in (0.49, 0.4)],
