@@ -23,10 +23,26 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest number of each component; documents without a word stay."""
-    first = ngram_join.ngram_components(docs, words=SHINGLE_WORDS, percent=SHINGLE_PERCENT)
-    kept = first.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
+    """One document of each component; documents without a word all stay, repeats included.
+
+    It is the one with the smallest number (a missing number comes last), of these the one with the smallest hash of
+    its text, and of rows equal in both the one with the smallest hash of all columns.
+    """
+    found = ngram_join.keyed_components(docs, words=SHINGLE_WORDS, percent=SHINGLE_PERCENT)
+    found = materialize(found.where(F.col("root").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-copies")
+    first = found.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("__id"), F.min("text_hash").alias("__found"))
+    kept = first.select("__id", "__found", F.lit(True).alias("__one"))
+    bare = found.where("root is null").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__found"), F.lit(False).alias("__one")).distinct()
+    hashed = docs.withColumn("__hash", _text_hash())
+    kept = kept.unionByName(bare)
+    kept = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["__id"]) & (hashed["__hash"] == kept["__found"])).withColumn("__row", F.xxhash64(*docs.columns))
+    counts = kept.where("__one").groupBy(F.col("doc_id").alias("__rid"), F.col("__hash").alias("__rhash")).agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__least"))
+    repeats = materialize(counts.where("__n > 1"), "repeated-rows")
+    if repeats.isEmpty():
+        return kept.select(docs.columns)
+    marked = kept.join(repeats, F.col("__one") & F.col("doc_id").eqNullSafe(F.col("__rid")) & (F.col("__hash") == F.col("__rhash")), "left")
+    once = marked.where("__row = __least").dropDuplicates(["doc_id", "__hash", "__row"])
+    return marked.where("__least is null").unionByName(once).select(docs.columns)
 
 
 def _text_hash() -> Column:

@@ -42,7 +42,7 @@ BROADCAST_ROWS = 1_000_000
 #: The same for tokens of several sets, nine bytes each.
 SHARED_TOKENS = 4_000_000
 
-_SKETCH = "doc_id long, n long, d1 long, d2 long, low array<long>"
+_SKETCH = "doc_id long, text_hash long, n long, d1 long, d2 long, low array<long>"
 
 
 def prefix_size(n, percent: int = PERCENT):
@@ -98,13 +98,13 @@ def _sketches(words: int, percent: int):
             flat = np.concatenate(low) if low else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(np.concatenate([np.array(rows, np.int64), missing]))).cast(pa.int64()),
+                    *(batch.column(k).take(pa.array(np.concatenate([np.array(rows, np.int64), missing]))).cast(pa.int64()) for k in (0, 2)),
                     pa.array(np.concatenate([np.array(sizes, np.int64), np.zeros(gap, np.int64)])),
                     pa.array(np.concatenate([np.array(one, np.uint64), np.zeros(gap, np.uint64)]).view(np.int64)),
                     pa.array(np.concatenate([np.array(two, np.uint64), np.zeros(gap, np.uint64)]).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.array(low_ends + [low_ends[-1]] * gap, np.int32)), pa.array(flat)) if n + gap else pa.array([], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "d1", "d2", "low"],
+                names=["doc_id", "text_hash", "n", "d1", "d2", "low"],
             )
 
     return run
@@ -283,15 +283,25 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, n_shingles, component_id) of every row.
 
     Null and empty texts have no shingles and form components of their own. Repeated rows keep their
-    number of rows; each row's own text decides its component. A row without a number joins the component of an equal set
-    only. An empty table gives an empty result.
+    number of rows; each row's own text decides its component, which is named by its smallest number. Rows without
+    a number are linked like others; where a component has no number at all its name is null. An empty table gives an empty result.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return keyed_components(docs, id_col, text_col, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def keyed_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``ngram_components`` with ``text_hash`` and ``root``, which tells components apart where numbers repeat or are missing.
+
+    ``root`` is null for rows without a word.
+    """
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # What finds a set's text again: the number, or the text's hash where there is none.
+    pick = F.coalesce("doc_id", "text_hash").alias("pick")
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    sketches = materialize(plain.mapInArrow(_sketches(words, percent), _SKETCH), "shingle-sketches")
-    classes = materialize(sketches.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id")), "shingle-classes")
-    sets = sketches.where(F.col("n") >= least_size(percent)).join(classes, ["d1", "d2", "n", "doc_id"], "left_semi").select("doc_id", F.col("d1").alias("node"), "n", "low")
+    sketches = materialize(plain.select("doc_id", "text", "text_hash").mapInArrow(_sketches(words, percent), _SKETCH), "shingle-sketches")
+    classes = materialize(sketches.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), F.min("text_hash")).alias("pick")), "shingle-classes")
+    sets = sketches.where(F.col("n") >= least_size(percent)).select("*", pick).join(classes, ["d1", "d2", "n", "pick"], "left_semi").select(F.col("d1").alias("node"), "n", "low")
     if not sets.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
         sets = sets.dropDuplicates(["node"])
     ordered = materialize(_order_tokens(sets.select("node", "n", "low"), percent), "shingle-order")
@@ -303,8 +313,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     matrix = rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("part", "other")
     bounds = rows.join(matrix, "token").where((F.col("part") != F.col("other")) | (F.col("members") > 1)).groupBy("node", "part", "other").agg(F.count(F.lit(1)).alias("c"))
     asked = materialize(bounds.where(F.col("c") >= SHARED).select("node", "part", "other"), "opened-groups")
-    opened = materialize(asked.select("node").distinct().join(classes.select(F.col("d1").alias("node"), "doc_id"), "node").select("doc_id", "node"), "opened")
-    blobs = materialize(plain.join(_hinted(opened), "doc_id").select("doc_id", "text", "node").mapInArrow(_blobs(words), "node long, tokens binary"), "opened-sets")
+    opened = materialize(asked.select("node").distinct().join(classes.select(F.col("d1").alias("node"), "pick"), "node").select("pick", "node"), "opened")
+    blobs = materialize(plain.select("doc_id", "text", pick).join(_hinted(opened), "pick").select("doc_id", "text", "node").mapInArrow(_blobs(words), "node long, tokens binary"), "opened-sets")
     if opened.select("node").distinct().count() < blobs.count():
         blobs = blobs.dropDuplicates(["node"])
     sent = asked.join(blobs, "node").select(F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "node", "tokens")
@@ -312,9 +322,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = components(sent.mapInArrow(_units(percent), "u long, v long"))
     rooted = classes.join(roots, classes["d1"] == roots["node"], "left").select("d1", "d2", "n", "doc_id", F.coalesce("root", "d1").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component"))
-    named = rooted.join(smallest, "root").select("d1", "d2", "n", "component")
-    joined = sketches.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    named = rooted.join(smallest, "root").select("d1", "d2", "n", "component", "root")
+    joined = sketches.select("doc_id", "text_hash", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "text_hash", "root")
 
 
 def batch_limits(spark: SparkSession, rows: int = 20_000, size: str = "8m") -> None:

@@ -36,3 +36,28 @@ def test_stages_keep_columns_and_survive_empty_input(spark, small):
             out = stage(spark, table, small)
             assert out.columns == docs.columns and out.count() <= table.count()
         assert corpus_pipeline.STAGES[-1][1](spark, table, small).count() == table.count()
+
+
+def test_one_row_of_each_component_stays(spark, small):
+    words = [f"w{i}" for i in range(60)]
+    near = lambda *at: " ".join(f"x{i}" if i in at else w for i, w in enumerate(words))
+    other = lambda *at: near(*at).replace("w", "v")
+    apart = near().replace("w", "u")
+    rows = [
+        (7, near(), "a"), (7, near(), "a"), (7, near(), "b"), (7, near(59), "a"), (8, near(0), "a"), (None, near(), "a"), (None, near(0, 59), "a"),
+        (7, apart, "a"), (9, apart, "a"),  # the number of another component's document
+        (None, other(), "a"), (None, other(59), "a"), (None, other(0, 59), "a"), (None, other(), "a"),
+        (1, "", "a"), (1, "", "a"), (None, None, "a"),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for part in (table, table.repartition(5)):
+        got = sorted(((r["doc_id"], (r["text"] or "-").split(" ")[1:2]) for r in corpus_pipeline.drop_near_copies(spark, part, small).collect()), key=str)
+        assert got == sorted([(7, ["w1"]), (7, ["u1"]), (None, ["v1"]), (1, []), (1, []), (None, [])], key=str)
+
+
+def test_links_run_through_rows_without_a_number(spark, small):
+    words = [f"w{i}" for i in range(100)]
+    steps = [" ".join(f"x{i}" if i >= 100 - k else w for i, w in enumerate(words)) for k in (0, 5, 10, 15)]
+    rows = [(1, steps[0]), (None, steps[1]), (None, steps[2]), (2, steps[3])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, table, small).collect()] == [1]
