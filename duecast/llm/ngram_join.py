@@ -7,7 +7,7 @@
    hold are grouped by the smallest of these, the others by their smallest shingle that a few hold. Groups over
    ``CHUNK`` members are dealt into chunks by hash, so that no group grows with the data.
 3. The matrix holds the union of each group's tokens, as rows (token, group). Two linked sets share
-   ``SHARED`` of their first tokens in one global order (rare ones first), so the union needs these
+   ``shared_tokens`` of their first tokens in one global order (rare ones first), so the union needs these
    tokens alone. Each set is a query: its overlap with every union is counted, and only groups that
    reach the bound are opened.
 4. Queries are sent to one unit of work per pair of groups. There each is bounded again by its overlap
@@ -46,8 +46,8 @@ _SKETCH = "doc_id long, text_hash long, n long, d1 long, d2 long, low array<long
 
 
 def prefix_size(n, percent: int = PERCENT):
-    """First tokens of a set of ``n`` of which a linked set holds ``SHARED`` among its own."""
-    return n - (percent * n + 99) // 100 + SHARED
+    """First tokens of a set of ``n`` of which a linked set holds ``shared_tokens`` among its own."""
+    return n - (percent * n + 99) // 100 + shared_tokens(percent)
 
 
 def low_limit(percent: int) -> int:
@@ -63,6 +63,11 @@ def least_size(percent: int = PERCENT) -> int:
     return -(-percent // (100 - percent)) if percent < 100 else 2**62
 
 
+def shared_tokens(percent: int = PERCENT) -> int:
+    """Tokens that any two linked sets share and that open a group: ``SHARED``, or fewer where sets with fewer can link."""
+    return min(SHARED, least_size(percent))
+
+
 def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct 63-bit shingle hashes) for every row with a word."""
     raw, ends = bw.text_buffer(column)
@@ -160,7 +165,7 @@ def _prefixes(percent: int, shared: np.ndarray | None, common: np.ndarray | None
                     groups.append(next(x[0] for x in (few, rest, many, alone) if len(x)))
                 take = max(0, min(n, prefix_size(n, percent)) - len(alone))
                 # A token of one set alone takes its place but meets nothing; with fewer others than a link shares there is none.
-                first.append(np.concatenate([few, many, rest])[: take if take >= SHARED else 0])
+                first.append(np.concatenate([few, many, rest])[: take if take >= shared_tokens(percent) else 0])
                 first_ends.append(first_ends[-1] + len(first[-1]))
             flat_first = np.concatenate(first) if first else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -294,6 +299,8 @@ def keyed_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     ``root`` is null for rows without a word.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must lie between 1 and 100: below, sets without a common shingle would link.")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     # What finds a set's text again: the number, or the text's hash where there is none.
     pick = F.coalesce("doc_id", "text_hash").alias("pick")
@@ -312,7 +319,7 @@ def keyed_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = parts.select("node", "part", F.explode("first").alias("token")).repartition("token")
     matrix = rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("part", "other")
     bounds = rows.join(matrix, "token").where((F.col("part") != F.col("other")) | (F.col("members") > 1)).groupBy("node", "part", "other").agg(F.count(F.lit(1)).alias("c"))
-    asked = materialize(bounds.where(F.col("c") >= SHARED).select("node", "part", "other"), "opened-groups")
+    asked = materialize(bounds.where(F.col("c") >= shared_tokens(percent)).select("node", "part", "other"), "opened-groups")
     opened = materialize(asked.select("node").distinct().join(classes.select(F.col("d1").alias("node"), "pick"), "node").select("pick", "node"), "opened")
     blobs = materialize(plain.select("doc_id", "text", pick).join(_hinted(opened), "pick").select("doc_id", "text", "node").mapInArrow(_blobs(words), "node long, tokens binary"), "opened-sets")
     if opened.select("node").distinct().count() < blobs.count():

@@ -78,6 +78,19 @@ def test_ngram_small_sets_and_empty(spark):
     assert ngram_join.ngram_components(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [66, 50, 34])
+def test_ngram_links_of_few_common_shingles(spark, percent):
+    texts = ["a b", "a b c", "d e", "d e f g", "h i", "h j", "k", "k l", "m n", "o p"]
+    rows = list(enumerate(texts))
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), words=1, percent=percent)
+    assert sorted(map(tuple, got.collect())) == sorted(plain.components(rows, 1, percent))
+
+
+def test_ngram_limit_below_one_is_refused(docs):
+    with pytest.raises(ValueError, match="percent"):
+        ngram_join.ngram_components(docs, percent=0)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101)], "u long, v long")
     assert {tuple(r) for r in ngram_join.components(edges).collect()} == {(i, 0) for i in range(1, 61)} | {(101, 100)}
