@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 SPLIT_KEYS = 20_000
 DEFAULT_VERDICT = "allow"
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-_END = "￿"
+#: Sorts after every character of a host.
+_END = chr(0x10FFFF)
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:

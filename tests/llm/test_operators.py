@@ -136,6 +136,13 @@ def test_decontamination(spark, docs, rows, monkeypatch, bound):
     assert decontamination.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_url_filter_of_hosts_beyond_the_basic_plane(spark):
+    host = "😀.example.com"
+    pages = spark.createDataFrame([(i, f"s://{host}/en/{i}") for i in range(400)] + [(1000 + i, f"s://b{i}.example.com/en/") for i in range(20)], "page_id long, url string")
+    got = url_filter.filter_urls(pages, url_filter.rule_table(spark)).groupBy("rule", "verdict").count().collect()
+    assert [tuple(r) for r in got] == [("example.com/en/", "block", 420)]
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?q#f", "x://example.com", "x://example.com/EN/", "x://a.b.net/es/1", "x://net/fr/", "x://badnet/fr/", "x://example.com:80/en/", "x://q?://example.com/"]
     pages = spark.createDataFrame([(i, u, "k") for i, u in enumerate([*urls, urls[4]])], "page_id long, url string, key string")
