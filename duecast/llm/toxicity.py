@@ -100,8 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     vectors = texts.select("doc_id", "text", "y").mapInArrow(_extract, "doc_id long, y int, x array<long>")
-    # One task for at most ``rows`` feature lists: the updates are sequential.
-    model = vectors.coalesce(1).mapInArrow(_fit, "code long, weight double").toPandas().sort_values("code")
+    # One task for at most ``rows`` feature lists: the updates are sequential. The shuffle keeps the scan, the join and
+    # the extraction out of that task.
+    model = vectors.repartition(1).mapInArrow(_fit, "code long, weight double").toPandas().sort_values("code")
     return model["code"].to_numpy(np.int64), model["weight"].to_numpy(float)
 
 

@@ -136,6 +136,29 @@ def test_decontamination(spark, docs, rows, monkeypatch, bound):
     assert decontamination.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_toxicity_extracts_before_the_fitting_task(spark, tmp_path, monkeypatch):
+    parts = 6
+    path, seen = str(tmp_path / "docs"), str(tmp_path / "seen")
+    spark.createDataFrame([(i, f"word{i} calm") for i in range(60)], "doc_id long, text string").repartition(parts).write.parquet(path)
+    extract = toxicity._extract
+
+    def noted(batches):
+        from pyspark import TaskContext
+
+        with open(f"{seen}-{TaskContext.get().partitionId()}", "w"):
+            pass
+        yield from extract(batches)
+
+    monkeypatch.setattr(toxicity, "_extract", noted)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+    try:
+        marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+        toxicity.fit(spark.read.parquet(path), marks)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(list(tmp_path.glob("seen-*"))) == parts
+
+
 def test_url_filter_of_hosts_beyond_the_basic_plane(spark):
     host = "😀.example.com"
     pages = spark.createDataFrame([(i, f"s://{host}/en/{i}") for i in range(400)] + [(1000 + i, f"s://b{i}.example.com/en/") for i in range(20)], "page_id long, url string")
