@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duecast.llm import chat_format, decontamination, ngram_join, piece_dropout, quality_rules, secret_scan, sql, suffix_dedup, token_counts, toxicity, url_filter
+from duecast.llm import chat_format, decontamination, filter_audit, lexical_search, ngram_join, piece_dropout, quality_rules, secret_scan, sql, suffix_dedup, token_counts, toxicity, url_filter, web_archive
+from duecast.session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +82,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "web-archive")
+    web_archive.write_archive(table(spark, sf_dir, "pages"), path)
+    return web_archive.page_records(spark, path)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = filter_audit.count_outcomes(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+    return filter_audit.interactions(outcomes)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -92,6 +109,9 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_warc": op12_warc,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-SQL = {"op1_quality_rules": sql.OP1, "op4_decontamination": sql.OP4, "op5_url_filter": sql.OP5, "op7_chat_format": sql.OP7, "op10_secret_scan": sql.OP10}
+SQL = {"op1_quality_rules": sql.OP1, "op4_decontamination": sql.OP4, "op5_url_filter": sql.OP5, "op7_chat_format": sql.OP7, "op10_secret_scan": sql.OP10, "op11_lexical_search": sql.OP11, "op12_warc": sql.OP12, "op13_filter_audit": sql.OP13}

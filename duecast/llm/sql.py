@@ -107,3 +107,49 @@ SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns, sha256(string_agg(role |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+OP11 = rf"""
+WITH d AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM n),
+t AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY doc_id, term),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark)),
+w AS (SELECT item_id, term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM q JOIN f USING (term), s),
+x AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // total)))))::BIGINT AS score
+      FROM w JOIN t USING (term) JOIN n USING (doc_id), s GROUP BY item_id, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0) WHERE rank <= 50
+"""
+
+OP12 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+l AS (SELECT page_id, h, octet_length(encode(h)) AS n, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
+FROM l
+"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+             + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS mask FROM d),
+g AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM m LEFT JOIN g USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, step, coalesce(list_sum([1 << (ascii(l) - 65) for l in string_split(substr(filter_order, 1, step - 1), '') if l <> '']), 0)::INTEGER AS earlier,
+             1 << (ascii(substr(filter_order, step, 1)) - 65) AS own FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5])::INTEGER AS step FROM o)),
+r AS (SELECT part, filter_order, step, own,
+             coalesce(sum(n) FILTER (WHERE mask & (earlier | own) = 0), 0) AS kept,
+             coalesce(sum(n) FILTER (WHERE mask & earlier = 0 AND mask & own > 0), 0) AS removed,
+             coalesce(sum(n) FILTER (WHERE mask & earlier > 0 AND mask & own > 0), 0) AS redundant,
+             coalesce(sum(n) FILTER (WHERE mask = own), 0) AS unique_fails,
+             coalesce(sum(n) FILTER (WHERE mask & earlier = 0 AND mask & own > 0 AND good), 0) AS good_lost,
+             coalesce(sum(n) FILTER (WHERE mask & earlier = 0 AND mask & own > 0 AND toxic), 0) AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
