@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -17,17 +16,17 @@ from pyspark.sql import functions as F
 from duecast.functions.values import as_double, order_key
 from duecast.operators import metrics
 from duecast.operators.demand import HASH_RANGE, add_short_features, split_by_dates, split_by_position, split_stratified
+from duecast.operators.encoding import LevelEncoder, LevelEncoderModel
 from duecast.operators.features import (
     CREDIT_ENGINEERED, CREDIT_FEATURES, CREDIT_TARGET, LOAN_CATEGORICAL, LOAN_NUMERIC, PAY_STATUS, add_credit_behaviour,
 )
 from duecast.operators.filters import known_outcomes
 from duecast.operators.history import CLEAR_NAMES, DUE_NAMES, HISTORY_FEATURES, POSTING_NAMES, add_training_history, find_column
-from duecast.operators.quantiles import exact_medians, value_counts
+from duecast.operators.quantiles import value_counts
 from duecast.operators.skew import add_prior_sums
 from duecast.session import materialize
 
 SEED = 42
-INFREQUENT = "infrequent"
 
 # Names that are never model inputs.
 LEAKING = [
@@ -86,55 +85,12 @@ def screen_features(df: DataFrame, requested: Sequence[str], target: str, row_id
     return [c for c in present if c not in removed], removed
 
 
-def _quote(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def preparation(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], min_frequency: int = 5, max_levels: int | None = None, unknown_as_infrequent: bool = False,
     scale: bool = True,
 ) -> list:
-    """Pipeline stages: medians and scaling for numbers, usual values and indicators for categories. [M5]
-
-    Levels seen fewer than ``min_frequency`` times, or beyond the ``max_levels`` most frequent where that is
-    given, share one indicator. An encoder's levels are part of the model and are held by the driver. A level not seen in training has none, unless ``unknown_as_infrequent``.
-    """
-    medians = exact_medians(df.select(*[F.col(c).cast("double").alias(c) for c in numeric]), numeric) if numeric else {}
-    exprs = [f"coalesce(nanvl(cast(`{c}` as double), null), {medians[c] or 0.0}D) as `{c}__n`" for c in numeric]
-    stages, inputs = [], [f"{c}__n" for c in numeric]
-    labels: dict[str, list[str]] = {}
-    if categorical:
-        ranked = Window.partitionBy("column_name").orderBy(F.desc("count"), "value")
-        counts = value_counts(df, categorical).withColumn("n", F.row_number().over(ranked))
-        if max_levels is not None:  # the rank filter reaches the shuffle: at most max_levels + 1 rows per column are collected
-            counts = counts.where(F.col("n") <= max_levels + 1)
-        seen: dict[str, list] = {c: [] for c in categorical}
-        for r in counts.orderBy("column_name", "n").collect():
-            seen[r["column_name"]].append(r)
-        for c in categorical:
-            usual = seen[c][0]["value"] if seen[c] else INFREQUENT
-            crowded = max_levels is not None and len(seen[c]) > max_levels
-            frequent = [r["value"] for r in seen[c][: max_levels - 1 if crowded else None] if r["count"] >= min_frequency]
-            known = set(frequent)
-            rare = len(frequent) < len(seen[c])
-            labels[c] = frequent + ([INFREQUENT] if rare and INFREQUENT not in frequent else [])
-            value = f"coalesce(cast(`{c}` as string), {_quote(usual)})"
-            listed = ", ".join(_quote(v) for v in frequent) or "''"
-            few = [r["value"] for r in seen[c] if r["value"] not in known]
-            other = f"when {value} in ({', '.join(_quote(v) for v in few)}) then {_quote(INFREQUENT)}" if few else ""
-            fallback = _quote(INFREQUENT) if rare and (unknown_as_infrequent or crowded) else value
-            exprs.append(f"case when {value} in ({listed}) then {value} {other} else {fallback} end as `{c}__l`")
-    stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__"))
-    if numeric and scale:
-        stages += [VectorAssembler(inputCols=inputs, outputCol="_numbers"), StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=False)]
-        inputs = ["_scaled"]
-    for c in categorical:
-        if labels[c]:
-            # The indexer's extra slot for unseen levels is the last one, which the encoder drops.
-            stages.append(StringIndexerModel.from_labels(labels[c], inputCol=f"{c}__l", outputCol=f"{c}__i", handleInvalid="keep"))
-            stages.append(OneHotEncoder(inputCols=[f"{c}__i"], outputCols=[f"{c}__v"], dropLast=True))
-            inputs.append(f"{c}__v")
-    return [*stages, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")]
+    """Pipeline stages: medians and scaling for numbers, usual values and indicators for categories, from a table of levels. [M5]"""
+    return [LevelEncoder(numeric, categorical, min_frequency, max_levels, unknown_as_infrequent, scale)]
 
 
 def split_kinds(df: DataFrame, features: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -415,10 +371,11 @@ def permutation_importance(
 
 def model_importance(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Importances a tree model carries, by feature name. [A21]"""
-    attributes = model.transform(df.limit(0)).schema["features"].metadata["ml_attr"]["attrs"]
-    names = {a["idx"]: a["name"] for group in attributes.values() for a in group}
-    values = model.stages[-1].featureImportances.toArray()
-    return df.sparkSession.createDataFrame([(names.get(i, str(i)), float(v)) for i, v in enumerate(values)], "feature string, importance double")
+    encoder = next(s for s in model.stages if isinstance(s, LevelEncoderModel))
+    values = model.stages[-1].featureImportances
+    weights = dict(zip(values.indices.tolist(), values.values.tolist(), strict=True)) if hasattr(values, "indices") else dict(enumerate(values.toArray().tolist()))
+    held = df.sparkSession.createDataFrame([(int(i), float(v)) for i, v in weights.items()], "index int, importance double")
+    return encoder.feature_names(df.sparkSession).join(held, "index", "left").select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
 
 
 def top_importance(importance: DataFrame, top_k: int = 10) -> DataFrame:

@@ -463,8 +463,9 @@ def preprocess(df: DataFrame, roles_table: DataFrame, max_levels: int = 10) -> D
     categories = [c for c in open_columns if info[c]["kind"] == "categorical" and info[c]["role"] == "feature"]
     levels: dict[str, list[str]] = {c: [] for c in categories}
     if categories:
-        # A categorical column has at most 20 distinct values.
-        for r in value_counts(df, categories).orderBy("column_name", "value").collect():
+        # The rank filter reaches the shuffle: at most max_levels + 1 rows per column are collected.
+        place = F.row_number().over(Window.partitionBy("column_name").orderBy("value"))
+        for r in value_counts(df, categories).withColumn("n", place).where(F.col("n") <= max_levels + 1).orderBy("column_name", "n").collect():
             levels[r["column_name"]].append(r["value"])
     encoded = [c for c in categories if len(levels[c]) <= max_levels]
     numeric = [c for c in open_columns if info[c]["kind"] in ("integer", "number")]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from duecast.operators import learn, profile, projection, quality, scoring, selection
+from duecast.operators.encoding import INFREQUENT
 from duecast.operators.features import CREDIT_FEATURES, loan_layout
 from duecast.operators.quantiles import exact_medians
 from duecast.plans import lens_sql as L
@@ -636,9 +636,15 @@ def prepared(spark, root):
         "row_id", F.when(key % 10 > 0, F.col("total_open_amount")).alias("amount"),
         F.when(key % 6 > 0, F.when(key % 1000 == 7, "rare").otherwise(F.col("business_code"))).alias("code"),
     )
-    stages = learn.preparation(df, ["amount"], ["code"], min_frequency=df.count() // 100, scale=False)
-    out = Pipeline(stages=stages).fit(df).transform(df)
-    return out.select("row_id", F.round("amount__n", 4).alias("amount"), F.col("code__l").alias("code"), F.size(vector_to_array("features")).alias("width"))
+    encoder = learn.preparation(df, ["amount"], ["code"], min_frequency=df.count() // 100, scale=False)[0].fit(df)
+    out = encoder.with_slots(encoder.transform(df))
+    levels = encoder.levels(spark).where("frequent").select("slot", F.col("value").alias("label"))
+    labelled = out.join(levels, F.col("__slot_0") == F.col("slot"), "left")
+    vector = vector_to_array("features")
+    shown = F.array_position(F.slice(vector, 2, encoder.width), 1.0) - 1 == F.col("__slot_0")
+    return labelled.select(
+        "row_id", F.round(vector[0], 4).alias("amount"), F.when(shown, F.coalesce("label", F.lit(INFREQUENT))).alias("code"), F.size(vector).alias("width")
+    )
 
 
 PREPARED_SQL = f"""WITH {L.INVOICES}, d AS (SELECT row_id, CASE WHEN row_id % 10 > 0 THEN total_open_amount END AS amount,
