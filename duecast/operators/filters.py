@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duecast.functions.values import as_double, number, parse_date
+from duecast.operators.sketches import EXACT, column_facts
 from duecast.operators.skew import ROWS_PER_TASK, split_hot
 
 # Keywords that make a column a good search field, best first.
@@ -98,27 +99,28 @@ def demand_problems(df: DataFrame, row_id: str, keep: str = "first", rows_per_ta
 
 
 def best_search_column(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Columns scored as search fields, best first, in one aggregate over the table. [F12]"""
+    """Columns scored as search fields, best first, from one pass over the table. [F12]
+
+    Distinct counts near a limit of the score are exact; ``approximate`` leaves all of them estimates.
+    """
     kinds = dict(df.dtypes)
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    facts = df.agg(
-        F.count("*").alias("_rows"),
-        *[distinct(F.col(c)).alias(f"_d{i}") for i, c in enumerate(df.columns)],
-        # A missing cell counts with the length of the word "None".
-        *[F.avg(F.coalesce(F.length(F.col(c).cast("string")), F.lit(4))).alias(f"_l{i}") for i, c in enumerate(df.columns)],
+    # A missing cell counts with the length of the word "None".
+    facts = column_facts(
+        df, df.columns, total=lambda value: F.coalesce(F.length(value), F.lit(4)),
+        limits=lambda f: (0.1 * f.rows, 0.9 * f.rows), exact_up_to=None if approximate else EXACT,
     )
     scored = []
     for position, name in enumerate(df.columns):
         points = next((p for words, p in SEARCH_KEYWORDS if any(w in name.lower() for w in words)), 0)
-        share = F.try_divide(F.col(f"_d{position}"), F.col("_rows"))
-        spread = F.when(share.between(0.1, 0.9), 30).when(share > 0.9, 10).otherwise(5)
-        length = F.col(f"_l{position}")
+        f = facts[name]
+        share, length = (f.distinct / f.rows, f.measures["total"] / f.rows) if f.rows else (0.0, 0.0)
+        spread = 30 if 0.1 <= share <= 0.9 else 10 if share > 0.9 else 5
         if kinds[name] == "string":
-            shape = F.lit(20) + F.when(length.between(3, 50), 25).otherwise(0)
+            shape = 20 + (25 if 3 <= length <= 50 else 0)
         else:
-            shape = F.lit(15 if kinds[name] in ("bigint", "double") else 0)
-        scored.append(F.struct(F.lit(name).alias("column_name"), (F.lit(points) + spread + shape).alias("score"), F.lit(position).alias("position")))
-    return facts.select(F.inline(F.array(*scored))).orderBy(F.desc("score"), "position")
+            shape = 15 if kinds[name] in ("bigint", "double") else 0
+        scored.append((name, points + spread + shape, position))
+    return df.sparkSession.createDataFrame(scored, "column_name string, score int, position int").orderBy(F.desc("score"), "position")
 
 
 def display_rows(df: DataFrame, order: Sequence, rows: int = 2000) -> DataFrame:

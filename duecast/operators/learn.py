@@ -22,7 +22,7 @@ from duecast.operators.features import (
 )
 from duecast.operators.filters import known_outcomes
 from duecast.operators.history import CLEAR_NAMES, DUE_NAMES, HISTORY_FEATURES, POSTING_NAMES, add_training_history, find_column
-from duecast.operators.quantiles import value_counts
+from duecast.operators.sketches import column_facts
 from duecast.operators.skew import add_prior_sums
 from duecast.session import materialize
 
@@ -66,18 +66,17 @@ class Training:
 
 
 def screen_features(df: DataFrame, requested: Sequence[str], target: str, row_id: str | None = None) -> tuple[list[str], dict[str, str]]:
-    """(usable features, reason per removed column), from one distinct count over all columns. [M1]"""
+    """(usable features, reason per removed column), from one pass over all columns. [M1]"""
     present = [c for c in requested if c in df.columns and c not in (target, row_id)]
     key = {c: c.strip().lower().replace(" ", "_") for c in present}
     removed = {c: "outcome/date leakage" for c in present if key[c] in [*LEAKING, target.lower()] or "date" in key[c]}
     removed.update({c: "identifier" for c in present if c not in removed and any(i in key[c] for i in IDENTIFYING)})
     rest = [c for c in present if c not in removed]
     if rest:
-        facts = value_counts(df, rest).groupBy("column_name").agg(F.count("*").alias("n"))
-        distinct = {r["column_name"]: r["n"] for r in facts.collect()}  # one row per column
-        limit = min(500, max(50, int(df.count() * 0.02)))
+        facts = column_facts(df, rest)
+        limit = min(500, max(50, int(max(f.rows for f in facts.values()) * 0.02)))
         for c in rest:
-            n = distinct.get(c, 0)
+            n = facts[c].distinct
             if n <= 1:
                 removed[c] = "constant"
             elif dict(df.dtypes)[c] == "string" and n > limit:

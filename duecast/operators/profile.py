@@ -11,6 +11,7 @@ from duecast.functions.values import as_double, NUMBER_TEXT, number, parse_date
 from duecast.operators.combine import plain_name
 from duecast.operators.quality import _issue_rows, missing_cells, with_repeats
 from duecast.operators.quantiles import exact_quantiles, modes, value_counts
+from duecast.operators.sketches import EXACT, WHOLE, Facts, column_facts
 
 BOOLEAN_WORDS = ["true", "false", "yes", "no", "1", "0"]
 
@@ -69,51 +70,80 @@ def _any(words: Sequence[str], text: str) -> bool:
     return any(w in text for w in words)
 
 
-def profile(df: DataFrame, row_id: str | None = None, samples: int = 5) -> DataFrame:
+#: Rows looked at first for a column's first values.
+HEAD_ROWS = 1000
+
+
+def _kind(facts: Facts) -> str:
+    filled, unique, numeric = facts.filled, facts.distinct, facts.measures["numeric"]
+    if not filled:
+        return "string"
+    if numeric > 0.8 * filled:
+        return "integer" if facts.measures["integer"] == numeric else "number"
+    if 10 < unique < 0.9 * filled:
+        return "date" if facts.measures["date"] > 0.8 * filled else "string"
+    if unique <= 2 and facts.measures["boolean"] == filled:
+        return "boolean"
+    return "categorical" if unique <= 20 else "string"
+
+
+def _shapes(cell: Column, kind: str) -> dict[str, Column]:
+    """What a cell's text looks like; for numbers, dates and truth values this follows from the value."""
+    yes, no = F.lit(True), F.lit(False)
+    if kind in WHOLE:
+        compact = F.when(cell.between(10_000_101, 99_991_231), F.try_to_timestamp(cell.cast("string"), F.lit("yyyyMMdd")).isNotNull()).otherwise(no)
+        return {"numeric": yes, "integer": yes, "date": compact, "boolean": cell.isin(0, 1)}
+    if kind in ("float", "double"):
+        return {"numeric": ~F.isnan(cell) & (F.abs(cell) < float("inf")), "integer": cell % 1 == 0, "date": no, "boolean": no}
+    if kind == "boolean":
+        return {"numeric": no, "integer": no, "date": no, "boolean": yes}
+    if kind != "string":
+        return {"numeric": no, "integer": no, "date": yes, "boolean": no}
+    numeric = cell.rlike(NUMBER_TEXT)
+    return {
+        "numeric": numeric, "integer": F.when(numeric, cell.try_cast("double") % 1 == 0).otherwise(no),
+        "date": parse_date(cell).isNotNull(), "boolean": F.lower(cell).isin(BOOLEAN_WORDS),
+    }
+
+
+def profile(df: DataFrame, row_id: str | None = None, samples: int = 5, exact_up_to: int = EXACT) -> DataFrame:
     """One row per column: type, counts and shares; with ``row_id`` also the first values. [A12]
 
-    All columns share one pass: cells are counted per (column, value) with a map-side combine,
-    and the counts give every measure.
+    Distinct values beyond ``exact_up_to`` are estimates unless they lie near a limit of the kinds or of the governance rules,
+    so kinds and roles follow exact counts; ``unique_is_exact`` tells which.
     """
     columns = [c for c in df.columns if c != row_id]
-    value, n = F.col("value"), F.col("count")
-    numeric = value.rlike(NUMBER_TEXT)
-    whole = numeric & (value.try_cast("double") == F.floor(value.try_cast("double")))
-    day = parse_date(value).isNotNull()
-    facts = value_counts(df, columns).groupBy("column_name").agg(
-        F.sum("count").alias("filled"),
-        F.count("*").alias("unique_count"),
-        F.sum(F.when(numeric, n).otherwise(0)).alias("numeric_count"),
-        F.sum(F.when(whole, n).otherwise(0)).alias("integer_count"),
-        F.sum(F.when(day, n).otherwise(0)).alias("date_count"),
-        F.sum(F.when(F.lower(value).isin(BOOLEAN_WORDS), n).otherwise(0)).alias("boolean_count"),
+    facts = column_facts(df, columns, _shapes, limits=lambda f: (0.9 * f.filled, 0.95 * f.rows, 0.02 * f.rows), exact_up_to=exact_up_to)
+    rows = []
+    for i, c in enumerate(columns):
+        f = facts[c]
+        share = {n: round(f.measures[n] / f.filled, 6) if f.filled else 0.0 for n in ("numeric", "date")}
+        rows.append((i, c, _kind(f), f.rows, f.rows - f.filled, f.distinct, share["numeric"], share["date"], f.exact))
+    out = df.sparkSession.createDataFrame(
+        rows, "position int, column_name string, kind string, rows bigint, missing_count bigint, unique_count bigint, numeric_share double, date_share double, unique_is_exact boolean"
     )
-    names = df.agg(F.count("*").alias("rows")).select(
-        "rows", F.inline(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name")) for i, c in enumerate(columns)]))
-    )
-    filled = F.coalesce("filled", F.lit(0))
-    unique = F.coalesce("unique_count", F.lit(0))
-    kind = (
-        F.when(filled == 0, "string")
-        .when(F.col("numeric_count") > 0.8 * filled, F.when(F.col("integer_count") == F.col("numeric_count"), "integer").otherwise("number"))
-        .when((unique > 10) & (unique < 0.9 * filled), F.when(F.col("date_count") > 0.8 * filled, "date").otherwise("string"))
-        .when((unique <= 2) & (F.col("boolean_count") == filled), "boolean")
-        .when(unique <= 20, "categorical")
-        .otherwise("string")
-    )
-    out = names.join(facts, "column_name", "left").select(
-        "position", "column_name", kind.alias("kind"), "rows", (F.col("rows") - filled).alias("missing_count"), unique.alias("unique_count"),
-        F.round(F.coalesce(F.try_divide(F.col("numeric_count"), filled), F.lit(0.0)), 6).alias("numeric_share"),
-        F.round(F.coalesce(F.try_divide(F.col("date_count"), filled), F.lit(0.0)), 6).alias("date_share"),
-    )
-    if row_id is None:
-        return out
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
-    first = Window.partitionBy("column_name").orderBy(row_id)
-    # The rank filter is applied before the shuffle, so only a few cells per task and column move.
-    head = df.select(row_id, F.inline(cells)).where("value is not null").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= samples)
-    shown = head.groupBy("column_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "value"))), lambda x: x["value"]).alias("samples"))
-    return out.join(shown, "column_name", "left")
+    return out if row_id is None else out.join(_first_values(df, columns, row_id, samples), "column_name", "left")
+
+
+def _first_values(df: DataFrame, columns: Sequence[str], row_id: str, samples: int) -> DataFrame:
+    """(column_name, samples): each column's first values in row order, from the first rows where these hold enough."""
+    text = [F.col(f"`{c}`").cast("string").alias(c) for c in columns]
+    shown: dict[str, list[str]] = {c: [] for c in columns}
+    for r in df.orderBy(row_id).limit(HEAD_ROWS).select(*text).collect():
+        for c in columns:
+            if r[c] is not None and len(shown[c]) < samples:
+                shown[c].append(r[c])
+    sparse = [c for c in columns if len(shown[c]) < samples]
+    if sparse:
+        # The limit reaches every task: only a few cells per task and column move.
+        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in sparse])
+        first = F.row_number().over(Window.partitionBy("column_name").orderBy(row_id))
+        head = df.select(row_id, F.inline(cells)).where("value is not null").withColumn("_n", first).where(F.col("_n") <= samples)
+        for c in sparse:
+            shown[c] = []
+        for r in head.orderBy("column_name", "_n").collect():
+            shown[r["column_name"]].append(r["value"])
+    return df.sparkSession.createDataFrame([(c, v or None) for c, v in shown.items()], "column_name string, samples array<string>")
 
 
 def _first_role(name: str, kind: str) -> str:

@@ -39,7 +39,7 @@ UPLOADED = f"""{L.INVOICES}, u AS (SELECT row_id, row_id AS doc_id, cust_number,
 
 def column_profile(spark, root):
     out = profile.profile(_uploaded(spark, root), row_id="row_id")
-    return out.withColumn("samples", F.array_join("samples", "; "))
+    return out.withColumn("samples", F.array_join("samples", "; ")).drop("unique_is_exact")
 
 
 def _profile_sql() -> str:
