@@ -1,8 +1,7 @@
 """Demand series: lags, rolling statistics, running cash, size reduction and time splits.
 
-Series windows run over at most one row per series and calendar day: the inputs are keyed by
-(date, store, product) and repeated keys are removed first (``filters.demand_problems``), so
-even the busiest series is only as long as the calendar.
+The inputs are keyed by (date, store, product); repeated keys are removed first (``filters.demand_problems``) and refused
+here, so a series of days is only as long as the calendar. Longer series are cut into overlapping segments.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from duecast.functions.values import calendar_parts, order_key
 from duecast.operators.features import fill_demand_defaults
-from duecast.operators.skew import ROWS_PER_TASK, add_prior_sums
+from duecast.operators.skew import HALO, ROWS_PER_TASK, SEGMENT, add_prior_sums, split_hot, with_halo
 from duecast.session import materialize
 
 SERIES = ["store_id", "product_id"]
@@ -25,27 +24,52 @@ HASH_RANGE = 1 << 60
 ROWS_PER_BUCKET = 1_000_000
 
 
-def add_short_features(df: DataFrame, value: str = "units_sold") -> DataFrame:
+def _over_series(df: DataFrame, made, depth: int, rows_per_task: int | None) -> DataFrame:
+    """Columns that look back up to ``depth`` rows of a series; a repeated series and date ends the run with an error.
+
+    A series of days is as long as the calendar at most. Where the order is finer than days, long series are cut into segments
+    that carry the rows before them, so that none needs a task of its own.
+    """
+    if rows_per_task is None and dict(df.dtypes)["date"] == "date":
+        cold, hot = df, None
+    else:
+        cold, hot = split_hot(df, SERIES, rows_per_task or ROWS_PER_TASK)
+
+    def add(part: DataFrame, by: Sequence[str]) -> DataFrame:
+        series = Window.partitionBy(*by).orderBy("date")
+        repeated = F.lag("date").over(series) == F.col("date")
+        fault = F.raise_error(F.lit("A series holds two rows of one date; remove repeated keys first."))
+        columns = {n: F.when(repeated, fault).otherwise(c) if n == "lag_1" else c for n, c in made(series).items()}
+        return part.withColumns(columns)
+
+    plain = add(cold, SERIES)
+    if hot is None:
+        return plain
+    pieces = add(with_halo(hot, SERIES, "date", depth, rows_per_task or ROWS_PER_TASK), [*SERIES, SEGMENT])
+    return plain.unionByName(pieces.where(~F.col(HALO)).select(*plain.columns))
+
+
+def add_short_features(df: DataFrame, value: str = "units_sold", rows_per_task: int | None = None) -> DataFrame:
     """Weekday, month and the values 1, 7 and 14 rows back. [M9, W12]"""
-    series = Window.partitionBy(*SERIES).orderBy("date")
     parts = calendar_parts(F.col("date"))
-    return df.withColumns(
-        {"dow": parts["day_of_week"], "month": parts["month"], **{f"lag_{k}": F.lag(value, k).over(series) for k in SHORT_LAGS}}
-    )
+    dated = df.withColumns({"dow": parts["day_of_week"], "month": parts["month"]})
+    return _over_series(dated, lambda series: {f"lag_{k}": F.lag(value, k).over(series) for k in SHORT_LAGS}, max(SHORT_LAGS), rows_per_task)
 
 
-def add_long_features(df: DataFrame, value: str = "units_sold") -> DataFrame:
+def add_long_features(df: DataFrame, value: str = "units_sold", rows_per_task: int | None = None) -> DataFrame:
     """Calendar parts, lags up to 30, and mean and deviation of the previous 7, 14 and 30 rows. [M10, X9, X17, W12, W13]"""
-    d = fill_demand_defaults(df)
-    series = Window.partitionBy(*SERIES).orderBy("date")
     parts = calendar_parts(F.col("date"))
-    made = {n: parts[n] for n in ("day_of_week", "month", "day_of_year", "is_weekend")}
-    made.update({f"lag_{k}": F.lag(value, k).over(series) for k in LONG_LAGS})
-    for w in ROLLING:
-        frame = series.rowsBetween(-w, -1)
-        made[f"roll_mean_{w}"] = F.avg(value).over(frame)
-        made[f"roll_std_{w}"] = F.when(F.count(value).over(frame) >= 2, F.stddev_samp(value).over(frame))
-    return d.withColumns(made)
+    dated = fill_demand_defaults(df).withColumns({n: parts[n] for n in ("day_of_week", "month", "day_of_year", "is_weekend")})
+
+    def made(series: Window) -> dict[str, Column]:
+        out = {f"lag_{k}": F.lag(value, k).over(series) for k in LONG_LAGS}
+        for w in ROLLING:
+            frame = series.rowsBetween(-w, -1)
+            out[f"roll_mean_{w}"] = F.avg(value).over(frame)
+            out[f"roll_std_{w}"] = F.when(F.count(value).over(frame) >= 2, F.stddev_samp(value).over(frame))
+        return out
+
+    return _over_series(dated, made, max(*LONG_LAGS, *ROLLING), rows_per_task)
 
 
 def assess_cash(df: DataFrame, entity: str, period: str, opening_cash: float | None, minimum_cash: float = 0.0) -> DataFrame:

@@ -12,6 +12,8 @@ from duecast.operators.combine import plain_name
 from duecast.operators.quality import _issue_rows, missing_cells, with_repeats
 from duecast.operators.quantiles import exact_quantiles, modes, value_counts
 from duecast.operators.sketches import EXACT, WHOLE, Facts, column_facts
+from duecast.operators.skew import ROWS_PER_TASK, fill_known
+from duecast.session import materialize
 
 BOOLEAN_WORDS = ["true", "false", "yes", "no", "1", "0"]
 
@@ -415,46 +417,15 @@ def _fill_values(df: DataFrame, numeric: Sequence[str], other: Sequence[str]) ->
     return values
 
 
-def fill_dates(df: DataFrame, columns: Sequence[str], row_id: str, block_rows: int = 1_000_000) -> DataFrame:
-    """Missing dates take the previous row's, and at the start the next row's. [Q11]
-
-    ``row_id`` is a unique whole number. Rows are filled within blocks of ``block_rows``
-    numbers, and the value at a block's edge comes from a table with one row per block.
-    """
-    block = F.floor(F.col(row_id) / block_rows)
-    blocked = df.withColumn("_block", block)
-    # A frame that reaches forward to the end is evaluated anew for every row; the reversed order is not.
-    back, on = (Window.partitionBy("_block").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(row_id), F.desc(row_id)))
-    edges = blocked.groupBy("_block").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(row_id))).alias(f"_last_{c}") for c in columns],
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(row_id))).alias(f"_first_{c}") for c in columns],
-    )
-    # One row per block.
-    before, after = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_block"), F.desc("_block")))
-    edges = edges.select(
-        F.col("_block").alias("_edge"),
-        *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_prev_{c}") for c in columns],
-        *[F.last(f"_first_{c}", ignorenulls=True).over(after).alias(f"_next_{c}") for c in columns],
-    )
-    filled = blocked.withColumns(
-        {
-            **{f"_b_{c}": F.last(c, ignorenulls=True).over(back) for c in columns},
-            **{f"_f_{c}": F.last(c, ignorenulls=True).over(on) for c in columns},
-        }
-    ).join(edges, F.col("_block") == F.col("_edge"), "left")
-    return filled.withColumns(
-        {c: F.coalesce(f"_b_{c}", f"_prev_{c}", f"_f_{c}", f"_next_{c}") for c in columns}
-    ).select(*df.columns)
-
-
-def auto_clean(df: DataFrame, roles_table: DataFrame, row_id: str) -> tuple[DataFrame, DataFrame]:
+def auto_clean(df: DataFrame, roles_table: DataFrame, row_id: str, rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
     """Repeated rows removed, gaps filled, outliers of features capped, types set; the target is left as it is. [Q11]
 
-    ``row_id`` is carried along; rows are repeated when all other cells agree.
+    ``row_id`` orders the rows, tells them apart, and is carried along; rows are repeated when all other cells agree. The
+    de-duplicated table is written once; everything after reads that.
     """
     info = {r["column_name"]: r for r in roles_table.collect()}  # one row per column
     columns = [c for c in df.columns if c != row_id]
-    unique = df.groupBy(*columns).agg(F.min(row_id).alias(row_id)).select(*df.columns)
+    unique = df.groupBy(*columns).agg(F.min(row_id).alias(row_id), F.count("*").alias("_copies"))
     open_columns = [c for c in columns if c in info and info[c]["role"] != "target"]
     numeric = [c for c in open_columns if info[c]["kind"] in ("integer", "number")]
     dates = [c for c in open_columns if info[c]["kind"] == "date"]
@@ -462,28 +433,29 @@ def auto_clean(df: DataFrame, roles_table: DataFrame, row_id: str) -> tuple[Data
     typed = unique.withColumns({c: as_double(unique, c) for c in numeric}).withColumns(
         {c: F.col(c) if dict(df.dtypes)[c] in ("date", "timestamp", "timestamp_ntz") else parse_date(F.col(c).cast("string")) for c in dates}
     )
+    copies = materialize(typed, "unique-rows")
+    typed = copies.select(*df.columns)
     values = _fill_values(typed, numeric, other)
     kinds = dict(typed.dtypes)
     filled = typed.withColumns(
         {c: F.coalesce(F.col(c), F.lit(values[c]).cast(kinds[c])) for c in [*numeric, *other] if c in values}
     )
-    if dates:
-        filled = fill_dates(filled, dates, row_id)
     capped = [c for c in numeric if info[c]["role"] == "feature"]
     quartiles = exact_quantiles(filled, {c: F.col(c) for c in capped}, [0.25, 0.75]) if capped else {}
     bounds = {c: (a - 1.5 * (b - a), b + 1.5 * (b - a)) for c, (a, b) in quartiles.items() if a is not None}
+    gaps = sum((F.count_if(F.col(c).isNull()) for c in open_columns), F.lit(0))
+    outliers = sum((F.count_if((values_of < lo) | (values_of > hi)) for values_of, lo, hi in ((F.coalesce(F.col(c), F.lit(values.get(c))), *b) for c, b in bounds.items())), F.lit(0))
+    report = copies.agg(
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("original_rows"), F.count("*").alias("final_rows"), gaps.alias("missing_values_filled"),
+        outliers.alias("outliers_handled"), F.lit(len(numeric)).alias("type_conversions"),
+    ).withColumn("duplicates_removed", F.col("original_rows") - F.col("final_rows"))
+    if dates:
+        filled = fill_known(filled, dates, [row_id], rows_per_task)
     clipped = {c: F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)) for c, (lo, hi) in bounds.items()}
     # A whole-number column stays whole unless a fill value or bound brings in fractions.
     used = {c: [*bounds.get(c, ()), *([values[c]] if c in values else [])] for c in numeric}
     whole = [c for c in numeric if info[c]["kind"] == "integer" and all(float(v).is_integer() for v in used[c])]
-    cleaned = filled.withColumns(clipped).withColumns({c: F.col(c).cast("bigint") for c in whole})
-    outliers = sum((F.count_if((F.col(c) < lo) | (F.col(c) > hi)) for c, (lo, hi) in bounds.items()), F.lit(0))
-    gaps = sum((F.count_if(F.col(c).isNull()) for c in open_columns), F.lit(0))
-    report = df.agg(F.count("*").alias("original_rows")).select(
-        "original_rows", typed.agg(F.count("*")).scalar().alias("final_rows"), typed.agg(gaps).scalar().alias("missing_values_filled"),
-        filled.agg(outliers).scalar().alias("outliers_handled"), F.lit(len(numeric)).alias("type_conversions"),
-    ).withColumn("duplicates_removed", F.col("original_rows") - F.col("final_rows"))
-    return cleaned, report
+    return filled.withColumns(clipped).withColumns({c: F.col(c).cast("bigint") for c in whole}), report
 
 
 def preprocess(df: DataFrame, roles_table: DataFrame, max_levels: int = 10) -> DataFrame:

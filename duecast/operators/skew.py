@@ -93,3 +93,76 @@ def add_prior_sums(
     joined = local(pieces, [*keys, SEGMENT]).join(F.broadcast(carry), same, "left")
     merged = joined.withColumns({n: F.col(n) + F.col(f"_carry_{n}") for n in sums})
     return result.unionByName(merged.select(*result.columns))
+
+
+HALO = "_halo"
+
+
+def with_halo(df: DataFrame, keys: Sequence[str], order: str, depth: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Rows in segments of (keys, order), each with copies of the ``depth`` rows before it; copies carry ``_halo``.
+
+    A window over (keys, segment) that reaches back ``depth`` rows then sees the same rows as one over the keys. ``order``
+    tells the rows of a key apart. What is copied is found from the row counts per key and segment.
+    """
+    pieces = segment(df, keys, [F.col(order)], rows_per_task)
+    counts = materialize(pieces.groupBy(*keys, SEGMENT).agg(F.count("*").alias("_n")), "segment-counts")
+    up_to = Window.partitionBy(*keys).orderBy(SEGMENT)
+    running = counts.withColumn("_through", F.sum("_n").over(up_to.rowsBetween(Window.unboundedPreceding, 0)))
+    # Each earlier segment of a key holds at least one row, so the last ``depth`` segments are enough.
+    earlier = F.collect_list(F.struct(F.col(SEGMENT).alias("source"), F.col("_through").alias("through"))).over(up_to.rowsBetween(-depth, -1))
+    wanted = running.withColumn("_from", F.filter(earlier, lambda e: F.col("_through") - F.col("_n") - e["through"] < depth))
+    wanted = wanted.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col(SEGMENT).alias("_target"), F.explode("_from.source").alias("_source"))
+    last = Window.partitionBy(*keys, SEGMENT).orderBy(F.desc(order))
+    tails = pieces.withColumn("_place", F.row_number().over(last)).where(F.col("_place") <= depth).drop("_place")
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys] + [F.col(SEGMENT) == F.col("_source")]
+    copied = tails.join(wanted, same).withColumn(SEGMENT, F.col("_target")).select(*pieces.columns)
+    return pieces.withColumn(HALO, F.lit(False)).unionByName(copied.withColumn(HALO, F.lit(True)))
+
+
+#: Segments whose carries are found in one window; more are grouped, level by level.
+SEGMENTS_PER_BLOCK = 4096
+
+
+def carry_known(edges: DataFrame, names: Sequence[str], count: int, per_block: int = SEGMENTS_PER_BLOCK) -> DataFrame:
+    """(segment, names): per segment the last known value of all earlier ones; ``edges`` holds each segment's own last one.
+
+    A prefix over blocks of segments: windows inside blocks, the same again over the blocks' own last values, and one join
+    per level. No task sees more than ``per_block`` segments.
+    """
+    block = F.floor(F.col(SEGMENT) / per_block).cast("int")
+    earlier = Window.partitionBy("_block").orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    inside = edges.withColumn("_block", block).withColumns({f"_in_{n}": F.last(n, ignorenulls=True).over(earlier) for n in names})
+    if count <= per_block:
+        return inside.select(SEGMENT, *[F.col(f"_in_{n}").alias(n) for n in names])
+    whole = edges.groupBy(block.alias("_of")).agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col(SEGMENT))).alias(n) for n in names])
+    above = carry_known(whole.withColumnRenamed("_of", SEGMENT), names, math.ceil(count / per_block), per_block)
+    above = above.select(F.col(SEGMENT).alias("_of"), *[F.col(n).alias(f"_up_{n}") for n in names])
+    joined = inside.join(above, F.col("_block") == F.col("_of"), "left")
+    return joined.select(SEGMENT, *[F.coalesce(f"_in_{n}", f"_up_{n}").alias(n) for n in names])
+
+
+def fill_known(df: DataFrame, columns: Sequence[str], order: Sequence[str], rows_per_task: int = ROWS_PER_TASK, per_block: int = SEGMENTS_PER_BLOCK) -> DataFrame:
+    """Missing cells take the last value before them in ``order``, those before the first value take that one.
+
+    ``order`` is any list of columns that tells all rows apart. Rows are cut into ranges of it; each range fills itself, and
+    its first rows take what earlier ranges carry over. A column without any value stays as it is.
+    """
+    pieces = segment(df, [], [F.col(c) for c in order], rows_per_task)
+    place = [F.col(c) for c in order]
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(*place, F.col(c).alias("_value"))) for c in columns}
+    edges = materialize(
+        pieces.groupBy(SEGMENT).agg(*[F.max(k).alias(f"last_{i}") for i, k in enumerate(known.values())], *[F.min(k).alias(f"first_{i}") for i, k in enumerate(known.values())]), "edges"
+    )
+    facts = edges.agg(F.max(SEGMENT).alias("top"), *[F.min(f"first_{i}").alias(f"first_{i}") for i in range(len(columns))]).first()
+    if facts["top"] is None:
+        return df
+    names = [f"last_{i}" for i in range(len(columns))]
+    carry = carry_known(edges.select(SEGMENT, *[F.col(n)["_value"].alias(n) for n in names]), names, facts["top"] + 1, per_block)
+    carry = carry.withColumnRenamed(SEGMENT, "_segment_of_carry")
+    before_here = Window.partitionBy(SEGMENT).orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
+    own = pieces.withColumns({f"_own_{i}": F.last(c, ignorenulls=True).over(before_here) for i, c in enumerate(columns)})
+    # The windows have dealt the rows by segment, so the join moves the carries only.
+    joined = own.join(F.broadcast(carry) if facts["top"] < per_block else carry, F.col(SEGMENT) == F.col("_segment_of_carry"), "left")
+    kinds = dict(df.dtypes)
+    first = [F.lit(None if facts[f"first_{i}"] is None else facts[f"first_{i}"]["_value"]).cast(kinds[c]) for i, c in enumerate(columns)]
+    return joined.withColumns({c: F.coalesce(f"_own_{i}", f"last_{i}", first[i]) for i, c in enumerate(columns)}).select(*df.columns)

@@ -51,6 +51,28 @@ def _series(spark, days=30, product="P"):
     )
 
 
+@pytest.mark.parametrize("rows", [3, 11, 40])
+def test_long_series_in_overlapping_segments(spark, rows):
+    """Segments far shorter than the reach of the features, and series that start inside a segment."""
+    parts = [_series(spark, n, p) for n, p in ((100, "a"), (7, "b"), (45, "c"))]
+    df = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("units_sold", F.col("units_sold") * F.col("units_sold") % 37)
+    df = df.withColumn("date", F.col("date").cast("timestamp"))
+    key = lambda frame: sorted(map(tuple, frame.collect()), key=str)
+    for add in (demand.add_short_features, demand.add_long_features):
+        plain, cut = add(df), add(df, rows_per_task=rows)
+        assert plain.columns == cut.columns
+        for a, b in zip(key(plain), key(cut), strict=True):
+            assert [x for x in a if not isinstance(x, float)] == [x for x in b if not isinstance(x, float)]
+            assert [x for x in a if isinstance(x, float)] == pytest.approx([x for x in b if isinstance(x, float)])
+
+
+def test_repeated_dates_of_a_series_are_refused(spark):
+    df = _series(spark, 5)
+    for frame in (df, df.withColumn("date", F.col("date").cast("timestamp"))):
+        with pytest.raises(Exception, match="two rows of one date"):
+            demand.add_short_features(frame.unionByName(frame.limit(1))).collect()
+
+
 def test_projection_of_a_model_equals_the_fold(spark):
     """A pipeline fitted on lag_1 alone and the same weights in the fold agree over more than one checkpoint."""
     history = _series(spark).unionByName(_series(spark, 9, "short"))

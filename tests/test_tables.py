@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from duecast.operators import combine, filters, profile, quality
+from duecast.operators import combine, filters, profile, quality, skew
 from duecast.operators.features import CREDIT_FEATURES, add_money_fields, choose_target
 from duecast.sources import files, workspace
 
@@ -95,10 +95,34 @@ def test_search_is_a_regex_and_skips_missing_cells(spark):
     assert filters.search(df, "1|ANN").count() == 1
 
 
-def test_fill_dates_across_blocks(spark):
-    df = spark.range(40).withColumn("d", F.when(F.col("id").isin(7, 25), F.date_add(F.lit("2026-01-01").cast("date"), F.col("id").cast("int"))))
-    out = {r.id: r.d.day for r in profile.fill_dates(df, ["d"], "id", block_rows=5).collect()}
-    assert out[0] == 8 and out[24] == 8 and out[25] == 26 and out[39] == 26
+@pytest.mark.parametrize(("rows", "per_block"), [(10**9, 4096), (7, 3), (3, 2)])
+def test_gaps_are_filled_over_segments(spark, rows, per_block):
+    """Any order column, here a hash: rows take the last known value before them, the first ones the first known."""
+    known = {5, 6, 41, 43, 77}
+    source = spark.range(120).select(
+        F.col("id"), F.xxhash64("id").alias("key"), F.when(F.col("id").isin(*known), F.col("id")).alias("a"),
+        F.when(F.col("id") % 9 == 4, F.concat(F.lit("v"), F.col("id"))).alias("b"), F.lit(None).cast("date").alias("none"),
+    )
+    ordered = sorted(source.collect(), key=lambda r: r.key)
+    got = {r.key: r for r in skew.fill_known(source.repartition(5), ["a", "b", "none"], ["key"], rows, per_block).collect()}
+    assert len(got) == 120
+    for name in ("a", "b", "none"):
+        values = [r[name] for r in ordered]
+        last = next((v for v in values if v is not None), None)
+        for r, v in zip(ordered, values, strict=True):
+            last = last if v is None else v
+            assert got[r.key][name] == last
+    assert skew.fill_known(source.limit(0), ["a"], ["key"]).count() == 0
+
+
+def test_no_window_without_partition_when_cleaning(spark):
+    df = spark.range(40).select(F.xxhash64("id").alias("row_id"), F.when(F.col("id") % 3 == 0, F.lit("2024-01-05")).alias("day"), (F.col("id") % 7).alias("n"))
+    roles = spark.createDataFrame([("day", "date", "feature"), ("n", "integer", "feature")], "column_name string, kind string, role string")
+    cleaned, report = profile.auto_clean(df, roles, "row_id", rows_per_task=5)
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Window" in plan
+    found = report.first()
+    assert cleaned.where("day is null").isEmpty() and cleaned.count() == found["final_rows"] and found["original_rows"] == 40
 
 
 def test_delimited_text(spark, tmp_path):
