@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duecast.functions.values import as_double, mode_label
-from duecast.operators.demand import SERIES
+from duecast.operators.compiled import CompiledModel
+from duecast.operators.demand import SERIES, add_short_features
 from duecast.operators.metrics import horizon_edges, horizon_totals
 from duecast.session import checkpointed
 
@@ -93,16 +94,29 @@ def project_linear(
 
 
 def project_model(
-    history: DataFrame, model, horizon: int = 30, value: str = "units_sold", deviation: float = 0.0, nonnegative: bool = True,
-    frozen: Sequence[str] = (), keys: Sequence[str] = SERIES,
+    history: DataFrame, model, horizon: int = 30, value: str = "units_sold", deviation: float | None = None, nonnegative: bool = True,
+    frozen: Sequence[str] = (), keys: Sequence[str] = SERIES, compiled: bool = True,
 ) -> DataFrame:
-    """Recursive projection with any fitted Spark ML pipeline, one ``transform`` per step. [M21]
+    """Recursive projection with a fitted Spark ML pipeline. [M21]
 
-    Every step scores all series. The plan is cut with a reliable checkpoint every few steps.
+    Linear models and tree ensembles become one expression, and the steps a fold over each series' values: no shuffle or
+    checkpoint between them. Other pipelines, or all with ``compiled`` off, score all series once per step, and the plan is cut
+    with a reliable checkpoint every few steps. Without a ``deviation`` the interval is that of the model's residuals on the history.
     """
     _check_horizon(horizon)
+    spread = residual_spread(history, model, value) if deviation is None else deviation
     state = latest_state(history, value, frozen, keys)
     columns = state.columns
+    if compiled and CompiledModel.fits(model):
+        expression = CompiledModel(model, history.sparkSession)
+
+        def step(values: Column, number: Column) -> Column:
+            day = F.date_add(F.col("_last_date"), number.cast("int"))
+            forecast = expression.column({"dow": F.weekday(day), "month": F.month(day), **{f"lag_{k}": _lag(values, k) for k in LAGS}})
+            return F.array_append(values, F.greatest(forecast, F.lit(0.0)) if nonnegative else forecast)
+
+        folded = expression.with_slots(state).withColumn("_values", F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("_values"), step))
+        return _emit(folded.select(*columns), horizon, spread, value, keys, frozen)
     for number in range(1, horizon + 1):
         day = F.date_add("_last_date", number)
         inputs = {"dow": F.weekday(day), "month": F.month(day), **{f"lag_{k}": _lag(F.col("_values"), k) for k in LAGS}}
@@ -111,7 +125,14 @@ def project_model(
         state = scored.withColumn("_values", F.array_append("_values", forecast)).select(*columns)
         if number % STEPS_PER_CHECKPOINT == 0 and number < horizon:
             state = checkpointed(state)
-    return _emit(state, horizon, deviation, value, keys, frozen)
+    return _emit(state, horizon, spread, value, keys, frozen)
+
+
+def residual_spread(history: DataFrame, model, value: str = "units_sold") -> float:
+    """Sample deviation of actual minus predicted values over the rows of the history that have all lags; 0 for fewer than two. [M21, A22]"""
+    featured = add_short_features(history, value).where(F.col(value).isNotNull() & F.col(f"lag_{max(LAGS)}").isNotNull())
+    found = model.transform(featured).agg(F.stddev_samp(F.col(value) - F.col("prediction"))).first()[0]
+    return float(found or 0.0)
 
 
 # Alert texts.
@@ -160,12 +181,13 @@ def forecast_alerts(frame: DataFrame, target: str | None = None) -> DataFrame:
     if rows:
         found = frame.select(F.inline(F.array_compact(F.array(*rows))))
     if "is_future" in columns:
-        edges = horizon_edges(horizon_totals(frame.where("is_future")))
+        future = frame.where("is_future")
+        edges = horizon_edges(horizon_totals(future)).withColumn("rows", future.agg(F.count("*")).scalar())
         reason = F.concat(F.lit("Projected "), mode_label(F.lit(target)), F.lit(" " + ALERTS["Projected decline"][1]))
         falling = (F.col("periods") >= 1) & (F.col("first_value") > 0) & (F.col("last_value") < F.col("first_value") * 0.9)
         late = [F.when(falling, _alert("Projected decline", F.col("last_date").cast("string"), reason))]
         if target == "net_cashflow":
-            late.append(F.when((F.col("periods") > 1) & (F.col("lowest_value") < 0), _alert("Negative net cashflow", F.col("lowest_date").cast("string"))))
+            late.append(F.when((F.col("rows") > 1) & (F.col("lowest_value") < 0), _alert("Negative net cashflow", F.col("lowest_date").cast("string"))))
         ahead = edges.select(F.inline(F.array_compact(F.array(*late))))
         found = ahead if found is None else found.unionByName(ahead)
     if found is None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from duecast.functions.values import TIER_BOUNDS, display_number, factor_label, lookup, tier
 from duecast.operators.history import HISTORY_FEATURES
+from duecast.operators.metrics import risk_kpi
 from duecast.operators.profile import check_for_model, model_input, raw_features
 from duecast.operators.serving import RECORD_TYPE, prepare_assessment
 
@@ -72,6 +73,32 @@ def key_risk_factors(
     )
 
 
+def drivers_in_row(
+    df: DataFrame, output: Callable[[Mapping[str, Column]], Column], baselines: Mapping[str, float | str], top_k: int = 3, min_impact: float = MIN_IMPACT, name: str = "drivers",
+) -> DataFrame:
+    """``key_risk_factors`` inside each row: ``output`` gives the score where some inputs are the given expressions. [T4]
+
+    No row is copied and nothing is shuffled; a compiled model's ``column`` is such an output.
+    """
+    kinds, entries = dict(df.dtypes), []
+    base = output({})
+    for position, (feature, usual) in enumerate(baselines.items()):
+        impact = F.abs(F.col("_base") - output({feature: F.lit(usual).cast(kinds[feature])}))
+        entries.append(F.struct(
+            (-impact).alias("order"), F.lit(position).alias("position"), F.lit(feature).alias("feature"), F.col(f"`{feature}`").cast("string").alias("value"), impact.alias("impact"),
+        ))
+    strong = F.filter(F.col("_effects"), lambda e: e["impact"] >= min_impact)
+    shown = F.transform(F.slice(F.array_sort(strong), 1, top_k), lambda e: F.struct(e["feature"].alias("feature"), e["value"].alias("value"), e["impact"].alias("impact")))
+    return df.withColumn("_base", base).withColumn("_effects", F.array(*entries)).withColumn(name, shown).drop("_base", "_effects")
+
+
+def scoring_report(df: DataFrame, output: Callable[[Mapping[str, Column]], Column], baselines: Mapping[str, float | str], bounds: tuple[float, float] = TIER_BOUNDS["scoring"], top_k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(rows with score, tier, drivers as text and actions; the KPI row) of one scoring run. [M18, T4, A7, M25]"""
+    rows = tier_actions(score_rows(drivers_in_row(df, output, baselines, top_k), output({}), bounds))
+    rows = rows.withColumn("key_drivers", describe_drivers(F.col("drivers")))
+    return rows, risk_kpi(rows)
+
+
 def describe_drivers(drivers: Column) -> Column:
     """Drivers as numbered lines with readable names. [T4, X20]"""
     def line(entry: Column, position: Column) -> Column:

@@ -287,10 +287,17 @@ def _card(df):
     return df.withColumn("probability", F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
 
 
+def _card_output(values):
+    total = F.lit(0.4)
+    for name, weight in CARD.items():
+        total = total + weight * F.coalesce(values.get(name, F.col(name)).cast("double"), F.lit(0.0))
+    return F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
+
+
 def drivers(spark, root):
     """Top drivers per customer, one row each."""
     df = lenses.credit(spark, root).select("client_id", *CARD)
-    found = scoring.key_risk_factors(df, "client_id", _card, BASELINES)
+    found = scoring.drivers_in_row(df, _card_output, BASELINES)
     return found.select("client_id", F.posexplode("drivers").alias("rank", "d")).select(
         "client_id", "rank", F.col("d.feature").alias("feature"), F.col("d.value").alias("value"), F.round("d.impact", 6).alias("impact")
     )
@@ -354,6 +361,23 @@ PAYMENTS_SQL = f"""WITH {L.CREDIT}, p AS (SELECT client_id, {_card_sql()} AS p F
          ELSE 'Request manual credit review. Reduce exposure and tighten payment terms. Increase collection monitoring.' END AS actions FROM p"""
 
 
+def payment_report(spark, root):
+    """One scoring run: every customer's score, tier, drivers as text and actions, beside the run's key figures."""
+    rows, kpi = scoring.scoring_report(lenses.credit(spark, root).select("client_id", *CARD), _card_output, BASELINES)
+    figures = {n: kpi.select(n).scalar() for n in ("total_records", "high_risk", "medium_risk", "low_risk")}
+    return rows.select("client_id", F.round("risk_score", 6).alias("risk_score"), "risk_tier", "key_drivers", F.array_join("recommended_actions", " ").alias("actions"), *[v.alias(n) for n, v in figures.items()])
+
+
+PAYMENT_REPORT_SQL = f"""WITH {L.CREDIT}, e AS (
+    SELECT client_id, unnest([{', '.join(f"{{'i': {i}, 'label': '{c.replace('_', ' ').title()}', 'value': CAST({c} AS DOUBLE), 'impact': abs({_card_sql()} - {_card_sql(c)})}}" for i, c in enumerate(CARD))}], recursive := true) FROM credit),
+  r AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY impact DESC, i) AS n FROM e WHERE impact >= 0.0005::DOUBLE),
+  d AS (SELECT client_id, string_agg(n || '. ' || label || ': ' || coalesce(printf('%.2f', value), 'Not available') || ' | Influence: ' || printf('%.1f', impact * 100) || '%', chr(10) ORDER BY n) AS lines FROM r WHERE n <= 3 GROUP BY 1),
+  s AS ({PAYMENTS_SQL}), k AS (SELECT count(*) AS total_records, count(*) FILTER (risk_tier = 'HIGH_RISK') AS high_risk, count(*) FILTER (risk_tier = 'MEDIUM_RISK') AS medium_risk,
+    count(*) FILTER (risk_tier = 'LOW_RISK') AS low_risk FROM s)
+  SELECT s.client_id, risk_score, risk_tier, coalesce(lines, 'No strong individual driver identified. The score results from several weak combined factors.') AS key_drivers, actions, k.*
+  FROM s LEFT JOIN d USING (client_id), k"""
+
+
 def assessed_uploads(spark, root):
     """Open invoices scored by a card over their history features; the upload marks its records."""
     wanted = ["previous_late_ratio", "recent_5_late_ratio", "business_code_5-LOW"]
@@ -654,16 +678,16 @@ PREPARED_SQL = f"""WITH {L.INVOICES}, d AS (SELECT row_id, CASE WHEN row_id % 10
 
 
 def stepwise_projection(spark, root):
-    """Demand projected twelve days ahead with a fitted ridge model, one scoring pass per day."""
+    """Demand projected twelve days ahead with a fitted ridge model, all days in one fold; the interval is that of its residuals."""
     df = lenses.demand(spark, root)
     result = learn.train_demand_models(df, ["Ridge"], numeric=("inventory_level", "price"))
     out = projection.project_model(df, result.models["Ridge"], horizon=12, frozen=("inventory_level", "price"))
-    sound = F.coalesce(F.abs("forecast_value") < float("inf"), F.lit(False)) & (F.col("forecast_lower") <= F.col("forecast_upper"))
-    return out.select("date", "store_id", "product_id", "inventory_level", "price", sound.alias("sound"))
+    sound = F.coalesce(F.abs("forecast_value") < float("inf"), F.lit(False)) & (F.col("forecast_lower") < F.col("forecast_upper"))
+    return out.select("date", "store_id", "product_id", "inventory_level", F.round("price", 4).alias("price"), sound.alias("sound"))
 
 
 STEPWISE_SQL = f"""WITH {L.DEMAND}, m AS (SELECT store_id, product_id, max(date) AS last, arg_max(inventory_level, date) AS inventory_level, arg_max(price, date) AS price FROM demand GROUP BY 1, 2)
-  SELECT CAST(last + CAST(k AS INTEGER) AS DATE) AS date, store_id, product_id, inventory_level, price, true AS sound FROM m, range(1, 13) AS r(k)"""
+  SELECT CAST(last + CAST(k AS INTEGER) AS DATE) AS date, store_id, product_id, inventory_level, round(price, 4) AS price, true AS sound FROM m, range(1, 13) AS r(k)"""
 
 
 def augmentation_comparison(spark, root):
@@ -823,6 +847,7 @@ QUERIES = {
     "score_unusual_indicators": indicators,
     "score_reason_codes": reasons,
     "score_payments": scored_payments,
+    "score_payment_report": payment_report,
     "score_assessed_uploads": assessed_uploads,
     "score_company_policy": policy,
     "score_decision": decision,
@@ -873,6 +898,7 @@ SQL = {
     "score_unusual_indicators": INDICATORS_SQL,
     "score_reason_codes": REASONS_SQL,
     "score_payments": PAYMENTS_SQL,
+    "score_payment_report": PAYMENT_REPORT_SQL,
     "score_assessed_uploads": ASSESSED_SQL,
     "score_company_policy": POLICY_SQL,
     "score_decision": DECISION_SQL,

@@ -228,6 +228,22 @@ ALERTS_SQL = f"""WITH f AS ({_flag_sql(2)})
   UNION ALL SELECT 'CRITICAL', 'Negative net cashflow', '2002-01-06', 'At least one projected period has negative net cashflow.', 'OPEN' FROM lineitem HAVING sum(l_quantity) > 0"""
 
 
+def one_day_alerts(spark, root):
+    """A horizon of one day with a row per store, whose total is negative: two rows are enough for the cash alert."""
+    stores = lenses.demand(spark, root).groupBy("store_id").agg(F.sum("units_sold").alias("units"), F.max("date").alias("last"))
+    ahead = stores.select(
+        F.date_add("last", 1).alias("date"), F.when(F.col("store_id") == "ASIA", -5 * F.col("units")).otherwise(F.col("units")).alias("forecast_value"), F.lit(True).alias("is_future")
+    )
+    newest = ahead.agg(F.max("date")).scalar()
+    return projection.forecast_alerts(ahead.withColumn("date", newest), "net_cashflow").select("severity", "type", "period", "reason", "status")
+
+
+ONE_DAY_ALERTS_SQL = f"""WITH {L.DEMAND}, s AS (SELECT store_id, sum(units_sold) AS units, max(date) AS last FROM demand GROUP BY 1),
+  t AS (SELECT max(last) + 1 AS day, count(*) AS n, sum(CASE WHEN store_id = 'ASIA' THEN -5 * units ELSE units END) AS total FROM s)
+  SELECT 'CRITICAL' AS severity, 'Negative net cashflow' AS type, CAST(CAST(day AS DATE) AS VARCHAR) AS period, 'At least one projected period has negative net cashflow.' AS reason, 'OPEN' AS status
+  FROM t WHERE n > 1 AND total < 0"""
+
+
 def cash_alerts(spark, root):
     df = demand.assess_cash(_cash_forecast(spark, root), "entity", "period", opening_cash=100.0, minimum_cash=20.0)
     named = df.withColumn("row", F.concat_ws("/", F.col("entity").cast("string"), F.col("period").cast("string")))
@@ -276,6 +292,7 @@ QUERIES = {
     "forecast_flags": flagged_forecast,
     "forecast_flags_single_cover": lambda s, r: flagged_forecast(s, r, cover=1.0),
     "forecast_alerts": alerts,
+    "forecast_alerts_one_day": one_day_alerts,
     "forecast_row_alerts": cash_alerts,
     "forecast_observations": lambda s, r: metrics.observation_summary(flagged_forecast(s, r)),
     "forecast_decision": forecast_status,
@@ -299,6 +316,7 @@ SQL = {
     "forecast_flags": _flag_sql(2),
     "forecast_flags_single_cover": _flag_sql(1),
     "forecast_alerts": ALERTS_SQL,
+    "forecast_alerts_one_day": ONE_DAY_ALERTS_SQL,
     "forecast_row_alerts": CASH_ALERTS_SQL,
     "forecast_observations": f"""SELECT count(*) AS total, count(*) FILTER (is_anomaly) AS anomalies, count(*) FILTER (stockout_risk) AS stockout_risks,
       format('{{:,}}', count(*)) || ' forecast observations analyzed' AS headline FROM ({_flag_sql(2)})""",

@@ -5,10 +5,10 @@ import math
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from duecast.operators import combine, demand, learn, metrics, projection, quantiles, scoring, selection
+from duecast.operators import combine, compiled, demand, learn, metrics, projection, quantiles, scoring, selection
 from duecast.plans import modelling
 from duecast.sources import lenses
 
@@ -81,13 +81,66 @@ def test_projection_of_a_model_equals_the_fold(spark):
     fitted = model.stages[-1]
     weights = {"intercept": fitted.intercept, "lag_1": fitted.coefficients[0], "dow": fitted.coefficients[1]}
     order = ["product_id", "date"]
-    stepwise = projection.project_model(history, model, horizon=23).orderBy(*order).collect()
+    stepwise, compiled = (projection.project_model(history, model, horizon=23, compiled=c) for c in (False, True))
+    assert "Exchange" not in projection.project_model(history.limit(0), model, horizon=9).select("forecast_value")._jdf.queryExecution().optimizedPlan().toString()
+    spread = projection.residual_spread(history, model)
+    stepwise, compiled = (d.orderBy(*order).collect() for d in (stepwise, compiled))
+    assert [r.forecast_value for r in compiled] == pytest.approx([r.forecast_value for r in stepwise])
+    assert all(r.forecast_upper - r.forecast_value == pytest.approx(1.96 * spread) for r in compiled)
     folded = projection.project_linear(history, weights, horizon=23).orderBy(*order).collect()
     assert len(stepwise) == 46
     assert [r.forecast_value for r in stepwise] == pytest.approx([r.forecast_value for r in folded])
     assert [r.date for r in stepwise] == [r.date for r in folded]
 
 
+@pytest.fixture(scope="module")
+def labelled(spark):
+    key = F.col("id")
+    return spark.range(600).select(
+        key.cast("string").alias("key"), F.when(key % 11 > 0, (key * 37 % 101).cast("double")).alias("a"), (key * 13 % 29).cast("double").alias("b"), F.when(key % 7 > 0, F.concat(F.lit("l"), key % 9)).alias("c"),
+        (key % 4).cast("string").alias("d"), ((key * 37 % 101 + key * 13 % 29 + key % 9 * 5) > 75).cast("double").alias("y"), (key * 37 % 101 * 0.5 + key % 9 * 3 + key * 13 % 29).alias("amount"),
+    )
+
+
+@pytest.mark.parametrize("name", ["Logistic Regression", "Random Forest", "Gradient Boosting", "Ridge", "Forest of amounts", "Boosted amounts"])
+def test_compiled_models_equal_their_pipelines(spark, labelled, name):
+    small = {"numTrees": 6, "maxDepth": 5, "maxIter": 7, "minInstancesPerNode": 1}
+    if name in learn.CLASSIFIERS:
+        model = learn.fit_classifier(labelled, "y", ["a", "b"], ["c", "d"], name, small, min_frequency=60)
+        output = learn.positive_probability(model.transform(labelled)).select("key", "probability")
+    else:
+        settings = {"Ridge": LinearRegression(labelCol="amount"), "Forest of amounts": RandomForestRegressor(labelCol="amount", numTrees=5, seed=1), "Boosted amounts": GBTRegressor(labelCol="amount", maxIter=5, seed=1)}
+        model = Pipeline(stages=[*learn.preparation(labelled, ["a", "b"], ["c", "d"], min_frequency=60), settings[name]]).fit(labelled)
+        output = model.transform(labelled).select("key", "prediction")
+    expression = compiled.CompiledModel(model, spark)
+    other = labelled.withColumn("c", F.when(F.col("key").cast("int") % 5 == 0, "unseen").otherwise(F.col("c")))
+    if name == "Gradient Boosting":
+        output = learn.positive_probability(model.transform(other)).select("key", "probability")
+        labelled = other
+    want = dict(map(tuple, output.collect()))
+    slotted = expression.with_slots(labelled)
+    got = dict(map(tuple, slotted.select("key", expression.column()).collect()))
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-9) for k in want)
+    # The drivers of a row, inside the row and from copies of it.
+    if name in learn.CLASSIFIERS:
+        usual = {"a": 50.0, "b": 14.0, "c": "l3", "d": "1"}
+        score = lambda d: learn.positive_probability(model.transform(d))
+        copies = {r["key"]: r["drivers"] for r in scoring.key_risk_factors(labelled, "key", score, usual).collect()}
+        inside = scoring.drivers_in_row(slotted, expression.output(usual), usual)
+        assert "Exchange" not in "\n".join(l for l in inside._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" not in l)
+        for r in inside.collect():
+            assert [(d["feature"], d["value"]) for d in r["drivers"]] == [(d["feature"], d["value"]) for d in copies[r["key"]]]
+            assert [d["impact"] for d in r["drivers"]] == pytest.approx([d["impact"] for d in copies[r["key"]]])
+
+
+def test_a_level_replaced_by_another(spark, labelled):
+    model = learn.fit_classifier(labelled, "y", ["a", "b"], ["c", "d"], "Logistic Regression", {"maxIter": 5}, min_frequency=10)
+    expression = compiled.CompiledModel(model, spark)
+    want = dict(map(tuple, learn.positive_probability(model.transform(labelled.withColumn("c", F.lit("l3")))).select("key", "probability").collect()))
+    got = dict(map(tuple, expression.with_slots(labelled).select("key", expression.column(slots={"c": expression.slot_of("c", "l3")})).collect()))
+    assert got == pytest.approx(want)
+
+
 def test_projection_limits(spark):
     df = _series(spark, 3)
     out = projection.project_linear(df, {"lag_14": 1.0}, horizon=2, deviation=1.0).orderBy("date").collect()
