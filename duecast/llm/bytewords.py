@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 
 #: Bytes worked on at a time; a single longer text is taken alone.
 CHUNK_BYTES = 4 << 20
+LONG_WORD = 64
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15 | 1)
@@ -72,7 +74,10 @@ def word_spans(raw: np.ndarray, ends: np.ndarray, is_word: np.ndarray) -> tuple[
 
 
 def word_hashes(raw: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word: a polynomial of byte codes by running sums, then mixed."""
+    """64-bit hash of every word: a polynomial of byte codes by running sums, then mixed.
+
+    Words over ``LONG_WORD`` bytes take a digest instead: modulo a power of two, polynomials of long words can be made to agree.
+    """
     out = np.empty(len(first), _U)
     at = 0
     while at < len(first):
@@ -83,7 +88,10 @@ def word_hashes(raw: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndar
         a, b = first[at:to] - base, stop[at:to] - base
         out[at:to] = (sums[b] - sums[a]) * _power_table(_UNSTEP, len(span) + 1)[a]
         at = to
-    return mix(out + (stop - first).astype(_U))
+    out = mix(out + (stop - first).astype(_U))
+    for i in np.flatnonzero(stop - first > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(raw[first[i] : stop[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def chain(*parts: np.ndarray) -> np.ndarray:

@@ -19,7 +19,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -130,31 +129,38 @@ class _Digest:
         self.chars += len(formatted)
 
 
-def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per conversation, from its pieces in order; only running digests are kept."""
     at: tuple | None = None
     state = _Digest()
 
-    def row() -> list:
-        return [at[0], state.n_turns, state.turns.hexdigest(), state.loss_chars, state.loss.hexdigest(), state.chars]
+    def row() -> tuple:
+        return at[0], state.n_turns, state.turns.hexdigest(), state.loss_chars, state.loss.hexdigest(), state.chars
+
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _DIGESTS, strict=True)], schema=_DIGESTS)
 
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    for frame in frames:
+    for batch in batches:
         done = []
-        for conv, formatted, starts, sizes in zip(frame["conv_id"], frame["formatted"], frame["loss_start"], frame["loss_bytes"], strict=True):
-            key = (None if pd.isna(conv) else int(conv),)
-            if at != key:
+        for conv, formatted, starts, sizes in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_bytes")), strict=True):
+            if at != (conv,):
                 if at is not None:
                     done.append(row())
-                at, state = key, _Digest()
-            state.add(formatted, list(starts), list(sizes))
+                at, state = (conv,), _Digest()
+            state.add(formatted, starts, sizes)
         if done:
-            yield pd.DataFrame(done, columns=names).astype({"conv_id": "Int64"})
+            yield sent(done)
     if at is not None:
-        yield pd.DataFrame([row()], columns=names).astype({"conv_id": "Int64"})
+        yield sent([row()])
 
 
 def chat_digests(chats: DataFrame) -> DataFrame:
-    """Digests of turns and of the text under the loss mask, read back from ``format_chats`` output."""
+    """Digests of turns and of the text under the loss mask, read back from ``format_chats`` output.
+
+    Conversations without a number are one conversation with a null number; numbers keep all their digits. No pieces give no row.
+    """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return chats.select("conv_id", "formatted", "loss_start", "loss_bytes").mapInPandas(_digests, schema)
+    return chats.select("conv_id", "formatted", "loss_start", "loss_bytes").mapInArrow(_digests, schema)

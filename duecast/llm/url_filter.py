@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 SPLIT_KEYS = 20_000
 DEFAULT_VERDICT = "allow"
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: Sorts after every character of a host.
-_END = chr(0x10FFFF)
+#: A range holds about so many pages.
+RANGE_ROWS = 500_000
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -37,8 +37,9 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def host_key(host: Column) -> Column:
-    """Labels from the last to the first, each followed by a character below all others of a host."""
-    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "\x01"), F.lit("\x01")))
+    """Labels from the last to the first, each followed by a separator that is written otherwise inside a label."""
+    written = F.replace(F.replace(host, F.lit("\x02"), F.lit("\x02b")), F.lit("\x01"), F.lit("\x02a"))
+    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(written, r"\.", -1)), "\x01"), F.lit("\x01")))
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
@@ -78,11 +79,14 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     """
     spark = pages.sparkSession
     host, path = url_parts(F.col(url_col))
-    parted = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = dict(pages.dtypes)[id_col]
+    # Numbers travel as text: a pandas column with a missing number would round the others.
+    parted = pages.select(F.col(id_col).cast("string").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
+    rows = pages.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(rows // RANGE_ROWS, SPLIT_KEYS // 4))
     # A share by hash is a fixed random choice; a hot key is split by its pages' hashes. The limit only guards against
     # one page repeated without end.
-    share = min(1.0, SPLIT_KEYS / max(pages.count(), 1))
+    share = min(1.0, SPLIT_KEYS / max(rows, 1))
     hashed = parted.select("key", F.xxhash64("page_id", "path").alias("h"))
     chosen = hashed.where(F.pmod(F.xxhash64("h", "key"), F.lit(1_000_000_007)) < int(share * 1_000_000_007)).limit(4 * SPLIT_KEYS).collect()
     ordered = sorted((r["key"], r["h"]) for r in chosen)
@@ -95,7 +99,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     @F.pandas_udf("array<int>")
     def rule_ranges(keys: pd.Series) -> pd.Series:
         low = [bisect.bisect_left(splits, (k, -(2**63))) for k in keys]
-        return pd.Series([list(range(a, bisect.bisect_right(splits, (k + _END, 2**63)) + 1)) for a, k in zip(low, keys, strict=True)])
+        # Keys below a rule's end before the key with its last separator raised by one.
+        return pd.Series([list(range(a, bisect.bisect_right(splits, (k[:-1] + "\x02", -(2**63))) + 1)) for a, k in zip(low, keys, strict=True)])
 
     dealt = parted.withColumn("part", page_range("key", F.xxhash64("page_id", "path")))
     clean = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("verdict").isNotNull() & (F.col("host") != ""))
@@ -109,5 +114,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
         answers = list(_sweep(left, right.sort_values("key", kind="stable")))
         return pd.DataFrame({"page_id": left["page_id"], "host": left["host"], "path": left["path"], "rule": [a[0] for a in answers], "verdict": [a[1] or default for a in answers]})
 
-    schema = f"page_id {parted.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, verdict string"
-    return dealt.groupBy("part").cogroup(spread.groupBy("part")).applyInPandas(sweep, schema)
+    schema = "page_id string, host string, path string, rule string, verdict string"
+    judged = dealt.groupBy("part").cogroup(spread.groupBy("part")).applyInPandas(sweep, schema)
+    return judged.withColumn("page_id", F.col("page_id").cast(kind))

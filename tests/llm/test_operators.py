@@ -313,3 +313,46 @@ def test_keys_join_nulls(spark):
 def test_every_operator_is_registered_once():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
     assert numbers == list(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
+
+
+def thue_morse(a, b, n):
+    """Two texts whose polynomial hashes modulo 2 ** 64 agree: a sequence and its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_constructed_words_are_told_apart(spark):
+    one, two = thue_morse("a", "b", 4096)
+    raw, ends = bytewords.text_buffer(pa.array([one, two, one]))
+    first, stop, _ = bytewords.word_spans(raw, ends, bytewords.SPACE_WORDS)
+    hashes = bytewords.word_hashes(raw, first, stop)
+    assert hashes[0] == hashes[2] != hashes[1]
+    rows = [(1, f"x y {one} z"), (2, f"x y {two} z")]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(plain.components(rows))
+
+
+def test_large_numbers_beside_a_null(spark):
+    turns = [(2**60 + 1, 0, "user", "one"), (2**60 + 2, 0, "user", "two"), (None, 0, "user", "none")]
+    chats = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r["n_turns"] for r in chat_format.chat_digests(chat_format.format_chats(chats)).collect()}
+    assert got == {2**60 + 1: 1, 2**60 + 2: 1, None: 1}
+    pages = spark.createDataFrame([(2**60 + 1, "http://a.com/"), (None, "http://b.com/"), (2**60 + 2, None)], "page_id long, url string").coalesce(1)
+    judged = url_filter.filter_urls(pages, url_filter.rule_table(spark))
+    assert {(r["page_id"], r["rule"]) for r in judged.collect()} == {(2**60 + 1, "com/"), (None, "com/"), (2**60 + 2, None)}
+    assert dict(judged.dtypes)["page_id"] == "bigint"
+
+
+def test_separators_inside_hosts(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "RANGE_ROWS", 1)
+    hosts = ["com", "com\x01evil", "a.com", "com\x02a", "\x01.com", "x\x02.com", "com\U0010ffffx", "\U0010ffff.com", "\U0010ffffz.www.example.com"]
+    pages = spark.createDataFrame([(i, f"http://{h}/en/") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = {r["page_id"]: r["rule"] for r in url_filter.filter_urls(pages, url_filter.rule_table(spark)).collect()}
+    assert got == {0: "com/", 1: None, 2: "com/", 3: None, 4: "com/", 5: "com/", 6: None, 7: "com/", 8: "www.example.com/en/"}
+
+
+def test_quality_rules_beside_working_names(spark):
+    text = prose(4, 120)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").selectExpr("*", "1 as _w", "2 as _t", "3 as _figures", "4 as __again", "5 as n_words", "6 as _L")
+    row = quality_rules.quality_rules(docs).first()
+    assert [row[c] for c in ("_w", "_t", "_figures", "__again", "_L")] == [1, 2, 3, 4, 6] and row["n_words"] == plain.figures(text)["n_words"]
