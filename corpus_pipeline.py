@@ -18,8 +18,12 @@ SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every quality rule."""
-    return quality_rules.quality_rules(docs).where("kept").select(docs.columns)
+    """Documents that pass every quality rule; columns named like a figure keep their own values.
+
+    Null and empty texts fail; repeated rows are judged alike and all stay or all go.
+    """
+    row = quality_rules.working_names(docs.columns)("row")
+    return quality_rules.quality_rules(docs.select("text", F.struct(*docs.columns).alias(row))).where("kept").select(f"{row}.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,21 +32,24 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     It is the one with the smallest number (a missing number comes last), of these the one with the smallest hash of
     its text, and of rows equal in both the one with the smallest hash of all columns.
     """
+    name = quality_rules.working_names(docs.columns)
+    hash_, id_, found_, one, row, least = (name(x) for x in ("hash", "id", "found", "one", "row", "least"))
     found = ngram_join.keyed_components(docs, words=SHINGLE_WORDS, percent=SHINGLE_PERCENT)
     found = materialize(found.where(F.col("root").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-copies")
-    first = found.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("__id"), F.min("text_hash").alias("__found"))
-    kept = first.select("__id", "__found", F.lit(True).alias("__one"))
-    bare = found.where("root is null").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__found"), F.lit(False).alias("__one")).distinct()
-    hashed = docs.withColumn("__hash", _text_hash())
+    first = found.where("root is not null").groupBy("root").agg(F.min("doc_id").alias(id_), F.min("text_hash").alias(found_))
+    kept = first.select(id_, found_, F.lit(True).alias(one))
+    bare = found.where("root is null").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(found_), F.lit(False).alias(one)).distinct()
+    hashed = docs.withColumn(hash_, _text_hash())
     kept = kept.unionByName(bare)
-    kept = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["__id"]) & (hashed["__hash"] == kept["__found"])).withColumn("__row", F.xxhash64(*docs.columns))
-    counts = kept.where("__one").groupBy(F.col("doc_id").alias("__rid"), F.col("__hash").alias("__rhash")).agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__least"))
-    repeats = materialize(counts.where("__n > 1"), "repeated-rows")
+    kept = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept[id_]) & (hashed[hash_] == kept[found_])).withColumn(row, F.xxhash64(*docs.columns))
+    number, text = name("number"), name("text")
+    counts = kept.where(F.col(one)).groupBy(F.col("doc_id").alias(number), F.col(hash_).alias(text)).agg(F.count(F.lit(1)).alias("rows"), F.min(row).alias(least))
+    repeats = materialize(counts.where("rows > 1").drop("rows"), "repeated-rows")
     if repeats.isEmpty():
         return kept.select(docs.columns)
-    marked = kept.join(repeats, F.col("__one") & F.col("doc_id").eqNullSafe(F.col("__rid")) & (F.col("__hash") == F.col("__rhash")), "left")
-    once = marked.where("__row = __least").dropDuplicates(["doc_id", "__hash", "__row"])
-    return marked.where("__least is null").unionByName(once).select(docs.columns)
+    marked = kept.join(repeats, F.col(one) & F.col("doc_id").eqNullSafe(F.col(number)) & (F.col(hash_) == F.col(text)), "left")
+    once = marked.where(F.col(row) == F.col(least)).dropDuplicates(["doc_id", hash_, row])
+    return marked.where(F.col(least).isNull()).unionByName(once).select(docs.columns)
 
 
 def _text_hash() -> Column:
@@ -50,21 +57,25 @@ def _text_hash() -> Column:
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of any benchmark item."""
+    """Documents without a window of any benchmark item. Null texts and texts without words stay; rows of one number and text go together."""
+    name = quality_rules.working_names(docs.columns)
+    hash_, id_, found_ = name("hash"), name("id"), name("found")
     found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__found"))
-    hashed = docs.withColumn("__hash", _text_hash())
-    return hashed.join(found, hashed["doc_id"].eqNullSafe(found["__id"]) & (hashed["__hash"] == found["__found"]), "left_anti").select(docs.columns)
+    found = found.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(found_))
+    hashed = docs.withColumn(hash_, _text_hash())
+    return hashed.join(found, hashed["doc_id"].eqNullSafe(found[id_]) & (hashed[hash_] == found[found_]), "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret that is not a widely copied example masked and ``n_chars`` counted anew."""
-    live = secret_scan.scan_secrets(docs).withColumn("__live", F.filter("findings", lambda f: ~f["shared"])).where(F.size("__live") > 0)
-    live = live.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__found"), "__live").dropDuplicates(["__id", "__found"])
-    hashed = docs.withColumn("__hash", _text_hash())
-    joined = hashed.join(live, hashed["doc_id"].eqNullSafe(live["__id"]) & (hashed["__hash"] == live["__found"]), "left")
-    clean = F.col("__live").isNull()
-    masked = joined.withColumn("text", F.when(clean, F.col("text")).otherwise(secret_scan.redact(F.col("text"), F.col("__live"))))
+    """All documents, with every secret that is not a widely copied example masked and ``n_chars`` counted anew; null texts stay null."""
+    name = quality_rules.working_names(docs.columns)
+    hash_, id_, found_, live_ = (name(x) for x in ("hash", "id", "found", "live"))
+    live = secret_scan.scan_secrets(docs).withColumn(live_, F.filter("findings", lambda f: ~f["shared"])).where(F.size(live_) > 0)
+    live = live.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(found_), live_).dropDuplicates([id_, found_])
+    hashed = docs.withColumn(hash_, _text_hash())
+    joined = hashed.join(live, hashed["doc_id"].eqNullSafe(live[id_]) & (hashed[hash_] == live[found_]), "left")
+    clean = F.col(live_).isNull()
+    masked = joined.withColumn("text", F.when(clean, F.col("text")).otherwise(secret_scan.redact(F.col("text"), F.col(live_))))
     masked = masked.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return masked.select(docs.columns)
 
