@@ -34,7 +34,7 @@ def main() -> None:
     names = list(queries) if chosen == "all" else [n for n in chosen.split(",") if n] or HEADLINE
     spark = build("duecast-bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus) if cpus.isdigit() else 8)
     if spark.conf.get("spark.checkpoint.dir", None) is None:  # one machine: its own folder is shared
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="duecast-bench-"))
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="duecast-bench-"))
     spark.sparkContext.setLogLevel("OFF")
     # The first query pays for starting the JVM's code paths; that is not part of any query.
     queries[names[0]](spark, root).write.format("noop").mode("overwrite").save()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from duecast.functions.values import as_double, order_key
 from duecast.operators import metrics
-from duecast.operators.demand import HASH_RANGE, add_short_features, split_by_dates, split_by_position, split_stratified
+from duecast.operators.demand import HASH_RANGE, LONG_LAGS, ROLLING, SHORT_LAGS, add_long_features, add_short_features, split_by_dates, split_by_position, split_stratified
 from duecast.operators.encoding import LevelEncoder, LevelEncoderModel
 from duecast.operators.features import (
     CREDIT_ENGINEERED, CREDIT_FEATURES, CREDIT_TARGET, LOAN_CATEGORICAL, LOAN_NUMERIC, PAY_STATUS, add_credit_behaviour,
@@ -227,13 +227,32 @@ def train_loan_model(df: DataFrame, overrides: Mapping | None = None) -> Pipelin
     return fit_classifier(rows, "y", LOAN_NUMERIC, LOAN_CATEGORICAL, "Gradient Boosting", overrides, min_frequency=1, balanced=True)
 
 
+#: Thresholds at which the models' decisions are judged.
+CREDIT_THRESHOLD, LOAN_THRESHOLD = 0.50, 0.25
+
+
+def evaluate_at(scored: DataFrame, label: str, threshold: float) -> DataFrame:
+    """All measures of scored rows at a model's own threshold, one row. [M7, M8, A1-A4]"""
+    return metrics.classification(scored.select(F.col(label).cast("int").alias(label), "probability"), label, "probability", threshold).withColumn("threshold", F.lit(threshold))
+
+
+DEMAND_CATEGORIES = ("store_id", "product_id", "category", "region")
+SHORT_INPUTS = ["dow", "month", *[f"lag_{k}" for k in SHORT_LAGS]]
+LONG_INPUTS = ["day_of_week", "month", "day_of_year", "is_weekend", *[f"lag_{k}" for k in LONG_LAGS], *[f"roll_{m}_{w}" for w in ROLLING for m in ("mean", "std")]]
+
+
 def train_demand_models(
-    df: DataFrame, algorithms: Sequence[str], target: str = "units_sold", categorical: Sequence[str] = ("store_id", "product_id"),
-    numeric: Sequence[str] = ("inventory_level", "price"), overrides: Mapping | None = None, with_train_figures: bool = False,
+    df: DataFrame, algorithms: Sequence[str], target: str = "units_sold", categorical: Sequence[str] | None = None,
+    numeric: Sequence[str] = ("inventory_level", "price"), overrides: Mapping | None = None, with_train_figures: bool = False, long: bool = False,
 ) -> Training:
-    """Demand regressors over lags and calendar parts, split by date; the best has the least validation WAPE. [M4, M9, M11, M12]"""
-    featured = split_by_dates(add_short_features(df, target), "date")
-    inputs = [*numeric, "dow", "month", "lag_1", "lag_7", "lag_14"]
+    """Demand regressors over lags and calendar parts, split by date; the best has the least validation WAPE. [M4, M9-M12]
+
+    ``long`` takes the features up to 30 rows back with rolling means and deviations. ``categorical`` are by default the columns
+    of ``DEMAND_CATEGORIES`` that the table has.
+    """
+    categorical = [c for c in DEMAND_CATEGORIES if c in df.columns] if categorical is None else list(categorical)
+    featured = split_by_dates((add_long_features if long else add_short_features)(df, target), "date")
+    inputs = [*numeric, *(LONG_INPUTS if long else SHORT_INPUTS)]
     parted = materialize(featured.select("split", target, *categorical, *inputs), "training")
     parts = {n: parted.where(F.col("split") == n).drop("split") for n in ("train", "validation", "test")}
     sizes = {r["split"]: r["count"] for r in parted.groupBy("split").count().collect()}

@@ -15,7 +15,7 @@ from duecast.plans.filtering import SCORED, scored
 from duecast.plans.history import SERVING_SQL, _record_types
 from duecast.plans.measures import _rounded
 from duecast.plans.scalars import LOANS_SQL
-from duecast.session import scratch_path
+from duecast.session import materialize, scratch_path
 from duecast.sources import files, lenses, workspace
 from duecast.sources.tables import read
 
@@ -599,6 +599,32 @@ def loan_scores(spark, root):
     return learn.positive_probability(learn.train_loan_model(df).transform(df)).select("LoanID", "Default", "probability")
 
 
+def _judged(spark, name, scored, label, threshold):
+    """One model at its threshold; every count of its measures is counted once more on the scored rows."""
+    y, flagged = F.col(label) == 1, F.col("probability") >= threshold
+    again = {"tp": y & flagged, "fp": ~y & flagged, "fn": y & ~flagged, "tn": ~y & ~flagged}
+    stored = materialize(scored.select(label, "probability"), "predictions")
+    counts = stored.agg(*[F.count_if(c).alias(f"again_{n}") for n, c in again.items()], F.avg((F.col(label) - F.col("probability")) * (F.col(label) - F.col("probability"))).alias("squares"))
+    found = learn.evaluate_at(stored, label, threshold)
+    found = found.withColumns({c: counts.select(c).scalar() for c in counts.columns})
+    agrees = F.abs(F.col("brier") - F.col("squares")) < 1e-9
+    for n in again:
+        agrees = agrees & (F.col(n) == F.col(f"again_{n}"))
+    hits, rows = F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
+    return found.select(
+        F.lit(name).alias("model"), "threshold", rows.alias("rows"), (F.col("tp") + F.col("fn")).alias("positives"), agrees.alias("counts_agree"),
+        (F.abs(F.col("accuracy") - hits / rows) < 1e-12).alias("accuracy_follows"),
+    )
+
+
+def judged_models(spark, root):
+    """The credit and the loan model on their labelled rows, at 0.50 and at 0.25."""
+    credit = lenses.credit(spark, root).where("default_next_month is not null")
+    loans = loan_layout(lenses.accepted_loans(spark, root))
+    first = _judged(spark, "credit", learn.score_credit_model(learn.train_credit_model(credit), credit), "default_next_month", learn.CREDIT_THRESHOLD)
+    return first.unionByName(_judged(spark, "loan", learn.positive_probability(learn.train_loan_model(loans).transform(loans)), "Default", learn.LOAN_THRESHOLD))
+
+
 TRAINED_LOANS_SQL = f'SELECT LoanID, "Default", true AS sound FROM ({LOANS_SQL})'
 
 
@@ -618,6 +644,22 @@ TRAINED_DEMAND_SQL = f"""WITH {L.DEMAND}, i AS (SELECT date, row_number() OVER (
     count(*) FILTER (date >= b) AS test_rows, true AS sound FROM demand, c, (VALUES ('Ridge'), ('Gradient Boosting')) AS t(algorithm) GROUP BY algorithm"""
 
 
+JUDGED_SQL = f"""WITH {L.CREDIT}, l AS ({LOANS_SQL})
+  SELECT 'credit' AS model, 0.5::DOUBLE AS threshold, count(*) AS rows, CAST(sum(default_next_month) AS BIGINT) AS positives, true AS counts_agree, true AS accuracy_follows FROM credit WHERE default_next_month IS NOT NULL
+  UNION ALL SELECT 'loan', 0.25::DOUBLE, count(*), CAST(sum("Default") AS BIGINT), true, true FROM l"""
+
+
+def long_demand_models(spark, root):
+    """All demand regressors over the long features: split sizes by date, and whether every figure of all three parts is a possible one."""
+    runs = learn.train_demand_models(lenses.demand(spark, root), list(learn.REGRESSORS), with_train_figures=True, long=True).runs
+    sound = F.lit(True)
+    for part in ("train", "validation", "test"):
+        for n in ("mae", "mse", "rmse", "wape"):
+            sound = sound & F.coalesce((F.col(part)[n] >= 0) & (F.col(part)[n] < float("inf")), F.lit(False))
+        sound = sound & (F.abs(F.col(part)["rmse"] * F.col(part)["rmse"] - F.col(part)["mse"]) < 1e-6 * (1 + F.col(part)["mse"])) & (F.col(part)["mae"] <= F.col(part)["rmse"] + 1e-9)
+    return _run_rows(runs, sound)
+
+
 def every_demand_model(spark, root):
     """All demand regressors with their figures. No SQL: figures of fitted models."""
     return _with_figures(learn.train_demand_models(lenses.demand(spark, root), list(learn.REGRESSORS)), learn.ERRORS)
@@ -680,7 +722,7 @@ PREPARED_SQL = f"""WITH {L.INVOICES}, d AS (SELECT row_id, CASE WHEN row_id % 10
 def stepwise_projection(spark, root):
     """Demand projected twelve days ahead with a fitted ridge model, all days in one fold; the interval is that of its residuals."""
     df = lenses.demand(spark, root)
-    result = learn.train_demand_models(df, ["Ridge"], numeric=("inventory_level", "price"))
+    result = learn.train_demand_models(df, ["Ridge"], categorical=("store_id", "product_id"), numeric=("inventory_level", "price"))
     out = projection.project_model(df, result.models["Ridge"], horizon=12, frozen=("inventory_level", "price"))
     sound = F.coalesce(F.abs("forecast_value") < float("inf"), F.lit(False)) & (F.col("forecast_lower") < F.col("forecast_upper"))
     return out.select("date", "store_id", "product_id", "inventory_level", F.round("price", 4).alias("price"), sound.alias("sound"))
@@ -864,6 +906,8 @@ QUERIES = {
     "train_credit_behaviour": trained_credit,
     "train_loan_default": trained_loans,
     "train_demand": trained_demand,
+    "train_demand_long": long_demand_models,
+    "train_model_thresholds": judged_models,
     "train_payment_risk_all": every_payment_model,
     "train_demand_all": every_demand_model,
     "train_credit_behaviour_scores": credit_scores,
@@ -915,6 +959,8 @@ SQL = {
     "train_credit_behaviour": TRAINED_CREDIT_SQL,
     "train_loan_default": TRAINED_LOANS_SQL,
     "train_demand": TRAINED_DEMAND_SQL,
+    "train_demand_long": TRAINED_DEMAND_SQL.replace("('Ridge'), ('Gradient Boosting')", "('Ridge'), ('Random Forest'), ('Gradient Boosting')"),
+    "train_model_thresholds": JUDGED_SQL,
     "train_stepwise_projection": STEPWISE_SQL,
     "train_augmentation_comparison": COMPARISON_SQL,
     "train_permutation_importance": IMPORTANCE_SQL,

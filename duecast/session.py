@@ -32,14 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder: on a cluster such a
     folder would be lost with its machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
-    fallback = os.path.join(tempfile.gettempdir(), "duecast-checkpoints")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "duecast-checkpoints"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -24,7 +24,6 @@ def spark():
     session.sparkContext.setLogLevel("OFF")
     if session.conf.get("spark.checkpoint.dir", None) is None:
         session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="duecast-tests-"))
-        session.conf.set("spark.checkpoint.dir", session.sparkContext.getCheckpointDir())
     yield session
     session.stop()
 
