@@ -136,7 +136,7 @@ def require_one_family(df: DataFrame) -> str:
 def combine_loans(files: Mapping[str, DataFrame], order: str = "row_id") -> DataFrame:
     """Loan files in the loan contract, one row per LoanID: the first by file and row. [S13, U4]
 
-    Files without an outcome column are skipped. The first row is a map-side combined minimum.
+    Files without an outcome column are skipped; ``loan_file_notes`` names them. The first row is a map-side combined minimum.
     """
     parts = []
     for position, (_, df) in enumerate(files.items()):
@@ -149,6 +149,19 @@ def combine_loans(files: Mapping[str, DataFrame], order: str = "row_id") -> Data
     return drop_repeated_keys(_union(parts), ["LoanID"], F.col("_order")).drop("_order")
 
 
+def loan_file_notes(files: Mapping[str, DataFrame]) -> DataFrame:
+    """(position, file, used, rows, loans, note) of every file given to ``combine_loans``, skipped ones included. [S13]"""
+    parts = []
+    for position, (name, df) in enumerate(files.items()):
+        used = "loan_status" in df.columns
+        loans = F.count_distinct("LoanID") if used else F.lit(0).cast("bigint")
+        rows = (loan_layout(df) if used else df).agg(F.count("*").alias("loans_read"), loans.alias("loans"))
+        total = df.agg(F.count("*").alias("rows"))
+        note = F.concat(F.lit("Used: "), F.col("loans_read").cast("string"), F.lit(" rows with a known outcome.")) if used else F.lit("Skipped: no repayment outcome in this file.")
+        parts.append(rows.select(F.lit(position).alias("position"), F.lit(name).alias("file"), F.lit(used).alias("used"), total.scalar().alias("rows"), "loans", note.alias("note")))
+    return _union(parts)
+
+
 def drop_repeated_keys(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     """The first row per key in the given order. [U4]"""
     first = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in df.columns if c not in keys]), order).alias("_row"))

@@ -244,15 +244,15 @@ def split_by_position(
 ) -> DataFrame:
     """``split`` by position in date order, ties in row order, undated rows last. [M3, W17]
 
-    Counts per date find the dates in which the cuts fall; only rows of those dates are ranked.
+    Counts per day find the days in which the cuts fall; only rows of those days are ranked, by date, then row.
     """
-    counts = df.groupBy(date).count().orderBy(F.col(date).asc_nulls_last()).collect()  # one row per calendar day
+    day = F.col(date).cast("date")
+    counts = df.groupBy(day.alias("day")).count().orderBy(F.col("day").asc_nulls_last()).collect()  # one row per calendar day
     total, seen, edges = sum(r["count"] for r in counts), 0, []
     targets = [int(total * c) for c in cuts]
     for row in counts:
-        edges += [(row[date], target - seen) for target in targets if seen <= target < seen + row["count"]]
+        edges += [(row["day"], target - seen) for target in targets if seen <= target < seen + row["count"]]
         seen += row["count"]
-    day = F.col(date)
 
     def part_at(rank: Column) -> Column:
         label = F.lit(PARTS[2])
@@ -264,9 +264,10 @@ def split_by_position(
     on_edge = F.lit(False)
     for edge, _ in edges:
         on_edge = on_edge | day.eqNullSafe(F.lit(edge))
-    ranked = add_prior_sums(df.where(on_edge), [date], [F.col(row_id)], {"_rank": F.lit(1.0)}, rows_per_task)
+    edge_rows = df.where(on_edge).withColumn("_day", day)
+    ranked = add_prior_sums(edge_rows, ["_day"], [F.col(date), F.col(row_id)], {"_rank": F.lit(1.0)}, rows_per_task)
     return df.where(~on_edge).withColumn("split", part_at(F.lit(0.0))).unionByName(
-        ranked.withColumn("split", part_at(F.col("_rank"))).drop("_rank")
+        ranked.withColumn("split", part_at(F.col("_rank"))).drop("_rank", "_day")
     )
 
 

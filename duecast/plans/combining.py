@@ -83,6 +83,19 @@ def loans(spark, root):
 LOANS_SQL = f"""WITH {L.ACCEPTED_LOANS} SELECT LoanID, LoanTerm, DTIRatio, "Default" FROM (
   SELECT *, row_number() OVER (PARTITION BY LoanID ORDER BY row_id) AS n FROM ({LOAN_SELECT}, row_id FROM accepted_loans WHERE loan_status <> 'Current')) WHERE n = 1"""
 
+
+
+def loan_notes(spark, root):
+    """What became of each of the three files."""
+    df = lenses.accepted_loans(spark, root)
+    return combine.loan_file_notes({"a": df, "b": df.withColumn("dti", F.lit("99")), "c": df.drop("loan_status")})
+
+
+LOAN_NOTES_SQL = f"""WITH {L.ACCEPTED_LOANS}, k AS (SELECT * FROM ({LOAN_SELECT}, row_id FROM accepted_loans WHERE loan_status <> 'Current')),
+  f AS (SELECT (SELECT count(*) FROM accepted_loans) AS rows, count(*) AS used_rows, count(DISTINCT LoanID) AS loans FROM k)
+  SELECT CAST(p AS INTEGER) AS position, n AS file, n <> 'c' AS used, rows, CASE WHEN n = 'c' THEN 0 ELSE loans END AS loans,
+         CASE WHEN n = 'c' THEN 'Skipped: no repayment outcome in this file.' ELSE 'Used: ' || used_rows || ' rows with a known outcome.' END AS note FROM f, (VALUES (0, 'a'), (1, 'b'), (2, 'c')) v(p, n)"""
+
 _PRINT = "CAST(CAST(('0x' || substr(md5(sig || '|0'), 1, 15)) AS BIGINT) AS HUGEINT)"
 
 
@@ -179,6 +192,7 @@ QUERIES = {
     "combine_adapted_rollup": rolled,
     "combine_source_families": families,
     "combine_loan_files": loans,
+    "combine_loan_notes": loan_notes,
     "combine_fingerprints": fingerprints,
     "combine_overlap": overlap,
     "combine_shared_rows": shared,
@@ -193,6 +207,7 @@ SQL = {
     "combine_adapted_rollup": ROLLED_SQL,
     "combine_source_families": FAMILIES_SQL,
     "combine_loan_files": LOANS_SQL,
+    "combine_loan_notes": LOAN_NOTES_SQL,
     "combine_fingerprints": FINGERPRINT_SQL,
     "combine_overlap": OVERLAP_SQL,
     "combine_shared_rows": SHARED_SQL,

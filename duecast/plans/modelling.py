@@ -798,16 +798,19 @@ def exported(spark, root):
     path = scratch_path(spark, "export")
     high = scored(spark, root).where("risk_tier = 'HIGH_RISK'")
     files.export_csv(high, f"{path}/csv")
-    files.export_report(high.agg(F.count("*").alias("rows"), F.max("risk_score").alias("highest")), f"{path}/report", "ana_1", "payment_risk", "v1")
+    summary = high.agg(F.count("*").alias("rows"), F.max("risk_score").alias("highest"))
+    # One row per tier.
+    advised = scoring.tier_actions(high.select("risk_tier").distinct()).agg(F.array_sort(F.flatten(F.collect_list("recommended_actions")))).scalar()
+    files.export_report(summary, f"{path}/report", "ana_1", "payment_risk", "v1", advised)
     rows = spark.read.option("header", True).schema(high.schema).csv(f"{path}/csv").agg(F.count("*").alias("csv_rows"), F.countDistinct("client_id").alias("clients"))
-    report = spark.read.schema("analysis_id string, analysis_type string, model_version string, summary struct<rows:bigint,highest:double>").json(f"{path}/report")
+    report = spark.read.schema("analysis_id string, analysis_type string, model_version string, summary struct<rows:bigint,highest:double>, recommendations array<string>").json(f"{path}/report")
     return report.select(
-        "analysis_id", "analysis_type", "model_version", "summary.rows", "summary.highest", rows.select("csv_rows").scalar().alias("csv_rows"), rows.select("clients").scalar().alias("clients")
+        "analysis_id", "analysis_type", "model_version", "summary.rows", "summary.highest", F.array_join("recommendations", " ").alias("recommendations"), rows.select("csv_rows").scalar().alias("csv_rows"), rows.select("clients").scalar().alias("clients")
     )
 
 
 EXPORTED_SQL = f"""WITH {SCORED} SELECT 'ana_1' AS analysis_id, 'payment_risk' AS analysis_type, 'v1' AS model_version, count(*) AS rows, max(risk_score) AS highest,
-  count(*) AS csv_rows, count(DISTINCT client_id) AS clients FROM scored WHERE risk_tier = 'HIGH_RISK'"""
+  CASE WHEN count(*) > 0 THEN 'Increase collection monitoring. Reduce exposure and tighten payment terms. Request manual credit review.' ELSE '' END AS recommendations, count(*) AS csv_rows, count(DISTINCT client_id) AS clients FROM scored WHERE risk_tier = 'HIGH_RISK'"""
 
 
 def stored_runs(spark, root):

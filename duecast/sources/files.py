@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -70,10 +72,11 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
-def export_report(summary: DataFrame, path: str, analysis_id: str, task: str, model_version: str) -> None:
-    """A one-row summary as a JSON report. [S19]"""
+def export_report(summary: DataFrame, path: str, analysis_id: str, task: str, model_version: str, recommendations: Sequence[str] | Column = ()) -> None:
+    """A one-row summary with its recommendations as a JSON report; a column of the summary may hold them. [S19]"""
+    listed = recommendations if isinstance(recommendations, Column) else F.array(*[F.lit(r) for r in recommendations]).cast("array<string>")
     report = summary.select(
         F.lit(analysis_id).alias("analysis_id"), F.lit(task).alias("analysis_type"), F.lit(model_version).alias("model_version"),
-        F.struct(*[F.col(c) for c in summary.columns]).alias("summary"),
+        F.struct(*[F.col(c) for c in summary.columns]).alias("summary"), listed.alias("recommendations"),
     )
     report.write.json(path)

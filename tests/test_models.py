@@ -169,6 +169,13 @@ def test_split_with_undated_rows_and_one_date(spark):
     assert {r.id: r.split for r in plain.collect()} == {r.id: r.split for r in hot.collect()}
 
 
+def test_split_of_timestamps_counts_days(spark):
+    df = spark.range(400).withColumn("d", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 1800 * 7919 % 864_000))
+    plain, hot = ({r.id: r.split for r in demand.split_by_position(df, "d", "id", rows_per_task=n).collect()} for n in (10**9, 7))
+    ordered = [r.id for r in df.orderBy("d", "id").collect()]
+    assert plain == hot == {i: "train" if k < 280 else "validation" if k < 340 else "test" for k, i in enumerate(ordered)}
+
+
 def test_sample_size_is_exact(spark):
     df = spark.range(5000)
     first, again = ({r.id for r in demand.sample_rows(df.repartition(n), 1234, ["id"], 7, "id").collect()} for n in (2, 5))
