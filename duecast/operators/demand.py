@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duecast.functions.values import calendar_parts, order_key
@@ -203,6 +203,42 @@ def reduce_files(
     return df if share >= 1 else df.where(order_key([F.col(c) for c in ids], seed) < F.lit(int(share * HASH_RANGE)))
 
 
+def written_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files under a path, in whatever store it lies."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+
+
+def write_reduced(df: DataFrame, path: str, target_bytes: int, ids: Sequence[str], seed: int = 42, rounds: int = 8, close: float = 0.85) -> dict:
+    """Writes the largest found share of the rows whose files stay within ``target_bytes``, as Parquet under ``path``. [S6]
+
+    The share starts from the summed row width and follows the bytes that were really written, down where they exceed the
+    target and up where they stay below ``close`` of it. Shares are nested by a seeded hash of the ids, so each round keeps the
+    same rows and only moves the cut. Every round has a folder of its own; ``folder`` names the one to use.
+    """
+    spark, width = df.sparkSession, rows_for_bytes(df, target_bytes)[1]
+    low, high, share, best = 0.0, None, min(1.0, target_bytes / max(width, 1)), None
+    for number in range(rounds):
+        folder = f"{path}/round-{number}"
+        metrics = Observation()
+        part = df if share >= 1 else df.where(order_key([F.col(c) for c in ids], seed) < F.lit(int(share * HASH_RANGE)))
+        part.observe(metrics, F.count("*").alias("rows")).write.parquet(folder)
+        size = written_bytes(spark, folder)
+        if size <= target_bytes:
+            best = {"folder": folder, "rows": metrics.get["rows"], "bytes": size, "share": share, "rounds": number + 1}
+            if share >= 1 or size >= close * target_bytes:
+                return best
+            low = share
+        else:
+            high = share
+        guess = share * 0.96 * target_bytes / max(size, 1)
+        # A guess outside what is known to fit and not to fit is replaced by the middle.
+        share = guess if low < guess < (high or 1.0) else ((low + high) / 2 if high else 1.0)
+    if best is None:
+        raise ValueError(f"No share of the rows was written within {target_bytes} bytes in {rounds} rounds.")
+    return best
+
+
 def reduction_report(before: DataFrame, after: DataFrame, seed: int) -> DataFrame:
     """Rows and bytes before and after a reduction, one row. [S7]"""
     kept = after.agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes(after)), F.lit(0)).alias("b"))

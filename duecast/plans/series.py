@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from duecast.operators import demand, filters, metrics, projection, scoring
 from duecast.plans import lens_sql as L
 from duecast.plans.filtering import _problems_sql
+from duecast.session import scratch_path
 from duecast.sources import lenses
 from duecast.sources.tables import read
 
@@ -228,6 +229,24 @@ ALERTS_SQL = f"""WITH f AS ({_flag_sql(2)})
   UNION ALL SELECT 'CRITICAL', 'Negative net cashflow', '2002-01-06', 'At least one projected period has negative net cashflow.', 'OPEN' FROM lineitem HAVING sum(l_quantity) > 0"""
 
 
+def written_share(spark, root):
+    """Order lines written within half of the bytes that all of them take."""
+    df = read(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    path = scratch_path(spark, "reduced")
+    df.write.parquet(f"{path}/all")
+    target = demand.written_bytes(spark, f"{path}/all") // 2
+    found = demand.write_reduced(df, path, target, ["l_orderkey", "l_linenumber"])
+    kept = spark.read.parquet(found["folder"])
+    facts = kept.agg(F.count("*").alias("kept"), F.count_distinct("l_orderkey", "l_linenumber").alias("keys"))
+    return facts.select(
+        F.lit(demand.written_bytes(spark, found["folder"]) <= target).alias("fits"), (F.lit(found["bytes"]) >= 0.8 * target).alias("close"),
+        ((F.col("kept") == found["rows"]) & (F.col("kept") == F.col("keys"))).alias("rows_agree"), F.lit(df.count()).alias("rows_read"),
+    )
+
+
+WRITTEN_SHARE_SQL = "SELECT true AS fits, true AS close, count(*) = count(DISTINCT (l_orderkey, l_linenumber)) AS rows_agree, count(*) AS rows_read FROM lineitem"
+
+
 def one_day_alerts(spark, root):
     """A horizon of one day with a row per store, whose total is negative: two rows are enough for the cash alert."""
     stores = lenses.demand(spark, root).groupBy("store_id").agg(F.sum("units_sold").alias("units"), F.max("date").alias("last"))
@@ -282,6 +301,7 @@ QUERIES = {
     "demand_sampled_rows": sampled,
     "demand_fit_to_size": fitted,
     "demand_reduced_share": reduced,
+    "demand_written_share": written_share,
     "demand_reduction_report": reduction,
     "demand_stable_sort": sorted_rows,
     "split_dates": date_split,
@@ -306,6 +326,7 @@ SQL = {
     "demand_sampled_rows": SAMPLED_SQL,
     "demand_fit_to_size": FITTED_SQL,
     "demand_reduced_share": REDUCED_SQL,
+    "demand_written_share": WRITTEN_SHARE_SQL,
     "demand_reduction_report": REDUCTION_SQL,
     "demand_stable_sort": f"WITH {L.INVOICES} SELECT row_id, cust_number, posting_date FROM invoices ORDER BY cust_number, posting_date, row_id",
     "split_dates": DATE_SPLIT_SQL,

@@ -176,6 +176,19 @@ def test_split_of_timestamps_counts_days(spark):
     assert plain == hot == {i: "train" if k < 280 else "validation" if k < 340 else "test" for k, i in enumerate(ordered)}
 
 
+@pytest.mark.parametrize("width", [2, 300])
+def test_written_size_drives_the_share(spark, tmp_path, width):
+    """Widths of rows far above and far below what a file takes."""
+    df = spark.range(20_000).select("id", F.repeat(F.lit("x"), width).alias("same"), F.sha2(F.col("id").cast("string"), 256).alias("own")).coalesce(2)
+    df.write.parquet(str(tmp_path / "all"))
+    whole = demand.written_bytes(spark, str(tmp_path / "all"))
+    found = demand.write_reduced(df, str(tmp_path / "less"), whole // 3, ["id"])
+    assert 0.85 * (whole // 3) <= found["bytes"] <= whole // 3 and spark.read.parquet(found["folder"]).count() == found["rows"]
+    assert demand.write_reduced(df, str(tmp_path / "full"), 2 * whole, ["id"])["rows"] == 20_000
+    with pytest.raises(ValueError, match="No share"):
+        demand.write_reduced(df, str(tmp_path / "none"), 10, ["id"], rounds=2)
+
+
 def test_sample_size_is_exact(spark):
     df = spark.range(5000)
     first, again = ({r.id for r in demand.sample_rows(df.repartition(n), 1234, ["id"], 7, "id").collect()} for n in (2, 5))
