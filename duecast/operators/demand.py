@@ -178,18 +178,43 @@ def fit_to_size(df: DataFrame, limit_bytes: int, ids: Sequence[str], row_id: str
     }
 
 
-def fit_series_to_size(df: DataFrame, limit_bytes: int, row_id: str = "row_id") -> DataFrame:
-    """Newest rows per series within a byte limit. [T2]"""
-    rows, size, keep = rows_for_bytes(df, limit_bytes)
-    if size <= limit_bytes:
+#: Bins of one pass over the rank shares.
+SHARE_BINS = 4096
+
+
+def fit_series_to_size(df: DataFrame, limit_bytes: int, row_id: str = "row_id", rows_per_task: int = ROWS_PER_TASK, bins: int = SHARE_BINS) -> DataFrame:
+    """The newest rows of all series whose summed width stays within a byte limit. [T2]
+
+    Rows come in the order of their rank share: the newest row of every series first, then by rank from the newest over the
+    length of the series; ties go by the last series in key order, newest first. The kept rows are as many of the first as fit.
+    Two histograms of bytes over the share find the bin of the cut, and only its rows are ordered: three passes at any size.
+    """
+    ranked = add_prior_sums(df.withColumn("_bytes", row_bytes(df)), SERIES, [F.desc("date"), F.desc(row_id)], {"_newer": F.lit(1.0)}, rows_per_task)
+    sizes = df.groupBy(*[F.col(c).alias(f"_of_{c}") for c in SERIES]).agg(F.count("*").alias("_length"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in SERIES]
+    share = F.when(F.col("_newer") == 0, 0.0).otherwise((F.col("_newer") + 1) / F.col("_length"))
+    placed = materialize(ranked.join(sizes, same).select(*df.columns, "_bytes", share.alias("_share")), "rank-shares")
+
+    def passing(rows: DataFrame, place: Column, left: int) -> tuple[int | None, int]:
+        """The bin in which the limit is reached, and what is left of it there."""
+        for r in rows.groupBy(place.alias("bin")).agg(F.sum("_bytes").alias("bytes")).orderBy("bin").collect():  # one row per bin
+            if r["bytes"] > left:
+                return r["bin"], left
+            left -= r["bytes"]
+        return None, left
+
+    coarse = F.least(F.floor(F.col("_share") * bins), F.lit(bins - 1))
+    first, left = passing(placed, coarse, limit_bytes)
+    if first is None:
         return df
-    kept = keep_newest(df, keep, row_id)
-    _, kept_size, _ = rows_for_bytes(kept, limit_bytes)
-    while kept_size > limit_bytes and keep > 1:
-        keep = max(1, min(keep - 1, int(keep * limit_bytes / kept_size)))
-        kept = keep_newest(df, keep, row_id)
-        _, kept_size, _ = rows_for_bytes(kept, limit_bytes)
-    return kept
+    fine = F.least(F.floor((F.col("_share") * bins - first) * bins), F.lit(bins - 1))
+    inside = placed.where(coarse == first)
+    second, left = passing(inside, fine, left)
+    edge = inside.where(fine == second)
+    order = [F.col("_share"), *[F.desc(c) for c in SERIES], F.desc("date"), F.desc(row_id)]
+    cut = add_prior_sums(edge, [], order, {"_before": F.col("_bytes").cast("double")}, rows_per_task).where(F.col("_before") + F.col("_bytes") <= left)
+    kept = placed.where(coarse < first).unionByName(inside.where(fine < second))
+    return kept.select(df.columns).unionByName(cut.select(df.columns))
 
 
 def reduce_files(

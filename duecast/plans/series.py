@@ -229,6 +229,19 @@ ALERTS_SQL = f"""WITH f AS ({_flag_sql(2)})
   UNION ALL SELECT 'CRITICAL', 'Negative net cashflow', '2002-01-06', 'At least one projected period has negative net cashflow.', 'OPEN' FROM lineitem HAVING sum(l_quantity) > 0"""
 
 
+def newest_bytes(spark, root):
+    """The newest rows of all series within two fifths of the table's bytes."""
+    df = lenses.demand(spark, root).select(*KEYS, "units_sold")
+    return demand.fit_series_to_size(df, demand.rows_for_bytes(df, 0)[1] * 2 // 5, row_id="date")
+
+
+NEWEST_BYTES_SQL = f"""WITH {L.DEMAND},
+  w AS (SELECT date, store_id, product_id, units_sold, 16 + octet_length(encode(store_id)) + octet_length(encode(product_id)) AS b,
+          row_number() OVER (PARTITION BY store_id, product_id ORDER BY date DESC) AS rn, count(*) OVER (PARTITION BY store_id, product_id) AS n FROM demand),
+  c AS (SELECT *, sum(b) OVER (ORDER BY CASE WHEN rn = 1 THEN 0.0::DOUBLE ELSE rn::DOUBLE / n END, store_id DESC, product_id DESC, date DESC) AS upto, sum(b) OVER () AS total FROM w)
+  SELECT date, store_id, product_id, units_sold FROM c WHERE upto <= total * 2 // 5"""
+
+
 def written_share(spark, root):
     """Order lines written within half of the bytes that all of them take."""
     df = read(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
@@ -302,6 +315,7 @@ QUERIES = {
     "demand_fit_to_size": fitted,
     "demand_reduced_share": reduced,
     "demand_written_share": written_share,
+    "demand_newest_bytes": newest_bytes,
     "demand_reduction_report": reduction,
     "demand_stable_sort": sorted_rows,
     "split_dates": date_split,
@@ -327,6 +341,7 @@ SQL = {
     "demand_fit_to_size": FITTED_SQL,
     "demand_reduced_share": REDUCED_SQL,
     "demand_written_share": WRITTEN_SHARE_SQL,
+    "demand_newest_bytes": NEWEST_BYTES_SQL,
     "demand_reduction_report": REDUCTION_SQL,
     "demand_stable_sort": f"WITH {L.INVOICES} SELECT row_id, cust_number, posting_date FROM invoices ORDER BY cust_number, posting_date, row_id",
     "split_dates": DATE_SPLIT_SQL,

@@ -189,6 +189,25 @@ def test_written_size_drives_the_share(spark, tmp_path, width):
         demand.write_reduced(df, str(tmp_path / "none"), 10, ["id"], rounds=2)
 
 
+@pytest.mark.parametrize(("rows", "bins"), [(10**9, 4096), (9, 4), (5, 1)])
+def test_newest_rows_fill_the_byte_limit(spark, rows, bins):
+    """Any number of bins and segments finds the same cut, less than one row below the limit."""
+    df = _series(spark, 90, "a").unionByName(_series(spark, 8, "b")).unionByName(_series(spark, 1, "c")).withColumn("note", F.repeat(F.lit("x"), (F.col("units_sold") % 13).cast("int")))
+    widths = {(r[0], r[1]): r[2] for r in df.select("product_id", "date", demand.row_bytes(df)).collect()}
+    length = {p: sum(k[0] == p for k in widths) for p in "abc"}
+    rank = {k: sum(o[0] == k[0] and o[1] >= k[1] for o in widths) for k in widths}
+    order = sorted(widths, key=lambda k: (0 if rank[k] == 1 else rank[k] / length[k[0]], -ord(k[0]), -k[1].toordinal()))
+    for limit in (0, 60, 700, 2000, 10**9):
+        want, used = set(), 0
+        for k in order:
+            if used + widths[k] > limit:
+                break
+            want.add(k)
+            used += widths[k]
+        kept = demand.fit_series_to_size(df, limit, "date", rows, bins)
+        assert kept.columns == df.columns and {(r["product_id"], r["date"]) for r in kept.collect()} == want
+
+
 def test_sample_size_is_exact(spark):
     df = spark.range(5000)
     first, again = ({r.id for r in demand.sample_rows(df.repartition(n), 1234, ["id"], 7, "id").collect()} for n in (2, 5))
