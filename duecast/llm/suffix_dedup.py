@@ -5,16 +5,18 @@ anchor. Equal strings have equal anchors at the same place, so strings can only
 their anchor's hash, and the suffix sort can be dealt out by anchors without comparing across tasks:
 
 1. A document is cut into blocks, the runs of string starts with one anchor. Blocks with the same
-   bytes are collapsed in one sorted pass: all but the first are repeats as a whole. Blocks whose
-   anchor occurs once cannot repeat and are dropped.
-2. What is left, blocks with a shared anchor but other bytes around it, is sorted by the
-   difference-cover method: sort and name the triples at two of three positions, recurse on the names
+   bytes are collapsed: all but the first are repeats as a whole. Tasks settle most copies of frequent
+   blocks where they find them, so that one anchor sends a few rows a task; one sorted pass settles the
+   rest. Blocks whose anchor occurs once cannot repeat and are dropped.
+2. What is left, blocks with a shared anchor but other bytes around it, is sorted (where the 38 bytes on one
+   side of the anchor are shared too; else nothing of 100 bytes can be) by the difference-cover method: sort and name the triples at two of three positions, recurse on the names
    while they are not unique, sort the remaining suffixes by one letter and the rank behind it, and
    merge. Adjacent suffixes with the same first 100 bytes are equal strings; the earliest stays.
 3. Anchors with more than ``HOT_BLOCKS`` differing blocks would make one task large. Their strings
    are hashed (128 bits) and counted position by position with map-side combining instead.
 
-Only block borders, hashes and bytes of the differing blocks are shuffled, never whole texts.
+Block borders, hashes and the bytes of differing blocks are shuffled. Texts are shuffled once by document, for
+both joins (cutting out the blocks, and dropping the removed bytes); every size of input goes the same way.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duecast.llm import bytewords as bw
-from duecast.llm.ngram_join import BROADCAST_ROWS, batch_limits
+from duecast.llm.ngram_join import batch_limits
 from duecast.session import materialize
 
 LENGTH = 100
@@ -36,6 +38,8 @@ GRAM = 24
 HOT_BLOCKS = 16_000
 #: Bytes sorted at a time, beside those of the anchor that passes it; blocks of one anchor always stay together.
 SORT_BYTES = 300_000
+#: Frequent blocks that a task remembers, 40 bytes each. Beyond it more copies go to the sorted pass; the result is the same.
+REMEMBERED = 200_000
 _U = np.uint64
 _TOP = _U(2**64 - 1)
 
@@ -85,13 +89,65 @@ def blocks(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, first - ends[row], last - ends[row], grams[anchor].astype(np.int64), inner.astype(np.int64)
 
 
+class _Frequent:
+    """Blocks found several times by one task, with the earliest row at that time, which was sent on as open."""
+
+    def __init__(self) -> None:
+        self.keys = np.zeros(0, _U)
+        self.rows = np.zeros((0, 5), np.int64)
+
+    def settle(self, rows: np.ndarray) -> np.ndarray:
+        """Marks rows (anchor, inner, id, same, first) that repeat an earlier block of this task."""
+        keys = bw.chain(rows[:, 0].astype(_U), rows[:, 1].astype(_U))
+        order = np.argsort(keys)
+        keys = keys[order]
+        several = np.zeros(len(rows), bool)
+        several[1:] = keys[1:] == keys[:-1]
+        several[:-1] |= several[1:]
+        marked = np.zeros(len(rows), bool)
+        heads, at = order[~several], keys[~several]
+        again = order[several]
+        if len(again):
+            again = again[np.lexsort(rows[again].T[::-1])]
+            sorted_ = rows[again]
+            opens = np.ones(len(again), bool)
+            opens[1:] = (sorted_[1:, :2] != sorted_[:-1, :2]).any(axis=1)
+            starts = np.flatnonzero(opens)
+            least = np.repeat(starts, np.diff(np.append(starts, len(again))))
+            marked[again] = (sorted_ != sorted_[least]).any(axis=1)  # the same row again is not a repeat
+            again = again[starts]
+            heads, at = np.concatenate([heads, again]), np.concatenate([at, bw.chain(rows[again, 0].astype(_U), rows[again, 1].astype(_U))])
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+            met = np.flatnonzero(self.keys[place] == at)
+            known, here = self.rows[place[met]], rows[heads[met]]
+            before = known[:, 2] < here[:, 2]
+            for k in (3, 4):
+                before |= (known[:, 2:k] == here[:, 2:k]).all(axis=1) & (known[:, k] < here[:, k])
+            marked[heads[met[before & (known[:, :2] == here[:, :2]).all(axis=1)]]] = True
+        again = again[: max(0, REMEMBERED - len(self.keys))]
+        if len(again):
+            fresh = bw.chain(rows[again, 0].astype(_U), rows[again, 1].astype(_U))
+            self.keys, kept = np.unique(np.concatenate([self.keys, fresh]), return_index=True)
+            self.rows = np.concatenate([self.rows, rows[again]])[kept]
+        return marked
+
+
 def _find_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, inner, id, same, first, last) of every block; settled repeats have -1 - last, and a key of their place as anchor."""
+    frequent = _Frequent()
     for batch in batches:
         raw, ends = bw.text_buffer(batch.column(2))
         ids, same = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for a, b in bw.chunks(ends, 2 << 20):
             row, first, last, anchor, inner = blocks(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, inner, ids[a + row], same[a + row], first, last)], names=["anchor", "inner", "id", "same", "first", "last"])
+            if not len(row):
+                continue
+            id_, same_ = ids[a + row], same[a + row]
+            settled = frequent.settle(np.stack([anchor, inner, id_, same_, first], axis=1))
+            anchor = np.where(settled, bw.chain(id_.astype(_U), first.astype(_U)).astype(np.int64), anchor)
+            inner, last = np.where(settled, 0, inner), np.where(settled, -1 - last, last)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, inner, id_, same_, first, last)], names=["anchor", "inner", "id", "same", "first", "last"])
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +157,13 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+        settled = rows[:, 5] < 0
+        if settled.any():
+            done, rows = rows[settled], rows[~settled]
+            done[:, 5] = -1 - done[:, 5]
+            yield _flagged(done, done[:0])
+            if not len(rows):
+                continue
         if before is not None:
             rows = np.concatenate([before[None], rows])
         fresh = np.ones(len(rows), bool)
@@ -205,6 +268,29 @@ def later_strings(raw: np.ndarray, ends: np.ndarray, order: np.ndarray) -> tuple
     return owner[later], offset[later]
 
 
+def may_repeat(raw: np.ndarray, ends: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """Whether a block can share a 100-byte string with another of its anchor.
+
+    Such a string reaches at least half of what it has beside the anchor to the left or to the right of it; blocks whose
+    anchor with that much on its left is met nowhere else, nor with that much on its right, share none.
+    """
+    reach, count = (LENGTH - GRAM + 1) // 2, len(ends) - 1
+    sums, back = _running(raw)
+    grams = bw.mix((sums[GRAM:] - sums[: len(raw) - GRAM + 1]) * back[: len(raw) - GRAM + 1])
+    owner = np.repeat(np.arange(count), np.diff(ends))[: len(grams)]
+    hits = np.flatnonzero(grams == anchors[owner].astype(_U))
+    hits = hits[hits + GRAM <= ends[owner[hits] + 1]]
+    # Any place of the anchor in the block may be the one; all of them are compared.
+    block = owner[hits]
+    keep = np.zeros(count, bool)
+    for start, stop in ((hits - reach, hits + GRAM), (hits, hits + GRAM + reach)):
+        inside = np.flatnonzero((start >= ends[block]) & (stop <= ends[block + 1]))
+        side = bw.mix((sums[stop[inside]] - sums[start[inside]]) * back[start[inside]])
+        _, names, times = np.unique(side, return_inverse=True, return_counts=True)
+        keep[block[inside[times[names] > 1]]] = True
+    return keep
+
+
 def _runs(block: np.ndarray, offset: np.ndarray, ids: np.ndarray, same: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
     """Starts in a row as (id, same, first, last)."""
     order = np.lexsort((offset, block))
@@ -228,10 +314,13 @@ def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = table.column(4).combine_chunks().cast(pa.large_binary())
         _, offsets, data = column.buffers()
         ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-        raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+        raw, ends = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+        keep = may_repeat(raw, ends, table.column(0).to_numpy())
+        raw, ends = raw[np.repeat(keep, np.diff(ends))], np.concatenate([[0], np.cumsum(np.diff(ends)[keep])])
+        ids, same, first = ids[keep], same[keep], first[keep]
         order = np.empty(len(ids), np.int64)
         order[np.lexsort((first, same, ids))] = np.arange(len(ids))
-        return _runs(*later_strings(raw, ends - ends[0], order), ids, same, first)
+        return _runs(*later_strings(raw, ends, order), ids, same, first)
 
     for batch in batches:
         held.append(batch)
@@ -324,12 +413,6 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), spans, pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
-def _hinted(df: DataFrame, items: str) -> DataFrame:
-    """Broadcast where rows and the listed items in them stay under the bound."""
-    total = df.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size(items)), F.lit(0))).first()[0]
-    return F.broadcast(df) if total <= BROADCAST_ROWS else df
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans, kept): UTF-8 bytes without those covered by a 100-byte string that starts earlier.
 
@@ -348,25 +431,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     collapsed = found.repartition("anchor").sortWithinPartitions(*order).mapInArrow(_collapse, "whole boolean, anchor long, id long, same long, first long, last long")
     collapsed = materialize(collapsed, "blocks")
     differing = collapsed.where("not whole")
-    hot = materialize(differing.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_BLOCKS), "hot-anchors")
-    wanted = materialize(differing.groupBy("id", "same").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("wanted")), "differing-blocks")
-    texts = keyed.select("id", "same", "text").join(_hinted(wanted, "wanted"), ["id", "same"]).select("id", "same", "text", "wanted")
-    pieces = texts.mapInArrow(_cut_out, "anchor long, id long, same long, first long, bytes binary")
-    pieces = pieces if unique else pieces.distinct()
-    runs = "id long, same long, first long, last long"
-    if hot.isEmpty():
-        crowded, calm = None, pieces
-    else:
-        pieces = materialize(pieces, "block-bytes")
-        crowded, calm = pieces.join(hot, "anchor", "left_semi"), pieces.join(hot, "anchor", "left_anti")
-    later = calm.repartition("anchor").sortWithinPartitions("anchor", "id", "same", "first").select("anchor", "id", "same", "first", "bytes").mapInArrow(_sort_blocks, runs)
+    hot = materialize(differing.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_BLOCKS).select("anchor"), "hot-anchors")
+    # Texts, and the lists that are joined to them, meet by merge joins at every size: all of them read one shuffle of the texts.
+    texts = keyed.select("doc_id", "id", "same", "text")
+
+    def cut_out(chosen: DataFrame) -> DataFrame:
+        wanted = chosen.groupBy("id", "same").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("wanted"))
+        met = texts.join(wanted.hint("merge"), ["id", "same"]).select("id", "same", "text", "wanted", "doc_id")
+        pieces = met.mapInArrow(_cut_out, "anchor long, id long, same long, first long, bytes binary")
+        return pieces if unique else pieces.distinct()
+
+    crowded = not hot.isEmpty()
+    calm = cut_out(differing.join(hot, "anchor", "left_anti") if crowded else differing)
+    later = calm.repartition("anchor").sortWithinPartitions("anchor", "id", "same", "first").mapInArrow(_sort_blocks, "id long, same long, first long, last long")
     covered = collapsed.where("whole").select("id", "same", "first", "last").unionByName(later)
-    if crowded is not None:
-        strings = crowded.select("anchor", "id", "same", "first", "bytes").mapInArrow(_hash_strings, "h1 long, h2 long, id long, same long, at long")
+    if crowded:
+        strings = cut_out(differing.join(hot, "anchor", "left_semi")).mapInArrow(_hash_strings, "h1 long, h2 long, id long, same long, at long")
         earliest = strings.groupBy("h1", "h2").agg(F.min(F.struct("id", "same", "at")).alias("earliest"))
         again = strings.join(earliest, ["h1", "h2"]).where(F.struct("id", "same", "at") != F.col("earliest"))
         covered = covered.unionByName(again.select("id", "same", F.col("at").alias("first"), F.col("at").alias("last")))
     merged = covered.repartition("id", "same").sortWithinPartitions("id", "same", "first", "last").select("id", "same", "first", "last").mapInArrow(_merge, "id long, same long, start long, stop long")
-    spans = materialize(merged.groupBy("id", "same").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans")), "removed-spans")
-    joined = keyed.join(_hinted(spans, "spans"), ["id", "same"], "left").select("doc_id", "text", "spans")
+    spans = merged.groupBy("id", "same").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    joined = texts.join(spans.hint("merge"), ["id", "same"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_keep, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")

@@ -193,9 +193,10 @@ def test_url_filter_against_all_rules(spark):
         assert got[i] == (max(fit)[1:] if fit else (None, "allow"))
 
 
-@pytest.mark.parametrize("hot", [16_000, 1])
-def test_remove_repeats(spark, docs, rows, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot)
+@pytest.mark.parametrize(("hot", "size", "remembered"), [(16_000, 300_000, 200_000), (1, 300_000, 1), (16_000, 200, 0)])
+def test_remove_repeats(spark, docs, rows, monkeypatch, hot, size, remembered):
+    for name, value in (("HOT_BLOCKS", hot), ("SORT_BYTES", size), ("REMEMBERED", remembered)):
+        monkeypatch.setattr(suffix_dedup, name, value)
     table = docs.unionByName(spark.createDataFrame([(200, "é" * 300, "", "", 0, 0.0), (201, rows[5][1][:99], "", "", 0, 0.0), (202, "z" + rows[5][1][:150] + "é" * 60, "", "", 0, 0.0)], SCHEMA))
     want = plain.removed([(r[0], r[1]) for r in rows] + [(200, "é" * 300), (201, rows[5][1][:99]), (202, "z" + rows[5][1][:150] + "é" * 60)])
     got = suffix_dedup.remove_repeats(table).select("doc_id", "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["stop"] - s["start"]).alias("n"), F.size("spans").alias("s"), F.sha2("kept", 256).alias("h")).collect()
@@ -205,6 +206,31 @@ def test_remove_repeats(spark, docs, rows, monkeypatch, hot):
     assert suffix_dedup.remove_repeats(table.limit(0)).count() == 0
 
 
+def test_frequent_blocks_are_settled_once():
+    """All but the earliest of equal blocks may be settled, never the earliest; a row that comes again is open both times."""
+    rng = np.random.default_rng(5)
+    rows = np.stack([rng.integers(0, 4, 900), rng.integers(0, 3, 900), rng.integers(0, 200, 900), np.zeros(900, np.int64), rng.integers(0, 2, 900)], axis=1)
+    frequent = suffix_dedup._Frequent()
+    settled = np.concatenate([frequent.settle(rows[a : a + 90]) for a in range(0, 900, 90)])
+    for key in np.unique(rows[:, :2], axis=0):
+        own = (rows[:, :2] == key).all(axis=1)
+        least = min(map(tuple, rows[own][:, 2:]))
+        assert not any(done for done, row in zip(settled[own], rows[own], strict=True) if tuple(row[2:]) == least)
+    assert settled.sum() > 700
+
+
+def test_blocks_without_a_shared_side_are_left_out():
+    rng = np.random.default_rng(6)
+    gram = rng.integers(0, 256, suffix_dedup.GRAM).astype(np.uint8)
+    shared = rng.integers(0, 256, 60).astype(np.uint8)
+    ends_of = [rng.integers(0, 256, 60).astype(np.uint8) for _ in range(5)]
+    texts = [np.concatenate(x) for x in ((ends_of[0], gram, shared), (ends_of[1], gram, shared), (ends_of[2], gram, ends_of[3]), (shared, gram, ends_of[4]))]
+    sums, back = suffix_dedup._running(gram)
+    anchor = bytewords.mix((sums[-1:] - sums[:1]) * back[:1]).astype(np.int64)
+    ends = np.cumsum([0, *map(len, texts)])
+    assert suffix_dedup.may_repeat(np.concatenate(texts), ends, np.repeat(anchor, 4)).tolist() == [True, True, False, False]
+
+
 @pytest.mark.parametrize(("n", "letters"), [(1, 2), (2, 2), (3, 1), (10, 1), (100, 2), (301, 3), (1000, 200)])
 def test_suffix_array(n, letters):
     s = np.random.default_rng(n).integers(1, letters + 1, n)
