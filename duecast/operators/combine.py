@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from duecast.functions.values import NUMBER_TEXT, order_key, parse_date, safe_id, signature
 from duecast.operators.features import loan_layout
+from duecast.session import materialize
 
 # Settings of a company without a profile.
 PROFILE_DEFAULTS = {"currency": "TND", "language": "English", "review_threshold": 0.5, "high_risk_threshold": 0.6, "require_human_approval": True}
@@ -55,36 +56,46 @@ def column_kinds(df: DataFrame, share: float = 0.95) -> DataFrame:
         ]
         n = F.col(f"n{i}")
         kind = F.when(n == 0, "empty").when(F.col(f"num{i}") >= share * n, "numeric").when(F.col(f"day{i}") >= share * n, "datetime")
-        rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(plain_name(c)).alias("key"), kind.otherwise("text").alias("kind"), n.alias("filled")))
-    return df.agg(*exprs).select(F.inline(F.array(*rows)))
+        rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(plain_name(c)).alias("key"), kind.otherwise("text").alias("kind"), n.alias("filled"), F.col("rows")))
+    return df.agg(F.count(F.lit(1)).alias("rows"), *exprs).select(F.inline(F.array(*rows)))
+
+
+def structures(kinds: DataFrame) -> DataFrame:
+    """(file, rows, found) per file from (file, rows, key, column_name, kind); ``found`` lists the file's columns. [S5]"""
+    return kinds.groupBy("file").agg(F.max("rows").alias("rows"), F.sort_array(F.collect_list(F.struct("key", "column_name", "kind"))).alias("found"))
+
+
+def compare_structures(found: DataFrame, first: str) -> DataFrame:
+    """Columns and kinds of each file against those of the file ``first``, one row per file. [S5]"""
+    base = found.where(F.col("file") == first).select("found").scalar()
+    compared = found.withColumn("expected", base)
+    here, there = F.col("found"), F.col("expected")
+
+    def only(left: Column, right: Column) -> Column:
+        lone = F.filter(left, lambda x: ~F.exists(right, lambda y: y["key"] == x["key"]))
+        return F.array_sort(F.transform(lone, lambda x: x["column_name"]))
+
+    def differ(x: Column, y: Column) -> Column:
+        return (x["key"] == y["key"]) & (x["kind"] != y["kind"]) & (x["kind"] != "empty") & (y["kind"] != "empty")
+
+    def clashes(x: Column) -> Column:
+        return F.transform(F.filter(here, lambda y: differ(x, y)), lambda y: F.concat(y["column_name"], F.lit(": expected "), x["kind"], F.lit(", found "), y["kind"]))
+
+    clash = F.array_sort(F.flatten(F.transform(there, clashes)))
+    compared = compared.withColumns({"missing": only(there, here), "extra": only(here, there), "clash": clash})
+    return compared.select(
+        "file", "rows", F.size("found").alias("columns"), ((F.size("missing") == 0) & (F.size("extra") == 0) & (F.size("clash") == 0)).alias("compatible"),
+        F.array_join("missing", ", ").alias("missing_columns"), F.array_join("extra", ", ").alias("extra_columns"), F.array_join("clash", "; ").alias("type_mismatches"),
+    )
 
 
 def compatibility(files: Mapping[str, DataFrame]) -> DataFrame:
-    """Columns and kinds of each file against the first one, one row per file. [S5]"""
-    first = next(iter(files))
-    kinds = {name: {r["key"]: r for r in column_kinds(df).collect()} for name, df in files.items()}
-    base, parts = kinds[first], []
-    for name, df in files.items():
-        here = kinds[name]
-        missing = sorted(base[k]["column_name"] for k in base.keys() - here.keys())
-        extra = sorted(here[k]["column_name"] for k in here.keys() - base.keys())
-        clash = [
-            f"{here[k]['column_name']}: expected {base[k]['kind']}, found {here[k]['kind']}"
-            for k in base
-            if k in here and "empty" not in (base[k]["kind"], here[k]["kind"]) and base[k]["kind"] != here[k]["kind"]
-        ]
-        parts.append(
-            df.agg(F.lit(name).alias("file"), F.count("*").alias("rows")).withColumns(
-                {
-                    "columns": F.lit(len(df.columns)),
-                    "compatible": F.lit(not (missing or extra or clash)),
-                    "missing_columns": F.lit(", ".join(missing)),
-                    "extra_columns": F.lit(", ".join(extra)),
-                    "type_mismatches": F.lit("; ".join(sorted(clash))),
-                }
-            )
-        )
-    return _union(parts)
+    """Columns and kinds of each file against the first one, one row per file. [S5]
+
+    The structures of all files are found by one job, whatever their number; nothing of them passes the driver.
+    """
+    kinds = [column_kinds(df).withColumn("file", F.lit(name)) for name, df in files.items()]
+    return compare_structures(materialize(structures(_union(kinds)), "structures"), next(iter(files)))
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -106,6 +117,43 @@ def combine_files(files: Mapping[str, DataFrame]) -> DataFrame:
     return _union(parts)
 
 
+def cell_kinds(cells: DataFrame, headers: DataFrame, share: float = 0.95) -> DataFrame:
+    """(file, rows, key, column_name, kind) of every column of many files, from one pass over their cells. [S5, A18]
+
+    ``cells`` has (file, cells), ``headers`` (file, header); cells are counted per file and position with map-side combining.
+    """
+    value = F.col("value")
+    counts = cells.select("file", F.posexplode("cells").alias("position", "value")).groupBy("file", "position").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(value).alias("n"), F.count_if(value.rlike(NUMBER_TEXT)).alias("numbers"), F.count_if(parse_date(value).isNotNull()).alias("days")
+    )
+    named = headers.select("file", F.posexplode("header").alias("position", "column_name")).where(F.col("column_name").isNotNull())
+    n = F.coalesce("n", F.lit(0))
+    kind = F.when(n == 0, "empty").when(F.col("numbers") >= share * n, "numeric").when(F.col("days") >= share * n, "datetime").otherwise("text")
+    return named.join(counts, ["file", "position"], "left").select("file", F.coalesce("rows", F.lit(0)).alias("rows"), plain_key(F.col("column_name")).alias("key"), "column_name", kind.alias("kind"))
+
+
+def plain_key(header: Column) -> Column:
+    """``plain_name`` as an expression."""
+    return F.regexp_replace(F.lower(F.trim(header)), "[^a-z0-9]+", "")
+
+
+def combine_cells(cells: DataFrame, headers: DataFrame) -> DataFrame:
+    """Rows of many files under the columns of the file whose name comes first, tagged ``_source_file``. [S4, U1]
+
+    Every cell finds its column by the header of its own file; the number of jobs and of plan branches does not grow with the files.
+    """
+    found = materialize(structures(cell_kinds(cells, headers)), "structures")
+    first = headers.orderBy("file").first()
+    if first is None:
+        raise ValueError("No file was read.")
+    if not compare_structures(found, first["file"]).where("not compatible").isEmpty():
+        raise ValueError("The files do not have the same structure.")
+    keyed = headers.select("file", F.transform("header", plain_key).alias("_keys"))
+    named = cells.join(keyed, "file")
+    columns = [F.get("cells", F.array_position("_keys", F.lit(plain_name(c))).cast("int") - 1).alias(c.strip()) for c in first["header"] if c is not None]
+    return named.select(*columns, F.col("file").alias("_source_file"))
+
+
 def append_future(history: DataFrame, future: DataFrame) -> DataFrame:
     """History and future rows in one table; cells a side lacks are NULL. [U2]"""
     return history.unionByName(future, allowMissingColumns=True)

@@ -337,31 +337,22 @@ def split_stratified(
 ) -> DataFrame:
     """``split`` with the same class shares in every part. [M2]
 
-    As in ``sample_rows``, hash buckets are counted per class and only those in which a cut
-    falls are ranked.
+    As in ``sample_rows``, hash buckets are counted per class and only those in which a cut falls are ranked. The cut points
+    are a table, one row per class, joined back by value: nothing of the classes passes the driver, however many there are.
     """
     keyed = df.withColumn("_hash", order_key([F.col(c) for c in ids], seed))
     keyed = keyed.withColumn("_bucket", F.shiftright("_hash", 60 - _bucket_bits(df.count())))
-    counts = keyed.groupBy(label, "_bucket").count().orderBy(label, "_bucket").collect()  # classes x buckets
-    per_class: dict = {}
-    for r in counts:
-        per_class.setdefault(r[label], []).append((r["_bucket"], r["count"]))
-    edges = []
-    for value, buckets in per_class.items():
-        total, seen = sum(n for _, n in buckets), 0
-        targets = [int(total * c + 0.5) for c in cuts]
-        for bucket, n in buckets:
-            for i, target in enumerate(targets):
-                if seen < target <= seen + n:
-                    edges.append((value, i, bucket, target - seen))
-            seen += n
-        edges += [(value, i, -1, 0) for i, target in enumerate(targets) if target == 0]
-    table = df.sparkSession.createDataFrame(
-        [(v, *[x for i in range(len(cuts)) for e in edges if e[0] == v and e[1] == i for x in e[2:]]) for v in per_class],
-        f"_class {dict(df.dtypes)[label]}, " + ", ".join(f"_b{i} bigint, _o{i} bigint" for i in range(len(cuts))),
-    )
-    # One row per class.
-    joined = keyed.join(F.broadcast(table), F.col(label).eqNullSafe(F.col("_class")))
+    counts = keyed.groupBy(F.col(label).alias("_class"), "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    of_class = Window.partitionBy("_class")  # at most 65536 counts
+    upto = F.sum("_n").over(of_class.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.withColumns({"_upto": upto, "_total": F.sum("_n").over(of_class)}).withColumn("_before", F.col("_upto") - F.col("_n"))
+    points = []
+    for i, cut in enumerate(cuts):
+        target = F.floor(F.col("_total") * F.lit(float(cut)) + 0.5)
+        here = (F.col("_before") < target) & (target <= F.col("_upto"))
+        points += [F.coalesce(F.max(F.when(here, F.col("_bucket"))), F.lit(-1)).alias(f"_b{i}"), F.coalesce(F.max(F.when(here, target - F.col("_before"))), F.lit(0)).alias(f"_o{i}")]
+    table = materialize(placed.groupBy("_class").agg(*points), "class-cuts")
+    joined = keyed.join(table, F.col(label).eqNullSafe(F.col("_class")))
     edge = F.lit(False)
     for i in range(len(cuts)):
         edge = edge | (F.col("_bucket") == F.col(f"_b{i}"))

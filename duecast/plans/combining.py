@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from duecast.operators import combine, scoring
 from duecast.plans import lens_sql as L
 from duecast.plans.scalars import LOAN_SELECT
+from duecast.session import scratch_path
 from duecast.sources import lenses
+from duecast.sources.files import read_cells
 from duecast.sources.tables import read
 
 
@@ -28,6 +30,37 @@ COMBINED_SQL = """SELECT f AS _source_file, count(*) AS rows, CAST(sum(o_orderke
   FROM orders, (VALUES ('first.csv'), ('second.csv')) v(f) GROUP BY f"""
 
 
+def _written_files(spark, root, extra=False):
+    """The files of ``_files`` as delimited text under one folder, each in several parts with a header of its own."""
+    files = _files(spark, root)
+    if extra:
+        files["third.csv"] = files["first.csv"].select(F.col("o_orderkey").alias("o orderkey"), F.concat(F.lit("EUR "), F.col("o_totalprice")).alias("o_totalprice"), F.lit(1).alias("note"))
+    path = scratch_path(spark, "delimited")
+    for name, df in files.items():
+        df.write.option("header", True).csv(f"{path}/{name}")
+    return read_cells(spark, f"{path}/*", width=3)
+
+
+def combined_cells(spark, root):
+    """All parts read at once; columns found by the header of each part."""
+    out = combine.combine_cells(*_written_files(spark, root))
+    return out.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("o_totalprice").cast("double").alias("o_totalprice"), F.substring("order date", 1, 10).alias("day"))
+
+
+COMBINED_CELLS_SQL = """SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders
+  UNION ALL SELECT o_orderkey, CAST(o_totalprice AS DOUBLE), strftime(o_orderdate, '%Y-%m-%d') FROM orders"""
+
+
+def cell_structures(spark, root):
+    """Kinds of all columns of three kinds of files, from one pass over their cells."""
+    kinds = combine.cell_kinds(*_written_files(spark, root, extra=True))
+    return kinds.groupBy("key", "kind").agg(F.sum("rows").cast("bigint").alias("rows"))
+
+
+CELL_STRUCTURES_SQL = """SELECT key, kind, files * (SELECT count(*) FROM orders) AS rows
+  FROM (VALUES ('oorderkey', 'numeric', 3), ('ototalprice', 'numeric', 2), ('orderdate', 'datetime', 2), ('ototalprice', 'text', 1), ('note', 'numeric', 1)) v(key, kind, files)"""
+
+
 def compatible(spark, root):
     files = _files(spark, root)
     files["third.csv"] = files["first.csv"].select(
@@ -188,6 +221,8 @@ KINDS_SQL = """SELECT column_name, 'plain' AS source, kind, (SELECT count(*) FRO
 QUERIES = {
     "combine_files": combined,
     "combine_compatibility": compatible,
+    "combine_many_files": combined_cells,
+    "combine_cell_kinds": cell_structures,
     "combine_column_kinds": lambda s, r: combine.column_kinds(read(s, r, "orders")).select("column_name", F.lit("plain").alias("source"), "kind", "filled"),
     "combine_adapted_rollup": rolled,
     "combine_source_families": families,
@@ -203,6 +238,8 @@ QUERIES = {
 SQL = {
     "combine_files": COMBINED_SQL,
     "combine_compatibility": COMPATIBLE_SQL,
+    "combine_many_files": COMBINED_CELLS_SQL,
+    "combine_cell_kinds": CELL_STRUCTURES_SQL,
     "combine_column_kinds": KINDS_SQL,
     "combine_adapted_rollup": ROLLED_SQL,
     "combine_source_families": FAMILIES_SQL,

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from duecast.functions.values import as_double, days_between, parse_spreadsheet_date
 from duecast.operators.combine import clean_headers, plain_name
+from duecast.session import materialize
 
 
 BROKEN_CHARACTER = "\ufffd"
@@ -43,6 +44,25 @@ def read_delimited(
     return fill_outcomes(df) if with_outcomes else df
 
 
+def read_cells(spark: SparkSession, path: str, sep: str = ",", width: int = 256, encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
+    """All delimited files under a path by one read: (file, cells) of every row, and (file, header) of every file. [S4, S5]
+
+    Files may order and spell their columns differently; a header has at most ``width`` cells, more are refused. Lines equal to their
+    file's header are not rows; files without a line are not listed. Headers, one row a file, are written to the shared folder.
+    """
+    names = [f"c{i}" for i in range(width + 1)]
+    schema = StructType([StructField(n, StringType()) for n in names])
+    raw = spark.read.schema(schema).option("sep", sep).option("encoding", encoding).csv(path)
+    lines = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.array(*names).alias("cells"))
+    top = lines.withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("cells", F.struct("start", "at")).alias("line"))
+    last = F.array_max(F.transform("line", lambda x, i: F.when(x.isNotNull(), i + 1)))
+    headers = materialize(top.select("file", "line", F.slice("line", 1, F.coalesce(last, F.lit(0))).alias("header")), "headers")
+    if not headers.where(F.size("header") > width).isEmpty():
+        raise ValueError(f"A header has more than {width} cells.")
+    rows = lines.join(headers, "file").where(F.col("cells") != F.col("line"))
+    return rows.select("file", F.slice("cells", 1, F.size("header")).alias("cells")), headers.select("file", "header")
+
+
 def fill_outcomes(df: DataFrame) -> DataFrame:
     """``delay_days`` and ``is_late`` from clearing and due dates, only where they are blank. [S3, X3, X11]"""
     by_key = {plain_name(c): c for c in df.columns}

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from duecast.operators import combine, filters, profile, quality, skew
+from duecast.operators import combine, demand, filters, profile, quality, skew
 from duecast.operators.features import CREDIT_FEATURES, add_money_fields, choose_target
 from duecast.sources import files, workspace
 
@@ -185,3 +185,57 @@ def test_repeated_rows_tell_missing_cells_apart(spark):
 
     df = spark.createDataFrame([(1, None), (None, 1), (1, None), (1, 1)], "a int, b int")
     assert quality_report(df).first()["duplicate_rows"] == 1
+
+
+def test_many_files_by_one_read(spark, tmp_path):
+    """Columns are found by each file's own header, in whatever order and spelling; short rows end in missing cells."""
+    texts = {"a.csv": "Order Date,Amount\n2024-01-01,1\n2024-01-02,\n", "b.csv": "amount,order_date\n7,2024-02-01\namount,order_date\n8\n", "c.csv": "AMOUNT,ORDER DATE\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    cells, headers = files.read_cells(spark, str(tmp_path), width=2)
+    assert {r["file"].rsplit("/", 1)[1]: r["header"] for r in headers.collect()} == {"a.csv": ["Order Date", "Amount"], "b.csv": ["amount", "order_date"], "c.csv": ["AMOUNT", "ORDER DATE"]}
+    got = combine.combine_cells(cells, headers)
+    assert got.columns == ["Order Date", "Amount", "_source_file"]
+    assert sorted((r[0] or "", r[1] or "", r[2].rsplit("/", 1)[1]) for r in got.collect()) == [
+        ("", "8", "b.csv"), ("2024-01-01", "1", "a.csv"), ("2024-01-02", "", "a.csv"), ("2024-02-01", "7", "b.csv")
+    ]
+    kinds = {(r["file"][-5:], r["key"]): (r["kind"], r["rows"]) for r in combine.cell_kinds(cells, headers).collect()}
+    assert kinds == {
+        ("a.csv", "orderdate"): ("datetime", 2), ("a.csv", "amount"): ("numeric", 2), ("b.csv", "orderdate"): ("datetime", 2), ("b.csv", "amount"): ("numeric", 2),
+        ("c.csv", "orderdate"): ("empty", 0), ("c.csv", "amount"): ("empty", 0),
+    }
+
+
+def test_many_files_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("x,z\n1,2\n")
+    with pytest.raises(ValueError, match="same structure"):
+        combine.combine_cells(*files.read_cells(spark, str(tmp_path), width=4))
+    with pytest.raises(ValueError, match="more than 1 cells"):
+        files.read_cells(spark, str(tmp_path), width=1)
+
+
+def test_structures_take_the_same_jobs_for_any_number_of_files(spark):
+    one = spark.range(3).select(F.col("id").cast("string").alias("x"))
+
+    def jobs(count):
+        group = f"structures-{count}"
+        spark.sparkContext.setJobGroup(group, group)
+        report = combine.compatibility({f"f{i}": one for i in range(count)})
+        assert report.count() == count
+        found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found
+
+    first = jobs(2)
+    assert jobs(12) <= first + 1  # adaptive execution may plan one more shuffle stage, never one per file
+
+
+def test_split_over_many_classes(spark):
+    """Shares hold in each of 3000 classes, a missing class included."""
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 3001 > 0, F.col("id") % 3001).alias("k"))
+    parts = demand.split_stratified(df, "k", ["id"]).groupBy("k", "split").count().groupBy("k").pivot("split", ["train", "validation", "test"]).sum("count").fillna(0, ["train", "validation", "test"]).collect()
+    assert len(parts) == 3001
+    for r in parts:
+        n = r["train"] + r["validation"] + r["test"]
+        assert (r["train"], r["train"] + r["validation"]) == (int(n * 0.7 + 0.5), int(n * 0.85 + 0.5))
