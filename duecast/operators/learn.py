@@ -6,7 +6,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -24,7 +24,7 @@ from duecast.operators.filters import known_outcomes
 from duecast.operators.history import CLEAR_NAMES, DUE_NAMES, HISTORY_FEATURES, POSTING_NAMES, add_training_history, find_column
 from duecast.operators.sketches import column_facts
 from duecast.operators.skew import add_prior_sums
-from duecast.session import materialize
+from duecast.session import materialize, scratch_path
 
 SEED = 42
 
@@ -126,6 +126,19 @@ def prepare_vectors(train: DataFrame, stages: Sequence, keep: Sequence[str]) ->
     return fitted, materialize(fitted.transform(train).select("features", *keep), "vectors")
 
 
+def fit_learner(estimator, rows: DataFrame) -> Model:
+    """A fitted learner without the summary of its training.
+
+    Such a summary holds the session, which cannot be sent to tasks once an ``Observation`` was used in it. A stored model has none.
+    """
+    model = estimator.fit(rows)
+    if not getattr(model, "hasSummary", False):
+        return model
+    path = scratch_path(rows.sparkSession, "learner")
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def fit_classifier(
     train: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], algorithm: str, overrides: Mapping | None = None,
     min_frequency: int = 5, balanced: bool | None = None,
@@ -142,7 +155,7 @@ def fit_classifier(
     if algorithm == "Logistic Regression":
         settings.setdefault("regParam", 1.0 / (LOGISTIC_C * max(rows.agg(F.sum("weight")).first()[0] or 1.0, 1.0)))
     estimator = _estimator(CLASSIFIERS, algorithm, settings, featuresCol="features", labelCol=label, weightCol="weight")
-    return PipelineModel(stages=[*fitted.stages, estimator.fit(rows)])
+    return PipelineModel(stages=[*fitted.stages, fit_learner(estimator, rows)])
 
 
 MEASURES = ["accuracy", "precision", "recall", "f1", "specificity", "balanced_accuracy", "mcc", "roc_auc", "pr_auc", "brier"]
@@ -263,7 +276,7 @@ def train_demand_models(
         # The penalty of the mean squared error that equals one of the summed squared error.
         settings = {**({"regParam": RIDGE_ALPHA / max(sizes.get("train", 1), 1)} if name == "Ridge" else {}), **(overrides or {})}
         estimator = _estimator(REGRESSORS, name, settings, featuresCol="features", labelCol=target)
-        models[name] = PipelineModel(stages=[*fitted.stages, estimator.fit(vectors)])
+        models[name] = PipelineModel(stages=[*fitted.stages, fit_learner(estimator, vectors)])
         figures = {}
         for part, rows in parts.items():
             if part != "train" or with_train_figures:
