@@ -52,8 +52,10 @@ COMBINED_CELLS_SQL = """SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_tot
 
 
 def cell_structures(spark, root):
-    """Kinds of all columns of three kinds of files, from one pass over their cells."""
-    kinds = combine.cell_kinds(*_written_files(spark, root, extra=True))
+    """Kinds of all columns of three kinds of files, from one pass over their cells. The parts of a file are judged together: one may hold a header alone."""
+    whole = F.element_at(F.split("file", "/"), -2)
+    cells, headers = (df.withColumn("file", whole) for df in _written_files(spark, root, extra=True))
+    kinds = combine.cell_kinds(cells, headers.distinct())
     return kinds.groupBy("key", "kind").agg(F.sum("rows").cast("bigint").alias("rows"))
 
 
