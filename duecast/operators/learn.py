@@ -148,7 +148,14 @@ def fit_classifier(
     Logistic regression has the penalty of one over twice the squared weights against the summed loss (C = 1);
     Spark divides the loss by the sum of row weights, so the penalty is divided by it too. The intercept bears none.
     """
-    fitted, vectors = prepare_vectors(train, preparation(train, numeric, categorical, min_frequency), [label])
+    prepared = prepare_vectors(train, preparation(train, numeric, categorical, min_frequency), [label])
+    return fit_prepared(*prepared, label, algorithm, overrides, balanced)
+
+
+def fit_prepared(
+    fitted: PipelineModel, vectors: DataFrame, label: str, algorithm: str, overrides: Mapping | None = None, balanced: bool | None = None
+) -> PipelineModel:
+    """``fit_classifier`` on vectors that are prepared already, so that several algorithms share them."""
     weighted = algorithm in BALANCED if balanced is None else balanced
     rows = add_class_weight(vectors, label) if weighted else vectors.withColumn("weight", F.lit(1.0))
     settings = dict(overrides or {})
@@ -211,21 +218,34 @@ def train_payment_models(
     sizes = {r["split"]: r["count"] for r in parted.groupBy("split").count().collect()}
     numeric, categorical = split_kinds(parted, usable)
     runs, models = [], {}
+    prepared = prepare_vectors(parts["train"], preparation(parts["train"], numeric, categorical), ["y"])
     for name in algorithms:
-        models[name] = fit_classifier(parts["train"], "y", numeric, categorical, name, overrides)
+        models[name] = fit_prepared(*prepared, "y", name, overrides)
         figures = {n: classification_figures(models[name], p, "y") for n, p in parts.items() if n != "train" or with_train_figures}
         runs.append((name, figures.get("train"), figures["validation"], figures["test"], sizes, method))
     best = max(runs, key=lambda r: (r[2]["pr_auc"] if r[2]["pr_auc"] is not None else -1, r[2]["f1"] or -1))[0]
     return Training(_run_table(df.sparkSession, runs), models, best, usable, removed)
 
 
+CREDIT_MODELS = {"baseline": "Logistic Regression", "boosted": "Gradient Boosting"}
+
+
+def train_credit_models(df: DataFrame, kinds: Sequence[str] = tuple(CREDIT_MODELS), overrides: Mapping | None = None) -> dict[str, PipelineModel]:
+    """Credit-behaviour classifiers over 22 raw and 9 derived features, all on the same prepared vectors. [M7]"""
+    for kind in kinds:
+        if kind not in CREDIT_MODELS:
+            raise ValueError(f"Unknown kind of credit model {kind!r}; use baseline or boosted.")
+    features = [*CREDIT_FEATURES, *CREDIT_ENGINEERED]
+    labelled = add_credit_behaviour(df.where(F.col(CREDIT_TARGET).isNotNull())).withColumn("y", F.col(CREDIT_TARGET).cast("int"))
+    # Medians, spreads and vectors each pass over the rows, so they are written once.
+    train = materialize(labelled.select("y", *features), "credit")
+    prepared = prepare_vectors(train, preparation(train, features, []), ["y"])
+    return {kind: fit_prepared(*prepared, "y", CREDIT_MODELS[kind], overrides) for kind in kinds}
+
+
 def train_credit_model(df: DataFrame, kind: str = "baseline", overrides: Mapping | None = None) -> PipelineModel:
-    """Credit-behaviour classifier over 22 raw and 9 derived features. [M7]"""
-    algorithm = {"baseline": "Logistic Regression", "boosted": "Gradient Boosting"}.get(kind)
-    if algorithm is None:
-        raise ValueError(f"Unknown kind of credit model {kind!r}; use baseline or boosted.")
-    train = add_credit_behaviour(df.where(F.col(CREDIT_TARGET).isNotNull())).withColumn("y", F.col(CREDIT_TARGET).cast("int"))
-    return fit_classifier(train, "y", [*CREDIT_FEATURES, *CREDIT_ENGINEERED], [], algorithm, overrides)
+    """One of ``train_credit_models``. [M7]"""
+    return train_credit_models(df, [kind], overrides)[kind]
 
 
 def score_credit_model(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -559,10 +559,10 @@ def every_payment_model(spark, root):
 def trained_credit(spark, root):
     """Both credit models on their training rows. With balanced classes and a free intercept, the residuals of
     logistic regression cancel: its mean probabilities of the two classes add up to one."""
-    df = lenses.credit(spark, root).where("default_next_month is not null")
+    df = materialize(lenses.credit(spark, root).where("default_next_month is not null"), "credit-rows")
     out = None
-    for kind in ("baseline", "boosted"):
-        scored = learn.score_credit_model(learn.train_credit_model(df, kind), df)
+    for kind, model in learn.train_credit_models(df).items():
+        scored = learn.score_credit_model(model, df)
         mean = [F.avg(F.when(F.col("default_next_month") == y, F.col("probability"))) for y in (0, 1)]
         row = scored.agg(
             F.count("*").alias("rows"), F.sum(F.col("default_next_month").cast("bigint")).alias("positives"), F.min(F.col("probability").between(0, 1)).alias("sound"),
@@ -574,10 +574,10 @@ def trained_credit(spark, root):
 
 def credit_scores(spark, root):
     """Probability of default per client from both credit models."""
-    df = lenses.credit(spark, root).where("default_next_month is not null")
+    df = materialize(lenses.credit(spark, root).where("default_next_month is not null"), "credit-rows")
     out = None
-    for kind in ("baseline", "boosted"):
-        part = learn.score_credit_model(learn.train_credit_model(df, kind), df).select(F.lit(kind).alias("kind"), "client_id", "default_next_month", "probability")
+    for kind, model in learn.train_credit_models(df).items():
+        part = learn.score_credit_model(model, df).select(F.lit(kind).alias("kind"), "client_id", "default_next_month", "probability")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -619,7 +619,7 @@ def _judged(spark, name, scored, label, threshold):
 
 def judged_models(spark, root):
     """The credit and the loan model on their labelled rows, at 0.50 and at 0.25."""
-    credit = lenses.credit(spark, root).where("default_next_month is not null")
+    credit = materialize(lenses.credit(spark, root).where("default_next_month is not null"), "credit-rows")
     loans = loan_layout(lenses.accepted_loans(spark, root))
     first = _judged(spark, "credit", learn.score_credit_model(learn.train_credit_model(credit), credit), "default_next_month", learn.CREDIT_THRESHOLD)
     return first.unionByName(_judged(spark, "loan", learn.positive_probability(learn.train_loan_model(loans).transform(loans)), "Default", learn.LOAN_THRESHOLD))
