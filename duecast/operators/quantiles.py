@@ -20,8 +20,8 @@ FINAL = 50_000
 def _order_statistics(df: DataFrame, wanted: Mapping[str, tuple[Column, int, set[int]]], final: int) -> dict[tuple[str, int], float]:
     """Values at 0-based ranks. ``wanted`` maps a name to (column, number of values, ranks)."""
     found: dict[tuple[str, int], float] = {}
-    # Open bracket (low, high) per rank, the count at or below low and the count inside.
-    open_ranks = {(n, k): (None, None, 0, size) for n, (_, size, ranks) in wanted.items() for k in ranks}
+    # Open ranks by bracket (name, low, high, the count at or below low, the count inside); neighbouring ranks share their guesses.
+    brackets = {(n, None, None, 0, size): set(ranks) for n, (_, size, ranks) in wanted.items() if ranks}
 
     def inside(name, low, high):
         value = wanted[name][0]
@@ -32,47 +32,63 @@ def _order_statistics(df: DataFrame, wanted: Mapping[str, tuple[Column, int, set
             keep = keep & (value < F.lit(high))
         return F.when(keep, value)
 
-    while open_ranks:
+    while brackets:
         jobs, exprs = [], []
-        for i, ((name, rank), (low, high, below, count)) in enumerate(open_ranks.items()):
+        for (name, low, high, below, count), ranks in brackets.items():
             value = inside(name, low, high)
-            if count <= final:
-                exprs.append(F.element_at(F.sort_array(F.collect_list(value)), F.lit(rank - below + 1)).alias(f"v{i}"))
-            else:
-                share = (rank - below) / max(count - 1, 1)
-                bounds = [max(0.0, share - 2e-4), min(1.0, share + 2e-4)]
-                exprs.append(F.percentile_approx(value, bounds, 10_000).alias(f"v{i}"))
-            jobs.append((name, rank, low, high, below, count))
-        guesses = df.agg(*exprs).first()
+            for group in _neighbours(ranks):
+                places = [rank - below for rank in group]
+                if count <= final:
+                    exprs.append(F.slice(F.sort_array(F.collect_list(value)), places[0] + 1, len(places)))
+                else:
+                    bounds = [max(0.0, places[0] / max(count - 1, 1) - 2e-4), min(1.0, places[-1] / max(count - 1, 1) + 2e-4)]
+                    exprs.append(F.percentile_approx(value, bounds, 10_000))
+                jobs.append((name, low, high, below, count, group))
+        guesses = df.agg(*[e.alias(f"v{i}") for i, e in enumerate(exprs)]).first()
         unresolved, counts = {}, []
-        for i, (name, rank, low, high, below, count) in enumerate(jobs):
+        for i, (name, _, _, _, count, group) in enumerate(jobs):
             if count <= final:
-                found[(name, rank)] = guesses[f"v{i}"]
+                found.update({(name, rank): v for rank, v in zip(group, guesses[f"v{i}"], strict=True)})
             else:
                 unresolved[i] = guesses[f"v{i}"]
                 value = wanted[name][0]
                 for j, bound in enumerate(unresolved[i]):
                     counts += [F.count_if(value < F.lit(bound)).alias(f"lt{i}_{j}"), F.count_if(value <= F.lit(bound)).alias(f"le{i}_{j}")]
-        open_ranks = {}
+        brackets = {}
         if not unresolved:
             break
         tally = df.agg(*counts).first()
         for i, (first, second) in unresolved.items():
-            name, rank, low, high, below, count = jobs[i]
+            name, low, high, below, count, group = jobs[i]
             lt1, le1, lt2, le2 = (tally[f"{c}{i}_{j}"] for j in (0, 1) for c in ("lt", "le"))
-            if lt1 <= rank < le1:
-                found[(name, rank)] = first
-            elif lt2 <= rank < le2:
-                found[(name, rank)] = second
-            elif rank < lt1:
-                open_ranks[(name, rank)] = (low, first, below, lt1 - below)
-            elif rank < lt2:
-                open_ranks[(name, rank)] = (first, second, le1, lt2 - le1)
-            else:
-                open_ranks[(name, rank)] = (second, high, le2, below + count - le2)
+            for rank in group:
+                if lt1 <= rank < le1:
+                    found[(name, rank)] = first
+                    continue
+                if lt2 <= rank < le2:
+                    found[(name, rank)] = second
+                    continue
+                if rank < lt1:
+                    bracket = (name, low, first, below, lt1 - below)
+                elif rank < lt2:
+                    bracket = (name, first, second, le1, lt2 - le1)
+                else:
+                    bracket = (name, second, high, le2, below + count - le2)
+                brackets.setdefault(bracket, set()).add(rank)
     return found
 
 
+def _neighbours(ranks: set[int]) -> list[list[int]]:
+    """Ranks in order, those that follow each other together."""
+    groups: list[list[int]] = []
+    for rank in sorted(ranks):
+        if groups and rank == groups[-1][-1] + 1:
+            groups[-1].append(rank)
+        else:
+            groups.append([rank])
+    return groups
+
+
 def exact_quantiles(
     df: DataFrame, columns: Mapping[str, Column], shares: Sequence[float], small: int = SMALL, final: int = FINAL
 ) -> dict[str, list[float | None]]:
