@@ -199,6 +199,8 @@ def train_payment_models(
         df = add_training_history(df, row_id)
         requested += [f for f in HISTORY_FEATURES if f not in requested]
     labelled = known_outcomes(df, find_column(df, DUE_NAMES), find_column(df, CLEAR_NAMES), target if target in df.columns else None)
+    # Counts, screening and the split each pass over the rows; the windows of the history are computed once.
+    labelled = materialize(labelled, "labelled")
     counts = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}  # two classes
     if sum(counts.values()) < 100 or len(counts) != 2 or min(counts.values()) < 20:
         raise ValueError("Training needs 100 labelled rows, two classes, and 20 rows of each.")
