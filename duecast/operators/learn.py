@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -12,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from duecast.functions.values import as_double, order_key
 from duecast.operators import metrics
@@ -286,25 +288,32 @@ def train_demand_models(
     of ``DEMAND_CATEGORIES`` that the table has.
     """
     categorical = [c for c in DEMAND_CATEGORIES if c in df.columns] if categorical is None else list(categorical)
+    # Daily rows are summed from far more lines; the list of days and the features both read them.
+    df = materialize(df, "demand")
     featured = split_by_dates((add_long_features if long else add_short_features)(df, target), "date")
     inputs = [*numeric, *(LONG_INPUTS if long else SHORT_INPUTS)]
     parted = materialize(featured.select("split", target, *categorical, *inputs), "training")
     parts = {n: parted.where(F.col("split") == n).drop("split") for n in ("train", "validation", "test")}
     sizes = {r["split"]: r["count"] for r in parted.groupBy("split").count().collect()}
-    runs, models = [], {}
     stages = preparation(parts["train"], inputs, categorical, min_frequency=2, max_levels=DEMAND_LEVELS, unknown_as_infrequent=True, scale=False)
     fitted, vectors = prepare_vectors(parts["train"], stages, [target])
-    for name in algorithms:
+
+    def fit(name: str) -> tuple[PipelineModel, tuple]:
         # The penalty of the mean squared error that equals one of the summed squared error.
         settings = {**({"regParam": RIDGE_ALPHA / max(sizes.get("train", 1), 1)} if name == "Ridge" else {}), **(overrides or {})}
         estimator = _estimator(REGRESSORS, name, settings, featuresCol="features", labelCol=target)
-        models[name] = PipelineModel(stages=[*fitted.stages, fit_learner(estimator, vectors)])
+        model = PipelineModel(stages=[*fitted.stages, fit_learner(estimator, vectors)])
         figures = {}
         for part, rows in parts.items():
             if part != "train" or with_train_figures:
-                predicted = models[name].transform(rows).select(target, "prediction")
+                predicted = model.transform(rows).select(target, "prediction")
                 figures[part] = _figures(metrics.regression(predicted, target, "prediction").first(), ERRORS)
-        runs.append((name, figures.get("train"), figures["validation"], figures["test"], sizes, "chronological"))
+        return model, (name, figures.get("train"), figures["validation"], figures["test"], sizes, "chronological")
+
+    # The calendar bounds the rows, so one algorithm fills a few cores only: all are fitted at the same time.
+    with ThreadPool(max(1, len(algorithms))) as pool:
+        done = pool.map(inheritable_thread_target(df.sparkSession)(fit), algorithms)
+    runs, models = [r for _, r in done], {r[0]: m for m, r in done}
     best = min(runs, key=lambda r: math.inf if r[2]["wape"] is None else r[2]["wape"])[0]
     return Training(_run_table(df.sparkSession, runs), models, best, [*categorical, *inputs])
 
