@@ -22,6 +22,8 @@ from duecast.operators.skew import ROWS_PER_TASK, add_prior_sums
 from duecast.session import materialize, scratch_path
 
 INFREQUENT = "infrequent"
+#: Vectors up to this width are written out cell by cell, wider ones as places and values.
+DENSE_WIDTH = 100
 _BOXED = StructType([StructField("v", VectorUDT())])
 
 
@@ -109,6 +111,10 @@ class LevelEncoderModel(Model):
         numbers = [self.number(c) for c in self.numeric]
         if not self.columns:
             return df.withColumn(self.output, array_to_vector(F.array(*numbers).cast("array<double>")))
+        if self.width <= DENSE_WIDTH:
+            cells = [F.when(F.col(f"__slot_{number}") == i, 1.0).otherwise(0.0) for number, width, _ in self.columns.values() for i in range(width)]
+            vector = array_to_vector(F.array(*numbers, *cells).cast("array<double>"))
+            return self.with_slots(df).withColumn(self.output, vector).drop(*[f"__slot_{number}" for number, _, _ in self.columns.values()])
         offset, places, slots = len(self.numeric), [], []
         for number, width, _ in self.columns.values():
             slots.append(f"__slot_{number}")

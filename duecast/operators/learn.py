@@ -122,10 +122,24 @@ def positive_probability(scored: DataFrame) -> DataFrame:
     return scored.withColumn("probability", vector_to_array("probability")[1])
 
 
+#: Rows of one task of a learner: fewer than the first are not worth a task, more than the second are dealt to several.
+FIT_ROWS = (25_000, 500_000)
+
+
+def dealt_evenly(df: DataFrame, rows: tuple[int, int] = FIT_ROWS) -> DataFrame:
+    """The rows in even parts, as many as all cores take at once or a multiple of it.
+
+    Small tables are read back in a few uneven parts, and a learner that passes over them hundreds of times would leave most cores idle.
+    """
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, df.count()
+    parts = max(1, min(cores, math.ceil(size / rows[0])))
+    return df.repartition(parts * max(1, math.ceil(size / (parts * rows[1]))))
+
+
 def prepare_vectors(train: DataFrame, stages: Sequence, keep: Sequence[str]) -> tuple[PipelineModel, DataFrame]:
-    """Fitted preparation, and the training vectors written once: learners pass over them many times."""
+    """Fitted preparation, and the training vectors written once, in even parts: learners pass over them many times."""
     fitted = Pipeline(stages=list(stages)).fit(train)
-    return fitted, materialize(fitted.transform(train).select("features", *keep), "vectors")
+    return fitted, materialize(fitted.transform(dealt_evenly(train)).select("features", *keep), "vectors")
 
 
 def fit_learner(estimator, rows: DataFrame) -> Model:
@@ -259,8 +273,21 @@ def score_credit_model(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def train_loan_model(df: DataFrame, overrides: Mapping | None = None) -> PipelineModel:
     """Loan-default classifier on the loan contract. [M8]"""
-    # Loan rows are parsed from text; several passes follow, so they are written once.
-    rows = materialize(df.withColumn("y", F.col("Default")), "loans")
+    return _fit_loans(_stored_loans(df), overrides)
+
+
+def score_trained_loans(df: DataFrame, overrides: Mapping | None = None) -> DataFrame:
+    """``probability`` of default of the rows that train the loan classifier. [M8]"""
+    rows = _stored_loans(df)
+    return positive_probability(_fit_loans(rows, overrides).transform(rows)).select(*df.columns, "probability")
+
+
+def _stored_loans(df: DataFrame) -> DataFrame:
+    """Loan rows are parsed from text; several passes follow, so they are written once."""
+    return materialize(df.withColumn("y", F.col("Default")), "loans")
+
+
+def _fit_loans(rows: DataFrame, overrides: Mapping | None) -> PipelineModel:
     return fit_classifier(rows, "y", LOAN_NUMERIC, LOAN_CATEGORICAL, "Gradient Boosting", overrides, min_frequency=1, balanced=True)
 
 

@@ -588,15 +588,13 @@ TRAINED_CREDIT_SQL = f"""WITH {L.CREDIT}, k AS (SELECT CAST(default_next_month A
 
 
 def trained_loans(spark, root):
-    df = loan_layout(lenses.accepted_loans(spark, root))
-    scored = learn.positive_probability(learn.train_loan_model(df).transform(df))
+    scored = learn.score_trained_loans(loan_layout(lenses.accepted_loans(spark, root)))
     return scored.select("LoanID", "Default", F.col("probability").between(0, 1).alias("sound"))
 
 
 def loan_scores(spark, root):
     """Probability of default per loan."""
-    df = loan_layout(lenses.accepted_loans(spark, root))
-    return learn.positive_probability(learn.train_loan_model(df).transform(df)).select("LoanID", "Default", "probability")
+    return learn.score_trained_loans(loan_layout(lenses.accepted_loans(spark, root))).select("LoanID", "Default", "probability")
 
 
 def _judged(spark, name, scored, label, threshold):
@@ -622,7 +620,7 @@ def judged_models(spark, root):
     credit = materialize(lenses.credit(spark, root).where("default_next_month is not null"), "credit-rows")
     loans = loan_layout(lenses.accepted_loans(spark, root))
     first = _judged(spark, "credit", learn.score_credit_model(learn.train_credit_model(credit), credit), "default_next_month", learn.CREDIT_THRESHOLD)
-    return first.unionByName(_judged(spark, "loan", learn.positive_probability(learn.train_loan_model(loans).transform(loans)), "Default", learn.LOAN_THRESHOLD))
+    return first.unionByName(_judged(spark, "loan", learn.score_trained_loans(loans), "Default", learn.LOAN_THRESHOLD))
 
 
 TRAINED_LOANS_SQL = f'SELECT LoanID, "Default", true AS sound FROM ({LOANS_SQL})'
