@@ -112,8 +112,8 @@ class LevelEncoderModel(Model):
         if not self.columns:
             return df.withColumn(self.output, array_to_vector(F.array(*numbers).cast("array<double>")))
         if self.width <= DENSE_WIDTH:
-            cells = [F.when(F.col(f"__slot_{number}") == i, 1.0).otherwise(0.0) for number, width, _ in self.columns.values() for i in range(width)]
-            vector = array_to_vector(F.array(*numbers, *cells).cast("array<double>"))
+            cells = [_indicators(F.col(f"__slot_{number}"), width) for number, width, _ in self.columns.values() if width]
+            vector = array_to_vector(F.concat(F.array(*numbers).cast("array<double>"), *cells))
             return self.with_slots(df).withColumn(self.output, vector).drop(*[f"__slot_{number}" for number, _, _ in self.columns.values()])
         offset, places, slots = len(self.numeric), [], []
         for number, width, _ in self.columns.values():
@@ -145,6 +145,11 @@ class LevelEncoderModel(Model):
         return names.unionByName(named).unionByName(last.select((F.col("offset") + F.col("width") - 1).alias("index"), F.concat_ws("_", "column_name", F.lit(INFREQUENT)).alias("feature")))
 
 
+def _indicators(slot: Column, width: int) -> Column:
+    """1 at the slot and 0 elsewhere, in a plan of the same length for every width."""
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(i == slot, 1.0).otherwise(0.0))
+
+
 def _number(column: str) -> Column:
     value = F.col(f"`{column}`").cast("double")
     return F.when(~F.isnan(value), value)
