@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from duecast.functions.values import as_double, order_key
-from duecast.operators import metrics
+from duecast.operators import forest, metrics
 from duecast.operators.demand import HASH_RANGE, LONG_LAGS, ROLLING, SHORT_LAGS, add_long_features, add_short_features, split_by_dates, split_by_position, split_stratified
 from duecast.operators.encoding import LevelEncoder, LevelEncoderModel
 from duecast.operators.features import (
@@ -146,7 +146,10 @@ def fit_learner(estimator, rows: DataFrame) -> Model:
     """A fitted learner without the summary of its training.
 
     Such a summary holds the session, which cannot be sent to tasks once an ``Observation`` was used in it. A stored model has none.
+    A forest that is too deep for one pass a level is grown from rows dealt to its nodes.
     """
+    if isinstance(estimator, RandomForestClassifier) and forest.outgrows_mllib(estimator, rows):
+        return forest.fit(estimator, rows)
     model = estimator.fit(rows)
     if not getattr(model, "hasSummary", False):
         return model
